@@ -13,7 +13,12 @@ def parse_categories(json_text: Column) -> Column:
     return F.coalesce(as_list, single)
 
 
+def distinct_names(names: Column) -> Column:
+    """Distinct, sorted, without NULLs and blanks; NULL gives an empty list."""
+    given = F.filter(names, lambda name: name.isNotNull() & (name != ""))
+    return F.coalesce(F.array_sort(F.array_distinct(given)), F.array().cast("array<string>"))
+
+
 def normalize_categories(categories: Column) -> Column:
-    """Cleaned, distinct, sorted names without blanks; NULL gives an empty list."""
-    cleaned = F.filter(F.transform(categories, clean_html), lambda name: name != "")
-    return F.coalesce(F.array_sort(F.array_distinct(cleaned)), F.array().cast("array<string>"))
+    """Category names as plain text, distinct and sorted."""
+    return distinct_names(F.transform(categories, clean_html))
