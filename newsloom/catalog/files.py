@@ -62,22 +62,10 @@ def scan_titled_source(spark, sf_dir):
     return rows.groupBy("source_name").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("newest"))
 
 
-@query(f"select url, date, row_number() over (order by date desc nulls last, url) as position from ({SQL_RAW})")
+@query(f"select url, date from ({SQL_RAW})")
 def scan_sorted(spark, sf_dir):
-    """The order is checked by its ranks: articles per (date, url) before each."""
     rows = files.read_articles(spark, landed(spark, sf_dir), json_lines=True)
-    ordered = files.newest_first(rows.select("url", "date"))
-    per_task = ordered.select(
-        "url", "date", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")
-    )
-    # A sorted DataFrame numbers its tasks in order, so task counts give offsets.
-    before = per_task.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start"))
-    offsets = before.select(
-        "task", "start", F.expr("sum(n) over (order by task) - n").alias("offset")
-    )
-    return per_task.join(offsets, "task").select(
-        "url", "date", F.expr("offset + at - start + 1").alias("position")
-    )
+    return files.newest_first(rows.select("url", "date"))
 
 
 @query(

@@ -11,12 +11,14 @@ from newsloom.catalog.fixtures import (
     SQL_PARSED,
     docs,
     raw_dates,
+    raw_docs,
     table,
 )
 from newsloom.catalog.registry import query
 from newsloom.functions.urls import ARTICLE_URL, SCHEME_AND_HOST
 from newsloom.operators import normalize as ops
 from newsloom.operators import summary as summaries
+from newsloom.sources import union_batches as union
 
 # DuckDB twin of ``clean_html`` for the references that the pages hold.
 SQL_SPACE = (
@@ -200,9 +202,6 @@ def normalize_article(spark, sf_dir):
 )
 def normalize_batch(spark, sf_dir):
     """Whole pages and documents in one batch: no row is dropped."""
-    from newsloom.catalog.fixtures import raw_docs
-    from newsloom.sources import union_batches as union
-
     tagged = [
         batch.withColumn("categories", categories)
         for batch, categories in (

@@ -22,6 +22,7 @@ from newsloom.operators.match import first_url_per_source as first_urls
 from newsloom.operators.match import group_by_source as grouped_by_source
 from newsloom.operators.match import match_feeds
 from newsloom.operators.normalize import normalize_articles
+from newsloom.operators.summary import with_extractive_summary
 from newsloom.operators.tables import append, create_store, new_categories, new_links, read_store, surrogate_key
 from newsloom.operators.tables import upsert_sources as sources_after_upsert
 from newsloom.plans import retrieval, statistics
@@ -386,10 +387,10 @@ def docs_batch(spark, sf_dir) -> DataFrame:
     from documents where doc_id in (select doc_id from labels)"""
 )
 def ingest_batch(spark, sf_dir):
-    """The store after the same batch was ingested twice."""
+    """The store after the same batch was ingested twice, with extracts of the new texts."""
     path = scratch_dir(spark, "store")
     batch = docs_batch(spark, sf_dir)
-    ingest(path, batch, "2024-01-31 09:00:00")
+    ingest(path, batch, "2024-01-31 09:00:00", summarize=with_extractive_summary)
     ingest(path, batch, "2024-02-01 09:00:00")
     store = read_store(spark, path)
     lists = retrieval.category_lists(store).withColumnRenamed("article_id", "id")

@@ -39,14 +39,15 @@ def extractive_summary(
     min_words: int = 30,
     max_words: int = 130,
 ) -> DataFrame:
-    """(id, summary): each text's sentences with the rarest words.
+    """(id, summary): each text's sentences with the rarest words. Ids are unique
+    and not NULL.
 
     Sentences are taken by falling mean word weight while they fit into
     ``max_words``, and joined in text order. A text under ``min_words`` words is
     kept whole; a sentence over ``max_words`` is cut when it is shown.
 
-    Only keys and numbers are shuffled for the scores; the texts join once, at
-    the end. Words found in at least one document in 1000 go by broadcast: there
+    The texts are shuffled once, by id; every step reads that exchange. The
+    scores move keys and numbers only. Words found in at least one document in 1000 go by broadcast: there
     are at most 1000 times the mean number of distinct words per document of
     them, whatever the size of the input. Any other word is in less than a
     thousandth of the documents, so no key of the shuffled join is hot.
@@ -54,7 +55,7 @@ def extractive_summary(
     texts = docs.select(
         F.col(id_col).alias("id"),
         F.btrim(F.regexp_replace(F.coalesce(text_col, F.lit("")), WHITE_SPACE, " ")).alias("text"),
-    )
+    ).filter("id is not null").repartition("id")
     total = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
     usage = (
         texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))
@@ -66,13 +67,12 @@ def extractive_summary(
             (F.col("n_docs") * COMMON_WORD_SHARE >= total).alias("common"),
         )
     )
-    words = texts.select(
-        "id", F.posexplode(_sentences(F.lower("text"))).alias("pos", "sentence")
-    ).select(
-        "id",
-        "pos",
-        F.size(F.split("sentence", " ")).alias("n_words"),
-        F.explode(F.split("sentence", " ")).alias("word"),
+    # The word count is taken before the words are exploded, once per sentence.
+    words = (
+        texts.select("id", F.posexplode(_sentences(F.lower("text"))).alias("pos", "sentence"))
+        .select("id", "pos", F.split("sentence", " ").alias("words"))
+        .select("id", "pos", F.size("words").alias("n_words"), "words")
+        .select("id", "pos", "n_words", F.explode("words").alias("word"))
     )
     common = F.broadcast(usage.filter("common").drop("common"))
     rare = usage.filter("not common").drop("common")
@@ -104,11 +104,8 @@ def extractive_summary(
     chosen = F.transform("kept", lambda pos: shown(F.get("sentences", pos)))
     return (
         texts.select("id", _sentences(F.col("text")).alias("sentences"))
-        .join(kept, "id", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.coalesce(F.array_join(chosen, " "), F.lit("")).alias("summary"),
-        )
+        .join(kept, "id")
+        .select(F.col("id").alias(id_col), F.array_join(chosen, " ").alias("summary"))
     )
 
 
@@ -142,3 +139,23 @@ def map_texts(df: DataFrame, load_model: Callable[[], TextModel], text_col: str,
             yield batch
 
     return df.mapInPandas(run, schema)
+
+
+def with_extractive_summary(articles: DataFrame) -> DataFrame:
+    """``articles`` (unique ``id``) with ``summary`` replaced by an extract of the
+    content, or of the summary when there is no content."""
+    texts = articles.select("id", summary_text(articles).alias("content"))
+    extracts = extractive_summary(texts).select("id", F.col("summary").alias("_extract"))
+    filled = articles.join(extracts, "id", "left").withColumn("summary", F.nullif("_extract", F.lit("")))
+    return filled.select(*articles.columns)
+
+
+def with_model_summary(load_model: Callable[[], TextModel]) -> Callable[[DataFrame], DataFrame]:
+    """The same with a user's model instead of extracts."""
+
+    def fill(articles: DataFrame) -> DataFrame:
+        texts = articles.withColumn("_text", summary_text(articles))
+        answered = map_texts(texts, load_model, "_text", "_answer")
+        return answered.withColumn("summary", F.nullif("_answer", F.lit(""))).select(*articles.columns)
+
+    return fill

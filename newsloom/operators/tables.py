@@ -54,7 +54,8 @@ def append(table: str, rows: DataFrame, path: str) -> None:
 def create_store(spark: SparkSession, path: str) -> None:
     """Create the tables that do not exist yet; existing ones are left alone."""
     for table, schema in SCHEMAS.items():
-        writer = spark.createDataFrame([], schema).write.mode("ignore")
+        columns = [F.lit(None).cast(field.dataType).alias(field.name) for field in schema]
+        writer = spark.range(0).select(*columns).write.mode("ignore")
         if table in PARTITIONED:
             writer = writer.partitionBy(PARTITIONED[table])
         writer.parquet(f"{path}/{table}")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.clock import instant
-from newsloom.operators.dedup import absent_from, first_wins
+from newsloom.operators.dedup import first_wins
 from newsloom.operators.match import match_feeds
 from newsloom.operators.normalize import UNKNOWN_SOURCE, reject_reason
 from newsloom.operators.tables import append, create_store, new_categories, new_links, read_store, surrogate_key
@@ -22,12 +23,17 @@ class IngestResult(NamedTuple):
 
 
 def ingest(
-    path: str, batch: DataFrame, as_of: datetime | str, feeds: DataFrame | None = None
+    path: str,
+    batch: DataFrame,
+    as_of: datetime | str,
+    feeds: DataFrame | None = None,
+    summarize: Callable[[DataFrame], DataFrame] | None = None,
 ) -> IngestResult:
     """Insert the articles whose URL the store at ``path`` does not have.
 
     Sources are upserted with their feed's URL (``feeds``), else with the URL of
-    their first article. Rows that cannot be stored are returned as ``rejects``.
+    their first article. ``summarize`` fills ``summary`` of the new articles, which
+    have unique ids. Rows that cannot be stored are returned as ``rejects``.
 
     The batch and its new rows are written to the shared folder first, so each
     is computed once. Sources, categories and links are appended before the
@@ -60,18 +66,22 @@ def ingest(
         valid.select("id"), "id", "left_semi"
     )
     probed = first_wins(valid).join(asked, "id", "left")
-    new = written(probed.filter("stored_url is null or stored_url <> url"), "new")
-    clash = new.groupBy("id").agg(
-        F.min("url").alias("url"), F.count_if(F.col("stored_url").isNotNull()).alias("taken")
-    )
-    fresh = new.join(clash.filter("taken = 0").select("id", "url"), ["id", "url"], "left_semi").withColumns(
+    nth_url = F.row_number().over(Window.partitionBy("id").orderBy("url"))
+    new = written(
+        probed.filter("stored_url is null or stored_url <> url").withColumn(
+            "clash", F.col("stored_url").isNotNull() | (nth_url > 1)
+        ),
+        "new",
+    ).drop("stored_url")
+    fresh = new.filter("not clash").withColumns(
         {
             "source_id": surrogate_key(F.col("source")),
             "date_day": F.to_date("date"),
             "created_at": now,
         }
     )
-    clashing = absent_from(new, fresh.select("id", "url"), ["id", "url"])
+    if summarize is not None:
+        fresh = written(summarize(fresh), "summarized")
 
     _append_sources(path, staged, store.sources, feeds, as_of)
     append("categories", new_categories(fresh, store.categories), path)
@@ -84,7 +94,7 @@ def ingest(
     append("articles", fresh, path)
 
     rejects = staged.filter("reason is not null").unionByName(
-        clashing.drop("stored_url").withColumn("reason", F.lit("id taken by another url"))
+        new.filter("clash").drop("clash").withColumn("reason", F.lit("id taken by another url"))
     )
     counted = staged.agg(F.count(F.lit(1)).alias("processed"))
     n_inserted = fresh.agg(F.count(F.lit(1)).alias("n")).scalar()
