@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 from functools import cache
 from html.entities import html5
 
@@ -26,16 +25,23 @@ MARKUP = (
     r"|(?i:script)\b.*?(?:</(?i:script)\s*>|\z)"
     r"|(?i:style)\b.*?(?:</(?i:style)\s*>|\z)"
     r"|(?i:template)\b.*?</(?i:template)\s*>"
-    r"|/?[a-zA-Z][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|)[^>=]*+)*+>"
+    r"|/?[a-zA-Z][^>=]*+(?:=\s*+(?:\x22[^\x22]*+\x22|\x27[^\x27]*+\x27|)[^>=]*+)*+>"
     r"|/?[a-zA-Z][^>]*+>"
     r"|[!?][^>]*+>"
     r")"
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def apply_lambda(value: Column, sql_lambda: str) -> Column:
+    """A SQL lambda on ``value``, which is computed once however often the
+    lambda names it. One SQL text is also much faster to build than its parts."""
+    bound = F.call_function("transform", F.array(value), F.expr(sql_lambda))
+    return F.get(bound, F.lit(0))
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 def none_if_empty(text: Column) -> Column:
@@ -54,16 +60,12 @@ def match_name(text: Column) -> Column:
 
 def title_case(stem: Column) -> Column:
     """'-' to space, then a capital after every non-letter."""
-
-    def capitals(chars: Column) -> Column:
-        def one(char: Column, position: Column) -> Column:
-            previous = F.get(chars, position - 1)
-            inside_word = (position > 0) & previous.rlike(r"\p{L}")
-            return F.when(inside_word, F.lower(char)).otherwise(F.upper(char))
-
-        return F.array_join(F.transform(chars, one), "")
-
-    return let(F.split(F.replace(stem, F.lit("-"), F.lit(" ")), ""), capitals)
+    spaced = F.split(F.replace(stem, F.lit("-"), F.lit(" ")), "")
+    return apply_lambda(
+        spaced,
+        r"""chars -> array_join(transform(chars, (char, at) ->
+              if(at > 0 and get(chars, at - 1) rlike r'\p{L}', lower(char), upper(char))), '')""",
+    )
 
 
 def content_first(content: Column, dtype: T.DataType) -> Column:
@@ -76,99 +78,83 @@ def content_first(content: Column, dtype: T.DataType) -> Column:
     return content.cast("string")
 
 
+def _json_literal(value: object) -> str:
+    """A SQL string literal holding ``value`` as JSON."""
+    return "r'" + json.dumps(value).replace("'", r"\u0027") + "'"
+
+
 @cache
-def _entity_table() -> str:
-    """The HTML5 entities as JSON, the everyday ones first (lookups scan)."""
+def _entities() -> str:
+    """SQL: the HTML5 entities as a map, the everyday ones first (lookups scan)."""
     everyday = ["amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;", "middot;", "amp"]
     ordered = everyday + [name for name in html5 if name not in everyday]
-    return json.dumps({name: html5[name] for name in ordered})
+    table = {name: html5[name] for name in ordered}
+    return f"from_json({_json_literal(table)}, 'map<string,string>')"
 
 
 @cache
-def _bare_entity_pattern() -> str:
-    """Entities that HTML also accepts without ';', longest first."""
+def _bare_entity() -> str:
+    """Pattern of the entities that HTML also accepts without ';', longest first."""
     bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
     return "^(" + "|".join(bare) + ")"
 
 
 @cache
-def _windows_characters() -> tuple[str, ...]:
-    """Numeric references 128..159 mean Windows-1252 characters in HTML."""
+def _windows_characters() -> str:
+    """SQL: what numeric references 128..159 mean in HTML (Windows-1252)."""
     found = []
     for code in range(0x80, 0xA0):
         try:
             found.append(bytes([code]).decode("cp1252"))
         except UnicodeDecodeError:
             found.append(chr(code))
-    return tuple(found)
-
-
-def _numeric_reference(token: Column) -> Column:
-    """Text of '#65;' or '#x41;'."""
-    hexadecimal = token.rlike("^#[xX]")
-    digits = F.regexp_replace(token, r"^#[xX]?0*|;$", "")
-    too_long = F.length(digits) > 7
-    code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
-
-    def character(number: Column) -> Column:
-        low16 = number.bitwiseAND(0xFFFF)
-        forbidden = (
-            number.between(0x1, 0x8)
-            | (number == 0xB)
-            | number.between(0xE, 0x1F)
-            | (number == 0x7F)
-            | number.between(0xFDD0, 0xFDEF)
-            | (low16 >= 0xFFFE)
-        )
-        windows = F.from_json(F.lit(json.dumps(_windows_characters())), "array<string>")
-        return (
-            F.when((number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "�")
-            .when(number.between(0x80, 0x9F), F.get(windows, (number - 0x80).cast("int")))
-            .when(forbidden, "")
-            .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
-        )
-
-    return (
-        F.when(digits == "", "�")
-        .when(too_long, "�")
-        .otherwise(let(code, character))
-    )
+    return f"from_json({_json_literal(found)}, 'array<string>')"
+
+
+def _numeric_reference() -> str:
+    """SQL: the text of ``token``, '#65;' or '#x41;'."""
+    character = f"""case
+        when code = 0 or code > 1114111 or code between 55296 and 57343 then '�'
+        when code between 128 and 159 then get({_windows_characters()}, cast(code - 128 as int))
+        when code between 1 and 8 or code = 11 or code between 14 and 31 or code = 127
+          or code between 64976 and 65007 or code & 65535 >= 65534 then ''
+        else decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') end"""
+    digits = r"regexp_replace(token, r'^#[xX]?0*|;$', '')"
+    base = r"if(token rlike r'^#[xX]', 16, 10)"
+    code = f"cast(if(digits = '', '0', if(length(digits) > 7, '9999999', conv(digits, {base}, 10))) as bigint)"
+    return _let("digits", digits, _let("code", code, character))
+
+
+def _unescape(text: str) -> str:
+    """SQL: every reference in ``text`` decoded once, with ``entities`` in scope."""
+    named = f"""coalesce(
+        try_element_at(entities, token),
+        {_let("bare", f"regexp_extract(token, r'{_bare_entity()}', 1)",
+              "concat(try_element_at(entities, bare), substr(token, length(bare) + 1))")},
+        concat('&', token))"""
+    reference = _let("token", "substr(found, 2)", f"if(token like '#%', {_numeric_reference()}, {named})")
+    pieces = f"""zip_with(
+        split(raw, r'{ENTITY}'),
+        transform(regexp_extract_all(raw, r'{ENTITY}', 0), found -> {reference}),
+        (piece, char) -> concat(piece, coalesce(char, '')))"""
+    return _let("raw", text, f"if(raw rlike r'&[#a-zA-Z]', array_join({pieces}, ''), raw)")
 
 
-def _named_reference(token: Column) -> Column:
-    """Text of 'eacute;'; a known name without ';' counts up to where it ends."""
-    table = F.from_json(F.lit(_entity_table()), "map<string,string>")
-    bare = F.regexp_extract(token, _bare_entity_pattern(), 1)
-    return F.coalesce(
-        table[token],
-        F.concat(table[bare], F.substr(token, F.length(bare) + 1)),
-        F.concat(F.lit("&"), token),
-    )
-
-
-def unescape_entities(text: Column) -> Column:
-    """Decode every HTML character reference once, left to right."""
-
-    def reference(found: Column) -> Column:
-        token = F.substr(found, F.lit(2))
-        return F.when(token.startswith("#"), _numeric_reference(token)).otherwise(
-            _named_reference(token)
-        )
+@cache
+def _unescape_lambda() -> str:
+    return "text -> " + _let("entities", _entities(), _unescape("text"))
 
-    def decoded(value: Column) -> Column:
-        pieces = F.split(value, ENTITY)
-        found = F.transform(F.regexp_extract_all(value, F.lit(ENTITY), F.lit(0)), reference)
-        joined = F.zip_with(
-            pieces, found, lambda piece, char: F.concat(piece, F.coalesce(char, F.lit("")))
-        )
-        return F.when(value.rlike("&[#a-zA-Z]"), F.array_join(joined, "")).otherwise(value)
 
-    return let(text, decoded)
+@cache
+def _plain_lambda() -> str:
+    visible = f"regexp_replace({_unescape('text')}, r'{MARKUP}', '')"
+    stripped = _let("entities", _entities(), _unescape(visible))
+    return f"text -> btrim(regexp_replace(if(text rlike r'[&<]', {stripped}, text), r'{WHITE_SPACE}', ' '))"
 
 
-def _strip_markup(text: Column) -> Column:
-    visible = F.regexp_replace(unescape_entities(text), MARKUP, "")
-    return unescape_entities(visible)
+def unescape_entities(text: Column) -> Column:
+    """Decode every HTML character reference once, left to right."""
+    return apply_lambda(text, _unescape_lambda())
 
 
 def clean_html(text: Column) -> Column:
@@ -177,9 +163,4 @@ def clean_html(text: Column) -> Column:
     References are decoded, tags removed without a separator, what the parser
     would decode is decoded again, and white space is collapsed.
     """
-
-    def plain(value: Column) -> Column:
-        stripped = F.when(value.rlike("[&<]"), _strip_markup(value)).otherwise(value)
-        return F.btrim(F.regexp_replace(stripped, WHITE_SPACE, " "))
-
-    return F.coalesce(let(text, plain), F.lit(""))
+    return F.coalesce(apply_lambda(text, _plain_lambda()), F.lit(""))

@@ -12,15 +12,13 @@ from newsloom.functions import (
     clean_html,
     content_first,
     none_if_empty,
+    normalize_categories,
     normalize_url,
     parse_date,
 )
-from newsloom.functions.categories import distinct_names
 
 UNKNOWN_SOURCE = "Unknown"
 
-CLEANED = ("title", "author", "summary", "description", "content")
-
 
 def entry_to_raw(entries: DataFrame, as_of: datetime | str, source: Column | None = None) -> DataFrame:
     """Feed entries as raw articles. ``source`` defaults to the entries' own."""
@@ -52,6 +50,9 @@ def normalize_articles(raw: DataFrame) -> DataFrame:
     def given(name: str) -> Column:
         return F.col(name) if name in raw.columns else F.lit(None).cast("string")
 
+    def text(name: str) -> Column:
+        return none_if_empty(clean_html(given(name)))
+
     def url(name: str) -> Column:
         return none_if_empty(normalize_url(given(name)))
 
@@ -63,16 +64,7 @@ def normalize_articles(raw: DataFrame) -> DataFrame:
     if "categories" not in raw.columns or raw.schema["categories"].dataType.typeName() == "string":
         categories = F.when(categories.isNotNull(), F.array(categories))
 
-    # One cleaning expression for all texts keeps the plan small.
-    lists = [F.array(given(name)) for name in CLEANED] + [categories]
-    cleaned = F.transform(
-        F.array(*lists), lambda texts: F.transform(texts, lambda text: none_if_empty(clean_html(text)))
-    )
-
-    def text(name: str) -> Column:
-        return F.get(F.col("_clean")[CLEANED.index(name)], F.lit(0))
-
-    return raw.withColumn("_clean", cleaned).select(
+    return raw.select(
         text("title").alias("title"),
         url("url").alias("url"),
         none_if_empty(given("source")).alias("source"),
@@ -82,7 +74,7 @@ def normalize_articles(raw: DataFrame) -> DataFrame:
         text("summary").alias("summary"),
         text("description").alias("description"),
         text("content").alias("content"),
-        distinct_names(F.col("_clean")[len(CLEANED)]).alias("categories"),
+        normalize_categories(categories).alias("categories"),
         url("image_url").alias("image_url"),
     )
 
