@@ -23,7 +23,15 @@ from newsloom.operators.match import group_by_source as grouped_by_source
 from newsloom.operators.match import match_feeds
 from newsloom.operators.normalize import normalize_articles
 from newsloom.operators.summary import with_extractive_summary
-from newsloom.operators.tables import append, create_store, new_categories, new_links, read_store, surrogate_key
+from newsloom.operators.tables import (
+    append,
+    create_store,
+    new_categories,
+    new_links,
+    partition_day,
+    read_store,
+    surrogate_key,
+)
 from newsloom.operators.tables import upsert_sources as sources_after_upsert
 from newsloom.plans import retrieval, statistics
 from newsloom.plans.ingest import ingest
@@ -336,7 +344,7 @@ def store_init(spark, sf_dir):
     articles = fixture.articles.select(
         "*",
         *missing,
-        F.to_date("date").alias("date_day"),
+        partition_day(F.col("date")).alias("date_day"),
         loaded.alias("scraped_at"),
         loaded.alias("created_at"),
     )

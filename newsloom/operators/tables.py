@@ -24,6 +24,10 @@ SCHEMAS = {
 }
 PARTITIONED = {"articles": "date_day", "article_categories": "date_day"}
 
+# Undated articles share a day of their own: joins on the day, which is how
+# days are pruned, would lose a NULL.
+UNDATED_DAY = "1900-01-01"
+
 
 class StoreTables(NamedTuple):
     articles: DataFrame
@@ -38,6 +42,11 @@ def surrogate_key(natural_key: Column) -> Column:
     return F.xxhash64(natural_key)
 
 
+def partition_day(date: Column) -> Column:
+    """The ``date_day`` of an article."""
+    return F.coalesce(F.to_date(date), F.lit(UNDATED_DAY).cast("date"))
+
+
 def append(table: str, rows: DataFrame, path: str) -> None:
     """Append to a store table. URLs get a Parquet bloom filter, for lookups."""
     rows = rows.select(*SCHEMAS[table].fieldNames())

@@ -13,7 +13,15 @@ from newsloom.clock import instant
 from newsloom.operators.dedup import first_wins
 from newsloom.operators.match import match_feeds
 from newsloom.operators.normalize import UNKNOWN_SOURCE, reject_reason
-from newsloom.operators.tables import append, create_store, new_categories, new_links, read_store, surrogate_key
+from newsloom.operators.tables import (
+    append,
+    create_store,
+    new_categories,
+    new_links,
+    partition_day,
+    read_store,
+    surrogate_key,
+)
 from newsloom.session import written
 
 
@@ -76,7 +84,7 @@ def ingest(
     fresh = new.filter("not clash").withColumns(
         {
             "source_id": surrogate_key(F.col("source")),
-            "date_day": F.to_date("date"),
+            "date_day": partition_day(F.col("date")),
             "created_at": now,
         }
     )

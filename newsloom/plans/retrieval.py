@@ -30,6 +30,11 @@ def recent_window(articles: DataFrame, as_of: datetime | str, days: int, exact:
     return since(articles, moment if exact else day_start(moment))
 
 
+def _key_columns(left: DataFrame, right: DataFrame) -> list[str]:
+    """``id``, and the day when both sides have it: joins on it prune days."""
+    return [name for name in ("id", "date_day") if name in left.columns and name in right.columns]
+
+
 def _keys(articles: DataFrame, *more: str) -> DataFrame:
     names = ["id", "date", "date_day", *more]
     return articles.select(*[name for name in names if name in articles.columns])
@@ -38,7 +43,7 @@ def _keys(articles: DataFrame, *more: str) -> DataFrame:
 def _pick(articles: DataFrame, top: DataFrame) -> DataFrame:
     """The whole rows of the keys in ``top``. Spark derives the size of ``top``
     from its limit, and broadcasts it (pruning days with it) when that is small."""
-    on = [name for name in ("id", "date_day") if name in top.columns]
+    on = _key_columns(articles, top)
     return articles.join(top.select(*on), on, "left_semi")
 
 
@@ -54,18 +59,14 @@ def category_lists(store: StoreTables, articles: DataFrame | None = None) -> Dat
     collapses repeats before the shuffle: a list is never longer than the
     category table.
     """
-    links = store.links
+    links = store.links.withColumnRenamed("article_id", "id")
     if articles is not None:
-        keys = [F.col("id").alias("article_id")]
-        on = ["article_id"]
-        if "date_day" in links.columns and "date_day" in articles.columns:
-            keys.append(F.col("date_day"))
-            on.append("date_day")
-        links = links.join(articles.select(*keys), on, "left_semi")
+        on = _key_columns(links, articles)
+        links = links.join(articles.select(*on), on, "left_semi")
     names = store.categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
     return (
         links.join(names, "category_id")
-        .groupBy("article_id")
+        .groupBy(F.col("id").alias("article_id"))
         .agg(F.array_sort(F.collect_set("category")).alias("categories"))
     )
 
@@ -114,8 +115,9 @@ def articles_by_category(
     that one, unless ``all_categories`` asks for the whole list."""
     wanted = store.categories.filter(F.col("name") == category)
     links = store.links.join(wanted.select(F.col("id").alias("category_id")), "category_id", "left_semi")
-    on = ["id"] + [name for name in ("date_day",) if name in links.columns and name in store.articles.columns]
-    members = links.withColumnRenamed("article_id", "id").select(*on)
+    links = links.withColumnRenamed("article_id", "id")
+    on = _key_columns(store.articles, links)
+    members = links.select(*on)
     stored_sources = store.sources.select(F.col("id").alias("source_id"))
     keys = (
         _keys(store.articles, "source_id")
@@ -138,8 +140,11 @@ def article_by_url(store: StoreTables, url: str) -> DataFrame:
 
 
 def articles_by_urls(store: StoreTables, urls: DataFrame) -> DataFrame:
-    """The articles of a table of URLs."""
+    """The articles of a table of URLs. In a store partitioned by day, the keys
+    are found first, and whole rows are read from their days only."""
     rows = store.articles.join(urls.select("url"), "url", "left_semi")
+    if "date_day" in rows.columns:
+        rows = _pick(store.articles, _keys(rows))
     return _with_categories(_with_source(rows, store.sources), category_lists(store, _keys(rows)))
 
 

@@ -38,7 +38,7 @@ def test_ingest_twice(spark):
         spark,
         article(0, "https://a.com/1", "first", "A", categories=["x", "y"]),
         article(1, "https://a.com/1", "second", "B", categories=["z"]),
-        article(2, "https://a.com/2", "undated", "B", date=None),
+        article(2, "https://a.com/2", "undated", "B", date=None, categories=["x"]),
         article(3, None, "no url"),
         article(4, "https://a.com/4", None),
     )
@@ -55,7 +55,7 @@ def test_ingest_twice(spark):
         ("first", "https://a.com/1"), ("undated", "https://a.com/2"),
     }
     assert {r.name for r in store.categories.collect()} == {"x", "y"}
-    assert store.links.count() == 2
+    assert store.links.count() == 3
     sources = {r.name: r for r in store.sources.collect()}
     assert set(sources) == {"A", "B", "S"}
     assert sources["A"].url == "https://a.com/1"  # the second run had no feed list
@@ -67,6 +67,12 @@ def test_ingest_twice(spark):
     assert retrieval.article_by_url(store, "https://a.com/9").count() == 0
     recent = retrieval.recent_articles(store, "2024-01-31 09:00:00").collect()
     assert [r.title for r in recent] == ["first"]
+    undated = retrieval.article_by_url(store, "https://a.com/2").first()
+    assert (undated.date, undated.categories) == (None, ["x"])
+    assert [r.title for r in retrieval.articles_by_category(store, "x").collect()] == ["first", "undated"]
+    wanted = spark.createDataFrame([("https://a.com/2",), ("https://a.com/1",), ("https://a.com/7",)], "url string")
+    found = {r.title: r.categories for r in retrieval.articles_by_urls(store, wanted).collect()}
+    assert found == {"first": ["x", "y"], "undated": ["x"]}
     assert retrieval.articles_by_category(store, "x").first().categories == ["x"]
     assert retrieval.articles_by_category(store, "x", all_categories=True).first().categories == ["x", "y"]
     assert statistics.totals(store).first().asDict() == {
