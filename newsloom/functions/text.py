@@ -149,7 +149,8 @@ def _unescape_lambda() -> str:
 def _plain_lambda() -> str:
     visible = f"regexp_replace({_unescape('text')}, r'{MARKUP}', '')"
     stripped = _let("entities", _entities(), _unescape(visible))
-    return f"text -> btrim(regexp_replace(if(text rlike r'[&<]', {stripped}, text), r'{WHITE_SPACE}', ' '))"
+    marked = "contains(text, '&') or contains(text, '<')"
+    return f"text -> btrim(regexp_replace(if({marked}, {stripped}, text), r'{WHITE_SPACE}', ' '))"
 
 
 def unescape_entities(text: Column) -> Column:

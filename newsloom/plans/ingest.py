@@ -36,12 +36,14 @@ def ingest(
     as_of: datetime | str,
     feeds: DataFrame | None = None,
     summarize: Callable[[DataFrame], DataFrame] | None = None,
+    known_sources_only: bool = False,
 ) -> IngestResult:
     """Insert the articles whose URL the store at ``path`` does not have.
 
     Sources are upserted with their feed's URL (``feeds``), else with the URL of
     their first article. ``summarize`` fills ``summary`` of the new articles, which
-    have unique ids. Rows that cannot be stored are returned as ``rejects``.
+    have unique ids. ``known_sources_only`` rejects articles whose source has no
+    feed. Rows that cannot be stored are returned as ``rejects``.
 
     The batch and its new rows are written to the shared folder first, so each
     is computed once. Sources, categories and links are appended before the
@@ -55,15 +57,19 @@ def ingest(
 
     if "seq" not in batch.columns:
         batch = batch.withColumn("seq", F.monotonically_increasing_id())
+    batch = batch.withColumn("source", F.coalesce("source", F.lit(UNKNOWN_SOURCE)))
+    reason = reject_reason()
+    if known_sources_only and feeds is not None:
+        batch = match_feeds(batch, feeds).drop("feed_name", "feed_url")
+        reason = F.coalesce(reason, F.when(~F.col("matched"), "source not in the feed list"))
     staged = written(
         batch.withColumns(
             {
-                "source": F.coalesce("source", F.lit(UNKNOWN_SOURCE)),
                 "scraped_at": F.coalesce("scraped_at", now),
-                "reason": reject_reason(),
+                "reason": reason,
                 "id": surrogate_key(F.col("url")),
             }
-        ),
+        ).drop("matched"),
         "batch",
     )
     valid = staged.filter("reason is null").drop("reason")
@@ -91,7 +97,7 @@ def ingest(
     if summarize is not None:
         fresh = written(summarize(fresh), "summarized")
 
-    _append_sources(path, staged, store.sources, feeds, as_of)
+    _append_sources(path, staged, feeds, as_of, known_sources_only)
     append("categories", new_categories(fresh, store.categories), path)
     pairs = fresh.select(
         F.col("id").alias("article_id"),
@@ -114,7 +120,7 @@ def ingest(
 
 
 def _append_sources(
-    path: str, staged: DataFrame, stored: DataFrame, feeds: DataFrame | None, as_of: datetime | str
+    path: str, staged: DataFrame, feeds: DataFrame | None, as_of: datetime | str, known_only: bool
 ) -> None:
     """Log the batch's sources with id, URL and times."""
     found = staged.groupBy("source").agg(F.min_by("url", F.struct("scraped_at", "seq")).alias("first_url"))
@@ -122,6 +128,8 @@ def _append_sources(
         named = found.withColumn("feed_url", F.lit(None).cast("string"))
     else:
         named = match_feeds(found, feeds)
+        if known_only:
+            named = named.filter("matched")
     now = instant(as_of)
     rows = named.select(
         surrogate_key(F.col("source")).alias("id"),

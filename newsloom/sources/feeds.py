@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newsloom.schemas import ATOM_ENTRY, FEED_LIST, RSS_ITEM
 
@@ -14,9 +15,10 @@ def read_feed_list(spark: SparkSession, path: str, json_lines: bool = False) ->
     return feeds.select(F.monotonically_increasing_id().alias("seq"), "name", "url")
 
 
-def _read_xml(spark: SparkSession, path: str, tag: str, schema) -> DataFrame:
+def _read_xml(spark: SparkSession, path: str, tag: str, schema: StructType, stream: bool) -> DataFrame:
+    reader = spark.readStream if stream else spark.read
     return (
-        spark.read.format("xml")
+        reader.format("xml")
         .option("rowTag", tag)
         .option("ignoreSurroundingSpaces", False)
         .schema(schema)
@@ -24,12 +26,14 @@ def _read_xml(spark: SparkSession, path: str, tag: str, schema) -> DataFrame:
     )
 
 
-def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    return _read_xml(spark, path, "item", RSS_ITEM)
+def read_rss(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The items of the RSS documents at ``path``; with ``stream``, of each new one."""
+    return _read_xml(spark, path, "item", RSS_ITEM, stream)
 
 
-def read_atom(spark: SparkSession, path: str) -> DataFrame:
-    return _read_xml(spark, path, "entry", ATOM_ENTRY)
+def read_atom(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The entries of the Atom documents at ``path``; with ``stream``, of each new one."""
+    return _read_xml(spark, path, "entry", ATOM_ENTRY, stream)
 
 
 def rss_entries(items: DataFrame) -> DataFrame:

@@ -31,21 +31,23 @@ def read_articles(
     exclude: Sequence[str] = (NORMALIZED_FILE,),
     tag: str | None = None,
     json_lines: bool = False,
+    stream: bool = False,
 ) -> DataFrame:
     """All articles of a folder of JSON files, keys missing in a file as NULL.
 
     A file holds one JSON array, or one object per line with ``json_lines``
     (the form the writers here produce: it can be read in splits).
     ``tag='source'`` sets ``source`` to the file stem, ``tag='source_name'``
-    sets ``source_name`` to its title-cased form.
+    sets ``source_name`` to its title-cased form. ``stream`` reads each new file
+    of one folder.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    rows = (
-        spark.read.schema(RAW_JSON)
+    reader = spark.readStream if stream else spark.read
+    reader = (
+        reader.schema(RAW_JSON)
         .option("multiLine", not json_lines)
         .option("recursiveFileLookup", True)
-        .json(paths)
     )
+    rows = reader.json(path if isinstance(path, str) else list(path))
     if exclude:
         rows = rows.filter(~F.col("_metadata.file_name").isin(*exclude))
     stem = file_stem()

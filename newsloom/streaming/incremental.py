@@ -35,8 +35,11 @@ def stream_into_store(
 
 
 def dedup_by_url(articles: DataFrame, horizon: str = HORIZON) -> DataFrame:
-    """The first article per URL; a URL is remembered for ``horizon``."""
-    return articles.withWatermark("date", horizon).dropDuplicatesWithinWatermark(["url"])
+    """The first article per URL; a URL is remembered for ``horizon``. An
+    undated article counts from when it was scraped."""
+    scraped = [F.col("scraped_at")] if "scraped_at" in articles.columns else []
+    timed = articles.withColumn("_time", F.coalesce("date", *scraped))
+    return timed.withWatermark("_time", horizon).dropDuplicatesWithinWatermark(["url"]).drop("_time")
 
 
 def daily_counts(articles: DataFrame, horizon: str = HORIZON) -> DataFrame:

@@ -81,6 +81,17 @@ def test_ingest_twice(spark):
     assert [tuple(r) for r in statistics.by_source(store).collect()] == [("A", 1), ("B", 1), ("S", 0)]
 
 
+def test_known_sources_only(spark):
+    path = scratch_dir(spark, "store")
+    feeds = spark.createDataFrame([(0, "A & B", "https://feed/ab")], "seq long, name string, url string")
+    rows = batch(spark, article(0, "https://a.com/1", source="a-b"), article(1, "https://a.com/2", source="other"))
+    result = ingest(path, rows, "2024-01-31", feeds, known_sources_only=True)
+    assert counters(result) == {"processed": 2, "inserted": 1, "rejected": 1, "duplicates": 0}
+    assert [r.reason for r in result.rejects.collect()] == ["source not in the feed list"]
+    store = tables.read_store(spark, path)
+    assert [(r.name, r.url) for r in store.sources.collect()] == [("a-b", "https://feed/ab")]
+
+
 def test_interrupted_ingest_is_repaired(spark):
     """Links and categories without their article: a rerun adds each row once."""
     path = scratch_dir(spark, "store")

@@ -6,8 +6,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions import parse_date
+from newsloom.operators.normalize import entry_to_raw, normalize_articles
+from newsloom.operators.tables import read_store
 from newsloom.session import scratch_dir
-from newsloom.streaming import daily_counts, dedup_by_url
+from newsloom.sources import read_articles, read_rss, rss_entries
+from newsloom.streaming import daily_counts, dedup_by_url, stream_into_store
 
 SCHEMA = "url string, source string, date timestamp"
 FIRST_DAY = datetime(2024, 1, 1)
@@ -72,3 +76,36 @@ def test_daily_counts_append_closed_days_only(spark, landed):
     closed_before = (FIRST_DAY + timedelta(days=11, hours=19) - timedelta(days=7)).date()
     assert days and max(days) < closed_before
     assert all(r.n in (14, 12) for r in out.collect())
+
+
+ITEM = "<item><title>T{0}</title><link>https://a.com/{0}</link><category>AI</category><pubDate>{1}</pubDate></item>"
+
+
+def test_rss_files_stream_into_the_store(spark, tmp_path):
+    """A file that repeats an item arrives later; a restart goes on where it stopped."""
+    feed, store, checkpoint = tmp_path / "feed", scratch_dir(spark, "store"), scratch_dir(spark, "checkpoint")
+    feed.mkdir()
+
+    def run():
+        entries = rss_entries(read_rss(spark, str(feed), stream=True))
+        articles = normalize_articles(entry_to_raw(entries, "2024-01-31", F.lit("A")))
+        stream_into_store(articles, store, checkpoint, "2024-01-31").awaitTermination()
+        return sorted((r.title, str(r.date)) for r in read_store(spark, store).articles.collect())
+
+    one = ITEM.format(1, "Tue, 30 Jan 2024 10:00:00 +0200")
+    (feed / "a.xml").write_text(f"<rss><channel>{one}</channel></rss>")
+    first = [("T1", "2024-01-30 08:00:00")]
+    assert run() == first
+    (feed / "b.xml").write_text(f"<rss><channel>{one}{ITEM.format(2, 'soon')}</channel></rss>")
+    assert run() == first + [("T2", "None")]
+    assert run() == first + [("T2", "None")]
+
+
+def test_json_files_stream_with_undated_articles(spark, tmp_path):
+    line = '{"title":"T%d","url":"https://a.com/%d","scraped_at":"2024-01-30T10:00:00Z"}\n'
+    (tmp_path / "a.json").write_text(line % (1, 1) + line % (2, 2))
+    (tmp_path / "b.json").write_text(line % (3, 1))
+    raw = read_articles(spark, str(tmp_path), json_lines=True, stream=True)
+    timed = raw.select("url", parse_date(F.col("date")).alias("date"), parse_date(F.col("scraped_at")).alias("scraped_at"))
+    out = run(spark, dedup_by_url(timed), "append")
+    assert sorted(r.url for r in out.collect()) == ["https://a.com/1", "https://a.com/2"]
