@@ -6,7 +6,7 @@ from newsloom.catalog.fixtures import DOCS_AS_OF, SQL_DOCS_PAGE, SQL_REPORT_PAGE
 from newsloom.catalog.registry import query
 from newsloom.plans import digest, report
 from newsloom.plans.retrieval import recent_articles
-from newsloom.session import scratch_dir
+from newsloom.session import scratch_dir, written
 from newsloom.sources import files
 
 PERIOD = "24/01/2024 au 31/01/2024"
@@ -16,6 +16,11 @@ def week(spark, sf_dir):
     return recent_articles(docs_store(spark, sf_dir), DOCS_AS_OF, days=7, limit=1000)
 
 
+def stored_week(spark, sf_dir):
+    """The week's articles as the weekly run has them: queried once, written."""
+    return written(week(spark, sf_dir), "week")
+
+
 def month(spark, sf_dir):
     return recent_articles(docs_store(spark, sf_dir), DOCS_AS_OF, days=30, limit=1000)
 
@@ -75,12 +80,12 @@ def echo():
 
 @query(SQL_BLOCKS + "select source, n_articles, newest, first_id, body from fx_bodies")
 def digest_blocks(spark, sf_dir):
-    return digest.digest_blocks(week(spark, sf_dir))
+    return digest.digest_blocks(stored_week(spark, sf_dir))
 
 
 @query(SQL_BLOCKS + SQL_REQUEST)
 def digest_request(spark, sf_dir):
-    return digest.digest_request(week(spark, sf_dir), DOCS_AS_OF)
+    return digest.digest_request(stored_week(spark, sf_dir), DOCS_AS_OF)
 
 
 SQL_DIGEST = (
@@ -92,14 +97,14 @@ SQL_DIGEST = (
 
 @query(SQL_DIGEST)
 def digest_result(spark, sf_dir):
-    requests = digest.digest_request(week(spark, sf_dir), DOCS_AS_OF)
+    requests = digest.digest_request(stored_week(spark, sf_dir), DOCS_AS_OF)
     return digest.generate_digest(requests, echo).select("digest")
 
 
 @query(SQL_DIGEST)
 def write_digest(spark, sf_dir):
     path = scratch_dir(spark, "digests")
-    requests = digest.digest_request(week(spark, sf_dir), DOCS_AS_OF)
+    requests = digest.digest_request(stored_week(spark, sf_dir), DOCS_AS_OF)
     files.write_digest(digest.generate_digest(requests, echo), path, DOCS_AS_OF)
     return files.latest_digest(spark, path).select(F.col("content").alias("digest"))
 
@@ -112,7 +117,7 @@ def write_digest(spark, sf_dir):
 def latest_digest(spark, sf_dir):
     """An older day's digest is written first; the newer file is found."""
     path = scratch_dir(spark, "digests")
-    blocks = digest.digest_blocks(week(spark, sf_dir))
+    blocks = digest.digest_blocks(stored_week(spark, sf_dir))
     older = blocks.agg(F.expr("listagg(source, ',') within group (order by source)").alias("digest"))
     newer = blocks.agg(
         F.concat(F.lit("\n"), F.expr("listagg(body, '\n') within group (order by source)")).alias("digest")
@@ -130,14 +135,14 @@ def numbered_articles(spark, sf_dir):
 
 @query(SQL_LIST + "select number, block from fx_entries")
 def full_article_list(spark, sf_dir):
-    return digest.full_article_list(week(spark, sf_dir)).select(
+    return digest.full_article_list(stored_week(spark, sf_dir)).select(
         F.col("number").cast("bigint").alias("number"), "block"
     )
 
 
 @query(SQL_LIST + "select string_agg(block, chr(10) order by number) as document from fx_entries")
 def write_full_list(spark, sf_dir):
-    blocks = digest.full_article_list(week(spark, sf_dir))
+    blocks = digest.full_article_list(stored_week(spark, sf_dir))
     target = files.write_full_list(blocks, scratch_dir(spark, "lists"), DOCS_AS_OF)
     document = spark.read.text(target, wholetext=True)
     return document.select(F.regexp_replace("value", r"\n\z", "").alias("document"))

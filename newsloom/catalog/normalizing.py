@@ -134,6 +134,15 @@ def slugify(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", fn.slugify(name).alias("slug"))
 
 
+@query(
+    """select c_custkey, translate(lower(trim('  ' || c_name || '_' || c_mktsegment || ' ')), '-_#', '  #') as name
+    from customer"""
+)
+def match_name(spark, sf_dir):
+    name = F.concat(F.lit("  "), "c_name", F.lit("_"), "c_mktsegment", F.lit(" "))
+    return table(spark, sf_dir, "customer").select("c_custkey", fn.match_name(name).alias("name"))
+
+
 @query(
     """with stems as (
       select p_partkey, replace(lower(p_brand) || '-' || p_name || '-a1b', '-', ' ') as stem from part)
@@ -192,7 +201,7 @@ def normalize_article(spark, sf_dir):
 
 @query(
     f"""select source, count(*) as n, count(title) as titles, count(url) as urls, count(date) as dates,
-    sum(length(content)) as content_chars
+    cast(sum(length(content)) as bigint) as content_chars
     from (select a.source, a.title, a.url, date '2024-01-31' as date, nullif(a.content, '') as content
           from ({SQL_PAGE_ARTICLE}) a
           union all
@@ -255,7 +264,7 @@ def entry_to_raw(spark, sf_dir):
     return raw.select("title", "url", "date", scraped, "source", "content")
 
 
-@query("select doc_id, text as from_list, text as from_value, text as from_text, null as from_empty from documents")
+@query("select doc_id, text as from_list, text as from_value, text as from_text, cast(null as varchar) as from_empty from documents")
 def content_first(spark, sf_dir):
     shapes = table(spark, sf_dir, "documents").select(
         "doc_id",

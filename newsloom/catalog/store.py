@@ -35,7 +35,7 @@ from newsloom.operators.tables import (
 from newsloom.operators.tables import upsert_sources as sources_after_upsert
 from newsloom.plans import retrieval, statistics
 from newsloom.plans.ingest import ingest
-from newsloom.session import scratch_dir
+from newsloom.session import scratch_dir, written
 
 ARTICLE_COLUMNS = ["id", "title", "url", "source_id", "date", "summary", "source_name", "source_url"]
 
@@ -397,7 +397,7 @@ def docs_batch(spark, sf_dir) -> DataFrame:
 def ingest_batch(spark, sf_dir):
     """The store after the same batch was ingested twice, with extracts of the new texts."""
     path = scratch_dir(spark, "store")
-    batch = docs_batch(spark, sf_dir)
+    batch = written(docs_batch(spark, sf_dir), "delivery")
     ingest(path, batch, "2024-01-31 09:00:00", summarize=with_extractive_summary)
     ingest(path, batch, "2024-02-01 09:00:00")
     store = read_store(spark, path)
