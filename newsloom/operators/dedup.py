@@ -24,10 +24,11 @@ def absent_from(batch: DataFrame, stored: DataFrame, keys: Sequence[str] = ("url
 
     Stored keys are first reduced to those the batch asks for. Then the build
     side of both joins is no larger than the batch, and a small batch is
-    broadcast by Spark's own size check instead of shuffling the store.
+    broadcast by Spark's own size check instead of shuffling the store. Repeated
+    keys of the batch collapse before the shuffle.
     """
     keys = list(keys)
-    asked = stored.select(*keys).join(batch.select(*keys), keys, "left_semi")
+    asked = stored.select(*keys).join(batch.select(*keys).distinct(), keys, "left_semi")
     return batch.join(asked, keys, "left_anti")
 
 

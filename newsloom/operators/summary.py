@@ -14,8 +14,8 @@ TextModel = Callable[[Sequence[str]], Sequence[str]]
 
 # A word's weight is this divided by the number of documents that use it.
 WEIGHT_SCALE = 1_000_000
-# Words used by at least one document in so many are looked up by broadcast.
-COMMON_WORD_SHARE = 1000
+# At most so many words are looked up by broadcast.
+MAX_COMMON_WORDS = 1_000_000
 
 
 def summary_text(df: DataFrame) -> Column:
@@ -47,25 +47,25 @@ def extractive_summary(
     kept whole; a sentence over ``max_words`` is cut when it is shown.
 
     The texts are shuffled once, by id; every step reads that exchange. The
-    scores move keys and numbers only. Words found in at least one document in 1000 go by broadcast: there
-    are at most 1000 times the mean number of distinct words per document of
-    them, whatever the size of the input. Any other word is in less than a
-    thousandth of the documents, so no key of the shuffled join is hot.
+    scores move keys and numbers only. A word is common when it makes up at
+    least 1 in ``MAX_COMMON_WORDS`` of all (document, word) pairs: there cannot
+    be more than that many, whatever the input, and these go by broadcast. Any
+    other word is below that share, so no key of the shuffled join is hot.
     """
     texts = docs.select(
         F.col(id_col).alias("id"),
         F.btrim(F.regexp_replace(F.coalesce(text_col, F.lit("")), WHITE_SPACE, " ")).alias("text"),
     ).filter("id is not null").repartition("id")
-    total = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
-    usage = (
+    counts = (
         texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n_docs"))
-        .select(
-            "word",
-            F.expr(f"{WEIGHT_SCALE} div n_docs").alias("weight"),
-            (F.col("n_docs") * COMMON_WORD_SHARE >= total).alias("common"),
-        )
+    )
+    pairs = counts.agg(F.sum("n_docs").alias("pairs")).scalar()
+    usage = counts.select(
+        "word",
+        F.expr(f"{WEIGHT_SCALE} div n_docs").alias("weight"),
+        (F.col("n_docs") * MAX_COMMON_WORDS >= pairs).alias("common"),
     )
     # The word count is taken before the words are exploded, once per sentence.
     words = (

@@ -77,7 +77,7 @@ def ingest(
     # The store's keys are reduced to the ids this batch asks for, then compared
     # by URL: same id and URL is a duplicate, same id and other URL a clash.
     asked = store.articles.select("id", F.col("url").alias("stored_url")).join(
-        valid.select("id"), "id", "left_semi"
+        valid.select("id").distinct(), "id", "left_semi"
     )
     probed = first_wins(valid).join(asked, "id", "left")
     nth_url = F.row_number().over(Window.partitionBy("id").orderBy("url"))

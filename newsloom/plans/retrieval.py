@@ -142,7 +142,7 @@ def article_by_url(store: StoreTables, url: str) -> DataFrame:
 def articles_by_urls(store: StoreTables, urls: DataFrame) -> DataFrame:
     """The articles of a table of URLs. In a store partitioned by day, the keys
     are found first, and whole rows are read from their days only."""
-    rows = store.articles.join(urls.select("url"), "url", "left_semi")
+    rows = store.articles.join(urls.select("url").distinct(), "url", "left_semi")
     if "date_day" in rows.columns:
         rows = _pick(store.articles, _keys(rows))
     return _with_categories(_with_source(rows, store.sources), category_lists(store, _keys(rows)))
