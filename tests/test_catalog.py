@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from newsloom.catalog import QUERIES
 from oracle import connect, duckdb_table, spark_table
 
 
@@ -11,7 +12,7 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, sf_dir, con, name):
     assert name in driver.oracle_sql()
     columns, rows = spark_table(driver.queries()[name](spark, sf_dir))
