@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.exact_dedup import exact_groups
+from newsloom.llm.quality import quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +45,8 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 )
 def op8_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents"), keep=F.max)
+
+
+@query()
+def op10_quality_rules(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"))
