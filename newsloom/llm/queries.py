@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.exact_dedup import exact_groups
 from newsloom.llm.quality import quality
+from newsloom.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,3 +51,63 @@ def op8_exact_dedup(spark, sf_dir):
 @query()
 def op10_quality_rules(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = """
+    values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+           ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+    as rules(host, path, action)
+"""
+
+
+@query(
+    r"""
+    with recursive rules(h, p, action) as (
+        values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+               ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+    ),
+    cut as (
+        select page_id, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest
+        from pages
+    ),
+    parsed as (
+        select page_id, html,
+               coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+               coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path,
+               regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as tail
+        from cut
+    ),
+    found as (
+        select host || tail as node, regexp_extract(tag, '(?i)href\s*=\s*["'']([^"'']*)', 1) as target
+        from (select host, tail, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\bcanonical\b[^>]*>')) as tag from parsed)
+        where contains(tag, '://')
+    ),
+    edge as (
+        select node as a, regexp_replace(regexp_replace(target, '^.*?://', ''), '#.*$', '') as b from found
+        union select regexp_replace(regexp_replace(target, '^.*?://', ''), '#.*$', ''), node from found
+    ),
+    reach(a, b) as (select a, b from edge union select r.a, e.b from reach r join edge e on r.b = e.a),
+    place as (
+        select host, path from parsed
+        union select regexp_extract(b, '^[^/?#]*'), regexp_extract(b, '^[^/?#]*([^?#]*)', 1) from edge
+    ),
+    best as (
+        select host, path, arg_max(h || p, length(h || p)) as rule, arg_max(action, length(h || p)) as action
+        from place join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+        group by host, path
+    ),
+    carried as (
+        select r.a as node, bool_or(b.action = 'allow') as allowed
+        from (select a, b from reach union select a, a from edge) r
+        join best b on b.host = regexp_extract(r.b, '^[^/?#]*') and b.path = regexp_extract(r.b, '^[^/?#]*([^?#]*)', 1)
+        group by r.a
+    )
+    select page_id, p.host as host, p.path as path, rule,
+           coalesce(action, case when not allowed then 'block' end, 'allow') as verdict
+    from parsed p
+    left join best using (host, path)
+    left join carried c on c.node = p.host || p.tail
+    """
+)
+def op5_url_filter(spark, sf_dir):
+    return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"select * from {URL_RULES}"))
