@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.exact_dedup import exact_groups
+from newsloom.llm.pii import pseudonymise
 from newsloom.llm.quality import quality
 from newsloom.llm.url_filter import judge_urls
 
@@ -111,3 +112,11 @@ URL_RULES = """
 )
 def op5_url_filter(spark, sf_dir):
     return judge_urls(table(spark, sf_dir, "pages"), spark.sql(f"select * from {URL_RULES}"))
+
+
+PSEUDONYM_KEY = "a key of the test tables; keep a real one in a secret store"
+
+
+@query()
+def op1_pii_pseudonyms(spark, sf_dir):
+    return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
