@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.exact_dedup import exact_groups
+from newsloom.llm.line_dedup import drop_repeated_lines
 from newsloom.llm.pii import pseudonymise
 from newsloom.llm.quality import quality
 from newsloom.llm.url_filter import judge_urls
@@ -120,3 +121,28 @@ PSEUDONYM_KEY = "a key of the test tables; keep a real one in a secret store"
 @query()
 def op1_pii_pseudonyms(spark, sf_dir):
     return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+@query(
+    r"""
+    with lines as (
+        select doc_id, pos, line,
+               translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+        from (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos
+              from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents))
+    ),
+    common as (
+        select key, max(doc_id) as keeper from lines where length(key) >= 40
+        group by key having count(distinct doc_id) >= 5
+    ),
+    judged as (select l.*, c.key is not null and doc_id <> keeper as drops from lines l left join common c using (key))
+    select doc_id, count(*) as n_lines, count(*) filter (drops) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not drops), '')) as kept_sha256
+    from judged group by doc_id
+    """
+)
+def op3_line_dedup(spark, sf_dir):
+    return drop_repeated_lines(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256")
+    )
