@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.exact_dedup import exact_groups
 from newsloom.llm.line_dedup import drop_repeated_lines
+from newsloom.llm.near_dedup import near_duplicates
 from newsloom.llm.pii import pseudonymise
 from newsloom.llm.quality import quality
 from newsloom.llm.url_filter import judge_urls
@@ -146,3 +147,8 @@ def op3_line_dedup(spark, sf_dir):
     return drop_repeated_lines(table(spark, sf_dir, "documents")).select(
         "row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256")
     )
+
+
+@query()
+def op6_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
