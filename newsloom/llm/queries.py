@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.exact_dedup import exact_groups
 from newsloom.llm.line_dedup import drop_repeated_lines
 from newsloom.llm.near_dedup import near_duplicates
+from newsloom.llm.packing import pack
 from newsloom.llm.pii import pseudonymise
 from newsloom.llm.quality import quality
 from newsloom.llm.url_filter import judge_urls
@@ -152,3 +153,8 @@ def op3_line_dedup(spark, sf_dir):
 @query()
 def op6_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_best_fit_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
