@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.columns import SPACES, let, whole, words
+from newsloom.llm.columns import SPACES, WHITESPACE, let, whole, words
 from newsloom.session import written
 
 MIN_WORDS = 50
-SYMBOLS = "#*$%&|<>"
 CLASSES = {
-    "upper": string.ascii_uppercase,
-    "digit": string.digits,
-    "symbol": SYMBOLS,
-    "space": SPACES,
-    "punctuation": ".,;:!?'\"()-",
+    "upper": "[A-Z]",
+    "digit": "[0-9]",
+    "symbol": "[#*$%&|<>]",
+    "space": WHITESPACE,
+    "punctuation": "[.,;:!?'\"()-]",
 }
 COMMON_WORDS = 32
 LANGUAGE_SHARE = 0.001
@@ -57,10 +54,6 @@ def repeated_window_words(tokens: Column, width: int = 3) -> Column:
     return F.coalesce(let(ordered, lambda w: let(repeated(w), covered)), F.lit(0).cast("long"))
 
 
-def _removed(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
-
-
 def _common_words(docs: DataFrame, n: int) -> DataFrame:
     """The most frequent words of each language, by a mergeable sketch of 10,000 counters."""
     each = docs.select("language", F.explode("words").alias("word"))
@@ -124,7 +117,7 @@ def quality(
         F.broadcast(common), F.col("t.language").eqNullSafe(F.col("c.language")), "left"
     )
     text, word_list = F.col("text"), F.col("words")
-    lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, SPACES, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     known = F.coalesce("common", F.array().cast("array<string>"))
     ranks = F.sort_array(F.transform(word_list, lambda w: F.array_position(known, w)))
     rank_counts = let(
@@ -140,7 +133,7 @@ def quality(
             "t.language",
             F.size(word_list).cast("long").alias("n_words"),
             F.char_length(text).cast("long").alias("n_chars"),
-            *[_removed(text, group).cast("long").alias(name) for name, group in CLASSES.items()],
+            *[F.regexp_count(text, F.lit(group)).cast("long").alias(name) for name, group in CLASSES.items()],
             let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
             repeated_window_words(word_list).alias("n_repeat_words"),
             rank_counts.alias("word_counts"),
