@@ -13,6 +13,7 @@ from newsloom.llm.near_dedup import near_duplicates
 from newsloom.llm.packing import pack
 from newsloom.llm.pii import pseudonymise
 from newsloom.llm.quality import quality
+from newsloom.llm.substring_dedup import drop_repeated_passages
 from newsloom.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +159,10 @@ def op6_minhash_near_dedup(spark, sf_dir):
 @query()
 def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_substring_dedup(spark, sf_dir):
+    return drop_repeated_passages(table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "n_words", "n_removed", F.sha2("row.text", 256).alias("kept_sha256")
+    )
