@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.exact_dedup import exact_groups
 from newsloom.llm.line_dedup import drop_repeated_lines
+from newsloom.llm.mixing import NO_ID, mix_slots
 from newsloom.llm.near_dedup import near_duplicates
 from newsloom.llm.packing import pack
 from newsloom.llm.pii import pseudonymise
@@ -166,3 +167,11 @@ def op7_substring_dedup(spark, sf_dir):
     return drop_repeated_passages(table(spark, sf_dir, "documents")).select(
         "row.doc_id", "n_words", "n_removed", F.sha2("row.text", 256).alias("kept_sha256")
     )
+
+
+@query()
+def op4_source_mixing(spark, sf_dir):
+    slots = mix_slots(table(spark, sf_dir, "documents"))
+    return slots.select(
+        F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "source", "block", "slot", "release", "deadline"
+    )
