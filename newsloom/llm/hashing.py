@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,8 +71,19 @@ def texts(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000) -> Ite
         yield rows
 
 
-def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is one of ``ids`` (distinct, counted here). The ids are
-    broadcast only when there are few; beyond that the rows are shuffled."""
+def packed(values: np.ndarray) -> bytes:
+    """Integers as deflated byte planes: small ones cost about a byte."""
+    size = values.dtype.itemsize
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, size).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, dtype: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows whose ``key`` is one of ``ids`` (distinct, counted here), or with ``left_anti`` the
+    others. The ids are broadcast only when there are few; beyond that the rows are shuffled."""
     few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return rows.join(F.broadcast(ids) if few else ids, key, how)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.columns import whole
 from newsloom.llm.components import connected_components
-from newsloom.llm.hashing import WordHashes, only, shingle_set, texts
+from newsloom.llm.hashing import WordHashes, by_ids, shingle_set, texts
 from newsloom.llm.setsketch import REGISTERS, jaccard, registers
 from newsloom.session import written
 
@@ -118,7 +118,7 @@ class _Links:
         )
         likely = written(sketched.mapInArrow(lambda x: _likely(x, least - margin), "a long, b long"), "likely")
         asked = likely.select(F.col("a").alias("doc")).unionAll(likely.select(F.col("b").alias("doc"))).distinct()
-        found = written(only(self.source, asked, "doc"), "texts")
+        found = written(by_ids(self.source, asked, "doc"), "texts")
         left, right = (found.select(F.col("doc").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         width, percent = self.width, self.percent
         return written(
@@ -206,3 +206,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
             (F.coalesce("component", "doc") == F.col("doc")).alias("kept"),
         )
     )
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns."""
+    found = written(near_duplicates(docs, width, percent), "components")
+    dropped = found.filter("not kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).distinct()
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("id"),
+    )
+    return by_ids(keyed, dropped, "id", "left_anti").select("row.*")

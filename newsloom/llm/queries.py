@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.exact_dedup import exact_groups
 from newsloom.llm.line_dedup import drop_repeated_lines
+from newsloom.llm.lm_scoring import score_texts
 from newsloom.llm.mixing import NO_ID, mix_slots
 from newsloom.llm.near_dedup import near_duplicates
 from newsloom.llm.packing import pack
@@ -175,3 +176,8 @@ def op4_source_mixing(spark, sf_dir):
     return slots.select(
         F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "source", "block", "slot", "release", "deadline"
     )
+
+
+@query()
+def op9_lm_scoring(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from newsloom.llm.columns import whole
-from newsloom.llm.hashing import GOLDEN, WordHashes, mix, texts, windows
+from newsloom.llm.hashing import GOLDEN, WordHashes, mix, packed, texts, unpacked, windows
 from newsloom.session import written
 
 WIDTH = 13
@@ -34,19 +34,8 @@ ASKS = "shard int, doc long, hashes binary, docs binary, places binary"
 REMOVED = "doc long, places binary"
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Integers as deflated byte planes: small ones cost about a byte."""
-    size = values.dtype.itemsize
-    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, size).T).tobytes(), 1)
-
-
-def _unpacked(data: bytes, dtype: type) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
-
-
 def _differences(sorted_cells: np.ndarray) -> bytes:
-    return _packed(np.diff(sorted_cells, prepend=0).astype(np.uint32))
+    return packed(np.diff(sorted_cells, prepend=0).astype(np.uint32))
 
 
 def _cells(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -118,9 +107,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key is not None:
                     yield plane(key, counts)
                 key, counts = (row, block), np.zeros(BLOCK, np.uint8)
-            cells = np.cumsum(_unpacked(once, np.uint32))
+            cells = np.cumsum(unpacked(once, np.uint32))
             counts[cells] = np.minimum(counts[cells] + 1, 2)
-            counts[np.cumsum(_unpacked(twice, np.uint32))] = 2
+            counts[np.cumsum(unpacked(twice, np.uint32))] = 2
     if key is not None:
         yield plane(key, counts)
 
@@ -175,7 +164,7 @@ def _asks(
         for s in range(shards):
             mine = order[cuts[s] : cuts[s + 1]]
             if len(mine):
-                rows.append((s, None, found[mine].tobytes(), _packed(docs[mine]), _packed(places[mine])))
+                rows.append((s, None, found[mine].tobytes(), packed(docs[mine]), packed(places[mine])))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
@@ -184,8 +173,8 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answered(parts: list[tuple]) -> pa.RecordBatch:
         hashes = np.concatenate([np.frombuffer(h, np.uint64) for h, _, _ in parts])
-        docs = np.concatenate([_unpacked(d, np.int64) for _, d, _ in parts])
-        places = np.concatenate([_unpacked(p, np.int64) for _, _, p in parts])
+        docs = np.concatenate([unpacked(d, np.int64) for _, d, _ in parts])
+        places = np.concatenate([unpacked(p, np.int64) for _, _, p in parts])
         order, low = _lowest(hashes, docs)
         docs, places = docs[order], places[order]
         later = docs > low
