@@ -83,6 +83,7 @@ def quality(
     character_limit: tuple[float, float] = CHARACTER_LIMIT,
     word_limit: tuple[float, float] = WORD_LIMIT,
     min_words: int = MIN_WORDS,
+    with_rows: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, character_distance, word_distance, base_failed, kept.
@@ -98,9 +99,11 @@ def quality(
     between rows move the sketches of frequent words and sums by language.
 
     NULL or empty text has no words and fails. Repeated rows each get a row. An empty
-    table gives an empty result. Other columns are ignored.
+    table gives an empty result. Other columns are ignored; ``with_rows`` adds them all as a struct ``row``.
     """
-    named = docs.select("doc_id", F.col("lang").alias("language"), whole().alias("text"))
+    carried = ["row"] if with_rows else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_rows else []
+    named = docs.select(*row, "doc_id", F.col("lang").alias("language"), whole().alias("text"))
     counted = named.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n")).scalar()
     large = counted.filter(F.col("language").isNotNull() & (F.col("n") >= LANGUAGE_SHARE * total))
@@ -109,7 +112,7 @@ def quality(
     tokens = (
         named.join(large, "language", "left")
         .withColumn("language", F.when(F.col("own"), F.col("language")))
-        .select("doc_id", "language", "text", words(F.col("text")).alias("words"))
+        .select(*carried, "doc_id", "language", "text", words(F.col("text")).alias("words"))
     )
 
     common = written(_common_words(tokens, common_words), "common").alias("c")
@@ -129,6 +132,7 @@ def quality(
     )
     features = written(
         measured.select(
+            *carried,
             "doc_id",
             "t.language",
             F.size(word_list).cast("long").alias("n_words"),
@@ -170,6 +174,7 @@ def quality(
         shares.alias("s")
         .join(F.broadcast(references), F.col("s.language").eqNullSafe(F.col("r.language")), "left")
         .select(
+            *carried,
             "doc_id",
             "n_words",
             (F.col("n_chars") - F.col("space")).alias("word_chars"),
