@@ -1,0 +1,94 @@
+"""URL rules and aliases, on a small web."""
+
+import random
+
+from newsloom.llm.components import connected_components
+from newsloom.llm.url_filter import judge_urls
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def canonical(url):
+    return f"<html><LINK href='{url}' REL=canonical></html>"
+
+
+def judged(spark, rows, rules=RULES, redirects=None):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'n' as node")
+    found = judge_urls(pages, spark.createDataFrame(rules, "host string, path string, action string"), redirects)
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in found.collect()}
+
+
+def test_rules(spark):
+    urls = {
+        1: ("http://EXAMPLE.org/en/12?x#y", ("example.org", "/en/12", "example.org/en/1", "block")),
+        2: ("https://a.b.example.org/es/", ("a.b.example.org", "/es/", "example.org/es/", "block")),
+        3: ("http://notexample.org/es/", ("notexample.org", "/es/", "org/", "allow")),
+        4: ("http://example.org", ("example.org", "", None, "allow")),
+        5: ("http://x.com?/de/", ("x.com", "", None, "allow")),
+        6: ("http://x.com/de/://fr", ("x.com", "/de/://fr", "com/de/", "block")),
+        7: ("no scheme", ("", "", None, "allow")),
+        8: (None, ("", "", None, "allow")),
+        9: ("", ("", "", None, "allow")),
+        10: ("ftp://com/de/" + "x" * 100_000, ("com", "/de/" + "x" * 100_000, "com/de/", "block")),
+        11: ("http://X.COM/DE/", ("x.com", "/DE/", None, "allow")),
+    }
+    got = judged(spark, [(i, url, None) for i, (url, _) in urls.items()])
+    assert got == {i: want for i, (_, want) in urls.items()}
+
+
+def test_block_is_carried_and_allow_comes_first(spark):
+    rows = [
+        (1, "http://bad.com/de/1", None),
+        (2, "http://b.net/x", '<meta http-equiv="refresh" content="0; URL=\'http://bad.com/de/1#top\'">'),
+        (3, "https://b.net/y?a=1&b=2", canonical("/x")),
+        (4, "http://c.net/q", canonical("//b.net/y?a=1&amp;b=2")),
+        (5, "http://d.net/a/b", canonical("c")),
+        (6, "http://d.net/a/c", canonical("http://good.org/z")),
+        (7, "http://d.net/e", canonical("http://other.com/de/")),
+        (8, "http://d.net/f", canonical("http://d.net/e")),
+        (9, "http://good.org/z", canonical("http://bad.com/de/1")),
+        (10, "http://alone.net/", canonical("http://alone.net/#self")),
+    ]
+    got = {i: v[3] for i, v in judged(spark, rows[:4]).items()}
+    assert got == {i: "block" for i in range(1, 5)}
+    # With an allowed alias the rest is allowed; the rule of the page itself holds.
+    got = {i: v[3] for i, v in judged(spark, rows).items()}
+    assert got == {1: "block", 7: "block", 8: "block"} | {i: "allow" for i in (2, 3, 4, 5, 6, 9, 10)}
+
+
+def test_redirect_table(spark):
+    redirects = spark.createDataFrame(
+        [("http://a.net/", "http://b.net/"), ("http://b.net/", "http://x.com/de/"), (None, "http://a.net/")],
+        "url string, target string",
+    )
+    rows = [(1, "http://a.net/", None), (2, "http://c.net/", None), (1, "http://a.net/", None)]
+    got = judged(spark, rows, redirects=redirects)
+    assert got[1][3] == "block" and got[2][3] == "allow"
+
+
+def test_empty_tables(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    rules = spark.createDataFrame([], "host string, path string, action string")
+    assert judge_urls(pages, rules).count() == 0
+    assert judged(spark, [(1, "http://a.org/", None)], [("x", "/", "block")])[1][3] == "allow"
+
+
+def test_components_of_random_graphs(spark):
+    draw = random.Random(5)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)]
+    edges += [(draw.randint(1000, 1200), draw.randint(1000, 1200)) for _ in range(120)] + [(None, 3), (7, 7)]
+    got = connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    parent = {}
+
+    def top(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+    assert {r.node: r.component for r in got} == {x: top(x) for x in parent} and len(got) == len(parent)
