@@ -6,7 +6,7 @@ Two stores: orders (many small articles, a large link table) and documents
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators.tables import StoreTables, surrogate_key
@@ -218,19 +218,12 @@ def raw_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL_EVENT_ARTICLES = """
-select 'Event ' || cast(event_id as varchar) as title,
-       'https://events.example.com/e/' || cast(event_id as varchar) as url,
-       event_type as source, ts as date
-from events
-"""
-
-
-def event_articles(events: DataFrame) -> DataFrame:
+def event_articles(events: DataFrame, *more: Column) -> DataFrame:
     key = F.col("event_id").cast("string")
     return events.select(
         F.concat(F.lit("Event "), key).alias("title"),
         F.concat(F.lit("https://events.example.com/e/"), key).alias("url"),
         F.col("event_type").alias("source"),
         F.col("ts").cast("timestamp").alias("date"),
+        *more,
     )

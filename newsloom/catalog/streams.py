@@ -2,20 +2,38 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from newsloom.catalog.fixtures import DOCS_AS_OF, SQL_EVENT_ARTICLES, event_articles, table
+from newsloom.catalog.fixtures import DOCS_AS_OF, event_articles, table
 from newsloom.catalog.registry import query
 from newsloom.operators.tables import read_store
 from newsloom.session import scratch_dir
 from newsloom.streaming import daily_counts, dedup_by_url, stream_into_store
 
 
+FILES = 4
+# A few events claim a date far in the future.
+SQL_WRONG_DATE = "case when event_id % 97 = 5 then {later} else ts end"
+SQL_STREAMED = f"""
+select 'Event ' || cast(event_id as varchar) as title,
+       'https://events.example.com/e/' || cast(event_id as varchar) as url, event_type as source,
+       {SQL_WRONG_DATE.format(later="ts + interval 75 year")} as date
+from events
+"""
+
+
 def stream_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events file as a stream of articles."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return event_articles(events)
+    """The events as a stream of articles: several files, read one by one, each with dates of
+    the whole time, so most articles are older than ones that came before."""
+    events = table(spark, sf_dir, "events")
+    path = scratch_dir(spark, "events")
+    dated = events.withColumn("ts", F.expr(SQL_WRONG_DATE.format(later="ts + interval 75 year")))
+    for i in range(FILES):
+        dated.filter(F.col("event_id") % FILES == i).coalesce(1).write.parquet(f"{path}/part={i}")
+    schema = StructType([*dated.schema.fields, StructField("part", IntegerType())])
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    arrival = F.expr("timestamp'2024-03-01 00:00:00' + make_interval(0, 0, 0, 0, part, 0, 0)")
+    return event_articles(rows, arrival.alias("scraped_at"))
 
 
 def finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
@@ -37,13 +55,19 @@ def finished(stream: DataFrame, spark: SparkSession, mode: str = "append") -> Da
     return spark.read.schema(schema).parquet(f"{path}/out")
 
 
-@query(SQL_EVENT_ARTICLES)
+@query(
+    f"""select case when event_id % 50 = 3 then null else title end as title, url, source, date,
+      case when event_id % 50 = 3 then 'title missing' end as rejected
+    from ({SQL_STREAMED.replace("from events", ", event_id from events")})"""
+)
 def stream_ingest(spark, sf_dir):
-    """The store after two full runs of the stream: the second adds nothing."""
+    """The store after two full runs of the stream, and the rejects of the first: the second
+    run adds nothing to the store."""
     path = scratch_dir(spark, "store")
+    number = F.substring_index("url", "/", -1).cast("long")
     articles = stream_articles(spark, sf_dir).withColumns(
         {
-            "scraped_at": F.col("date"),
+            "title": F.when(number % 50 != 3, F.col("title")),
             "categories": F.array("source"),
             **{
                 name: F.lit(None).cast(StringType())
@@ -53,14 +77,17 @@ def stream_ingest(spark, sf_dir):
     )
     for _ in range(2):
         stream_into_store(articles, path, scratch_dir(spark, "checkpoint"), DOCS_AS_OF).awaitTermination()
+    rejects = spark.read.parquet(f"{path}/rejects").filter("title is null")
     store = read_store(spark, path)
     names = store.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
-    return store.articles.join(names, "source_id").select(
-        "title", "url", "source", F.col("date").cast("timestamp_ntz").alias("date")
+    date = F.col("date").cast("timestamp_ntz").alias("date")
+    stored = store.articles.join(names, "source_id").select(
+        "title", "url", "source", date, F.lit(None).cast("string").alias("rejected")
     )
+    return stored.unionByName(rejects.select("title", "url", "source", date, F.col("reason").alias("rejected")))
 
 
-@query(SQL_EVENT_ARTICLES)
+@query(SQL_STREAMED)
 def stream_dedup(spark, sf_dir):
     """Every event arrives twice; one row per URL comes out."""
     articles = stream_articles(spark, sf_dir)
@@ -69,7 +96,7 @@ def stream_dedup(spark, sf_dir):
     return rows.select("title", "url", "source", F.col("date").cast("timestamp_ntz").alias("date"))
 
 
-@query("select cast(ts as date) as day, event_type as source, count(*) as n from events group by 1, 2")
+@query(f"select cast(date as date) as day, source, count(*) as n from ({SQL_STREAMED}) group by 1, 2")
 def stream_daily(spark, sf_dir):
     """Counts as updated by the stream; the last update of a day counts."""
     updates = finished(daily_counts(stream_articles(spark, sf_dir)), spark, "update")

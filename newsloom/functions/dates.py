@@ -14,6 +14,9 @@ FEED_DATE = (
     rf"({_CLOCK})\s+([+-]\d{{2}}):?(\d{{2}})$"
 )
 UTC_NAME = r"\s+(?:GMT|UTC|UT|Z)$"
+# A full day, with or without a time; what a report shows as a date.
+ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+FRACTION = r"(?<=:\d{2})\.\d{1,9}"
 
 
 def parse_date(text: Column) -> Column:
@@ -38,13 +41,23 @@ def parse_date(text: Column) -> Column:
     )
 
 
+def parse_scraped(text: Column) -> Column:
+    """TIMESTAMP of when an article was scraped, its fraction of a second kept.
+    The forms are those of :func:`parse_date`."""
+    whole = parse_date(F.regexp_replace(text, FRACTION, ""))
+    fraction = F.regexp_extract(text, FRACTION, 0)
+    micros = F.substring(F.rpad(F.substring(fraction, 2, 9), 6, "0"), 1, 6).try_cast("long")
+    return F.timestamp_micros(F.unix_micros(whole) + F.coalesce(micros, F.lit(0)))
+
+
 def format_day(moment: Column) -> Column:
     return F.date_format(moment, "dd/MM/yyyy")
 
 
 def format_report_date(text: Column) -> Column:
-    """'dd/MM/yyyy à HH:mm' of an ISO date text; other text as it is."""
-    moment = text.try_cast("timestamp")
+    """'dd/MM/yyyy à HH:mm' of an ISO date text; other text as it is, also a
+    bare time, year or month, which name no day."""
+    moment = F.when(text.rlike(ISO_MOMENT), text.try_cast("timestamp"))
     return F.coalesce(
         F.date_format(moment, "dd/MM/yyyy 'à' HH:mm"), text, F.lit("")
     )

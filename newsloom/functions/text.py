@@ -78,6 +78,20 @@ def content_first(content: Column, dtype: T.DataType) -> Column:
     return content.cast("string")
 
 
+def content_text(content: Column) -> Column:
+    """The text of a landed article's content, read as JSON text: the first of a
+    list of values, one value, or text. What is no such JSON stays as it is."""
+    listed = F.from_json(content, "array<struct<value:string>>")
+    plain = F.from_json(content, "array<string>")
+    single = F.from_json(content, "struct<value:string>")
+    first = F.coalesce(F.get(listed, F.lit(0))["value"], F.get(plain, F.lit(0)))
+    return (
+        F.when(content.rlike(r"^\s*\["), F.coalesce(first, content))
+        .when(content.rlike(r"^\s*\{"), F.coalesce(single["value"], content))
+        .otherwise(content)
+    )
+
+
 def _json_literal(value: object) -> str:
     """A SQL string literal holding ``value`` as JSON."""
     return "r'" + json.dumps(value).replace("'", r"\u0027") + "'"

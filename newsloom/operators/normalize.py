@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from newsloom.functions import (
     normalize_categories,
     normalize_url,
     parse_date,
+    parse_scraped,
 )
 
 UNKNOWN_SOURCE = "Unknown"
@@ -56,9 +58,9 @@ def normalize_articles(raw: DataFrame) -> DataFrame:
     def url(name: str) -> Column:
         return none_if_empty(normalize_url(given(name)))
 
-    def moment(name: str) -> Column:
+    def moment(name: str, parse: Callable[[Column], Column]) -> Column:
         is_text = name not in raw.columns or raw.schema[name].dataType.typeName() == "string"
-        return parse_date(given(name)) if is_text else F.col(name)
+        return parse(given(name)) if is_text else F.col(name)
 
     categories = given("categories")
     if "categories" not in raw.columns or raw.schema["categories"].dataType.typeName() == "string":
@@ -68,8 +70,8 @@ def normalize_articles(raw: DataFrame) -> DataFrame:
         text("title").alias("title"),
         url("url").alias("url"),
         none_if_empty(given("source")).alias("source"),
-        moment("scraped_at").alias("scraped_at"),
-        moment("date").alias("date"),
+        moment("scraped_at", parse_scraped).alias("scraped_at"),
+        moment("date", parse_date).alias("date"),
         text("author").alias("author"),
         text("summary").alias("summary"),
         text("description").alias("description"),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINT_DIR = "spark.checkpoint.dir"
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -28,6 +28,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    builder = builder.config(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="newsloom-"))
     for key, value in RECOMMENDED.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -35,22 +36,19 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-@cache
-def _local_root() -> str:
-    return tempfile.mkdtemp(prefix="newsloom-")
-
-
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
-    Only a local session may leave that setting out; a cluster needs a folder
-    that all executors share.
+    A cluster must set it to a folder that all executors share. A session on
+    one machine that comes without it gets the setting here, once.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = _local_root()
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
+        root = tempfile.mkdtemp(prefix="newsloom-")
+        spark.conf.set(CHECKPOINT_DIR, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

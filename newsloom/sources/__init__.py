@@ -2,6 +2,7 @@
 
 from newsloom.sources.feeds import atom_entries, read_atom, read_feed_list, read_rss, rss_entries
 from newsloom.sources.files import (
+    broken_articles,
     latest_digest,
     newest_first,
     read_articles,
@@ -14,6 +15,7 @@ from newsloom.sources.files import (
 
 __all__ = [
     "atom_entries",
+    "broken_articles",
     "latest_digest",
     "newest_first",
     "read_articles",

@@ -8,12 +8,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from newsloom.clock import utc
-from newsloom.functions import parse_categories, slugify, title_case
+from newsloom.functions import content_text, none_if_empty, parse_categories, slugify, title_case
 from newsloom.schemas import RAW_JSON
 
 NORMALIZED_FILE = "normalized_articles.json"
+CORRUPT = "_corrupt_record"
 
 
 def file_stem() -> Column:
@@ -37,22 +39,19 @@ def read_articles(
 
     A file holds one JSON array, or one object per line with ``json_lines``
     (the form the writers here produce: it can be read in splits).
+    Files named in ``exclude``, or in a folder of that name, are left out. Records that are no JSON
+    are left out too: :func:`broken_articles` returns them. Content is the text
+    of its list or object, else ``content_encoded``.
     ``tag='source'`` sets ``source`` to the file stem, ``tag='source_name'``
     sets ``source_name`` to its title-cased form. ``stream`` reads each new file
     of one folder.
     """
-    reader = spark.readStream if stream else spark.read
-    reader = (
-        reader.schema(RAW_JSON)
-        .option("multiLine", not json_lines)
-        .option("recursiveFileLookup", True)
-    )
-    rows = reader.json(path if isinstance(path, str) else list(path))
-    if exclude:
-        rows = rows.filter(~F.col("_metadata.file_name").isin(*exclude))
+    rows = _landed(spark, path, exclude, json_lines, stream).filter(F.col(CORRUPT).isNull())
     stem = file_stem()
     columns = {name: F.col(name) for name in RAW_JSON.fieldNames()}
     columns["categories"] = parse_categories(F.col("categories"))
+    shaped = [none_if_empty(content_text(F.col(name))) for name in ("content", "content_encoded")]
+    columns["content"] = F.coalesce(*shaped, F.col("content"))
     if tag == "source":
         columns["source"] = stem
     elif tag == "source_name":
@@ -62,6 +61,38 @@ def read_articles(
     return rows.select(*[column.alias(name) for name, column in columns.items()])
 
 
+def _landed(
+    spark: SparkSession, path: str | Sequence[str], exclude: Sequence[str], json_lines: bool, stream: bool
+) -> DataFrame:
+    reader = spark.readStream if stream else spark.read
+    reader = (
+        reader.schema(StructType([*RAW_JSON.fields, StructField(CORRUPT, StringType())]))
+        .option("multiLine", not json_lines)
+        .option("recursiveFileLookup", True)
+    )
+    rows = reader.json(path if isinstance(path, str) else list(path))
+    for name in exclude:
+        rows = rows.filter(~F.contains(F.concat("_metadata.file_path", F.lit("/")), F.lit(f"/{name}/")))
+    return rows
+
+
+def broken_articles(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    *,
+    exclude: Sequence[str] = (NORMALIZED_FILE,),
+    json_lines: bool = False,
+) -> DataFrame:
+    """(file, record, reason) of every record that is no JSON; in a JSON array
+    a mistake breaks the whole file."""
+    rows = _landed(spark, path, exclude, json_lines, False).filter(F.col(CORRUPT).isNotNull())
+    return rows.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col(CORRUPT).alias("record"),
+        F.lit("not valid JSON").alias("reason"),
+    )
+
+
 def union_batches(*batches: DataFrame) -> DataFrame:
     """Bag union of batches whose columns may differ."""
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), batches)

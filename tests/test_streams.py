@@ -71,7 +71,7 @@ def test_daily_counts_updates_reach_the_batch_result(spark, landed):
 
 def test_daily_counts_append_closed_days_only(spark, landed):
     folder, rows = landed
-    out = run(spark, daily_counts(stream_of(spark, folder)), "append")
+    out = run(spark, daily_counts(stream_of(spark, folder), "7 days"), "append")
     days = {r.day for r in out.collect()}
     closed_before = (FIRST_DAY + timedelta(days=11, hours=19) - timedelta(days=7)).date()
     assert days and max(days) < closed_before
@@ -109,3 +109,30 @@ def test_json_files_stream_with_undated_articles(spark, tmp_path):
     timed = raw.select("url", parse_date(F.col("date")).alias("date"), parse_date(F.col("scraped_at")).alias("scraped_at"))
     out = run(spark, dedup_by_url(timed), "append")
     assert sorted(r.url for r in out.collect()) == ["https://a.com/1", "https://a.com/2"]
+
+
+def test_wrong_dates_lose_nothing(spark, tmp_path):
+    """A date far in the future, then older articles and a repeat: by arrival nothing is late."""
+    days = ["2024-01-30", "2099-01-01", "2024-01-29", "2023-06-01", "2024-01-30"]
+    for i, day in enumerate(days):
+        target = tmp_path / f"{i}.json"
+        target.write_text('{"url":"u%d","source":"s","date":"%sT00:00:00Z","scraped_at":"2024-02-0%dT00:00:00Z"}' % (i % 4, day, i + 1))
+        os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(SCHEMA + ", scraped_at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    out = run(spark, dedup_by_url(stream), "append")
+    assert sorted(r.url for r in out.collect()) == ["u0", "u1", "u2", "u3"]
+    counts = run(spark, daily_counts(stream), "update").groupBy("day").agg(F.max_by("n", "batch").alias("n"))
+    assert sorted((str(r.day), r.n) for r in counts.collect()) == [
+        ("2023-06-01", 1), ("2024-01-29", 1), ("2024-01-30", 2), ("2099-01-01", 1),
+    ]
+
+
+def test_rejects_of_a_stream_are_kept(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"title":"T","url":"https://a.com/1"}\n{"title":"no url"}\n')
+    store = scratch_dir(spark, "store")
+    articles = normalize_articles(read_articles(spark, str(tmp_path), json_lines=True, stream=True))
+    stream_into_store(articles, store, scratch_dir(spark, "checkpoint"), "2024-01-31").awaitTermination()
+    (reject,) = spark.read.parquet(f"{store}/rejects").collect()
+    assert (reject.title, reject.reason) == ("no url", "url missing or malformed")
+    (counters,) = spark.read.parquet(f"{store}/counters").collect()
+    assert (counters.processed, counters.inserted, counters.rejected) == (2, 1, 1)
