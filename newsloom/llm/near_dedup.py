@@ -21,6 +21,8 @@ WIDTH = 5
 PERCENT = 75
 BAND = 4  # registers in a band
 DEVIATIONS = 5  # of the estimate, below the threshold, at which a pair is still verified
+BLOCK = 128  # documents in a block
+CELL = 1000  # documents of small groups compared in one task
 NO_ID = -(2**63)  # stands for a NULL id
 
 SKETCH = "doc long, n_shingles long, set_hash binary, registers binary"
@@ -130,6 +132,91 @@ class _Links:
         )
 
 
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for rows in texts(batches):
+        sets = [shingle_set(text, hashes, width).tobytes() for _, text in rows]
+        yield pa.record_batch(
+            [pa.array([doc for doc, _ in rows], pa.int64()), pa.array(sets, pa.binary())], names=["doc", "shingles"]
+        )
+
+
+def _compare(left: pa.Table, right: pa.Table, percent: int, least: float) -> list[tuple[int, int]]:
+    """Links between the documents of two blocks that belong to different parts."""
+    x, y = left.to_pydict(), right.to_pydict()
+    parts = [np.array(t["part"], np.int64) for t in (x, y)]
+    sketches = [np.frombuffer(b"".join(t["registers"]), np.uint16).reshape(-1, REGISTERS) for t in (x, y)]
+    sets = [[np.frombuffer(s, np.uint64) for s in t["shingles"]] for t in (x, y)]
+    sizes = [np.array([len(s) for s in own], np.int64) for own in sets]
+    # Registers agree at least as often as the sets are similar: few agreements need no likelihood.
+    alike = np.array([(sketches[1] == one).sum(axis=1) for one in sketches[0]]) >= least * REGISTERS
+    i, j = np.nonzero(alike & (parts[0][:, None] != parts[1][None, :]))
+    fits = 100 * np.minimum(sizes[0][i], sizes[1][j]) >= percent * np.maximum(sizes[0][i], sizes[1][j])
+    i, j = i[fits], j[fits]
+    likely = np.zeros(len(i), bool)
+    for at in range(0, len(i), 4096):
+        k, m = i[at : at + 4096], j[at : at + 4096]
+        likely[at : at + 4096] = jaccard(sketches[0][k], sketches[1][m], sizes[0][k], sizes[1][m]) >= least
+    i, j = i[likely], j[likely]
+    if not len(i):
+        return []
+    # Exact sizes of the intersections, from one sorted list of the right block's shingles.
+    elements, owner = np.concatenate(sets[1]), np.repeat(np.arange(len(sets[1])), sizes[1])
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    both = np.zeros((len(sets[0]), len(sets[1])), np.int64)
+    for k in np.unique(i):
+        low, high = np.searchsorted(elements, sets[0][k], "left"), np.searchsorted(elements, sets[0][k], "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both[k] = np.bincount(owner[at], minlength=len(sets[1]))
+    shared = both[i, j]
+    linked = (shared > 0) & (100 * shared >= percent * (sizes[0][i] + sizes[1][j] - shared))
+    return [(x["doc"][k], y["doc"][m]) for k, m in zip(i[linked], j[linked])]
+
+
+def _crossing(source: DataFrame, classes: DataFrame, open_docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different parts under one ``main``: of the documents outside the main part with all
+    documents there, in blocks. Only links leave a block, and a document is sent once for every block it meets."""
+    least = percent / 100 - DEVIATIONS * sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
+    asked = open_docs.select("doc").distinct()
+    sets = written(by_ids(source, asked, "doc").mapInArrow(lambda x: _sets(x, width), "doc long, shingles binary"), "sets")
+    counts = open_docs.groupBy("main").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("n_blocks"),
+        F.ceil(F.count_if(F.col("part") != F.col("main")) / BLOCK).alias("n_stray_blocks"),
+    )
+    n_cells = max(1, open_docs.count() // CELL)
+    rows = written(
+        open_docs.join(counts, "main").join(classes.select("doc", "registers"), "doc").join(sets, "doc"), "rows"
+    )
+    mine, other = F.pmod(F.xxhash64("doc"), F.col("n_blocks")), F.pmod(F.xxhash64("doc", F.lit(1)), F.col("n_stray_blocks"))
+    # Small groups share cells; pairs of blocks of a large one have cells of their own.
+    cell = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("main"), F.lit(n_cells))).otherwise(F.xxhash64("main", "i", "j"))
+    columns = ["cell", "main", "doc", "part", "registers", "shingles"]
+    strays = (
+        rows.filter("part <> main")
+        .withColumns({"i": other, "j": F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))})
+        .select(cell.alias("cell"), *columns[1:])
+    )
+    everyone = rows.withColumns(
+        {"j": mine, "i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_stray_blocks") - 1))}
+    ).select(cell.alias("cell"), *columns[1:])
+
+    def compared(left: pa.Table, right: pa.Table) -> pa.Table:
+        links = []
+        if left.num_rows and right.num_rows:
+            mains = [t.column("main").to_numpy() for t in (left, right)]
+            for main in np.unique(mains[0]):
+                own = [t.filter(pa.array(m == main)) for t, m in zip((left, right), mains)]
+                if own[1].num_rows:
+                    links += _compare(*own, percent, least)
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = strays.groupBy("cell").cogroup(everyone.groupBy("cell")).applyInArrow(compared, "a long, b long")
+    return written(found.distinct(), "crossing")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -142,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     SetSketch registers in 32 bands of 4; at similarity 0.75 two classes miss each other in all bands with
     probability 5e-6. In a bucket, all classes are first compared with its smallest one. After
     the links found so far are joined to components, the classes outside a bucket's largest component are
-    compared with those of the other components. So a bucket of near copies of
+    compared with all others there, in blocks of 128 that only links leave. So a bucket of near copies of
     one text costs one comparison for each, and no pair that shares a bucket is left
     open: it is in one component, or was compared. Pairs go on when the likelihood
     estimate lies above the threshold less five deviations, and are verified on
@@ -176,20 +263,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
     main = (
         sizes.groupBy("band")
-        .agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("n_parts"))
+        .agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("n_parts"))
         .filter("n_parts > 1")
         .drop("n_parts")
     )
-    open_rows = written(placed.join(main, "band"), "open")
-    x, y = open_rows.filter("part <> main").alias("x"), open_rows.alias("y")
-    crossing = (
-        x.join(y, "band")
-        .filter("x.part <> y.part and (y.part = y.main or x.doc < y.doc)")
-        .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-        .distinct()
-        .join(shared.select("a", F.col("doc").alias("b")).distinct(), ["a", "b"], "left_anti")
-    )
-    found = stars.unionByName(links.of(crossing))
+    open_docs = written(placed.join(main, "band").select("main", "doc", "part").distinct(), "open")
+    found = stars.unionByName(_crossing(source, classes, open_docs, width, percent))
 
     whole_graph = connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = classes.select("set_hash", "doc").join(
