@@ -115,14 +115,12 @@ from documents
 SQL_DOCS_PAGE = f"""
 with fx_docs as ({SQL_DOCS}),
 fx_page as (
-  select * from fx_docs where date >= timestamp '2024-01-24 00:00:00'
-  order by date desc, id limit 1000)
+  select * from fx_docs where date >= timestamp '2024-01-24 00:00:00')
 """
 SQL_REPORT_PAGE = f"""
 with fx_docs as ({SQL_DOCS}),
 fx_page as (
-  select * from fx_docs where date >= timestamp '2024-01-01 00:00:00'
-  order by date desc, id limit 1000)
+  select * from fx_docs where date >= timestamp '2024-01-01 00:00:00')
 """
 
 

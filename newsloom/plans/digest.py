@@ -1,7 +1,7 @@
-"""The weekly digest: article blocks, source blocks, request and result.
+"""The weekly digest: article blocks, source blocks, requests and result.
 
-Every input here is the result of a limited query (1000 articles by default),
-so collecting one source's or one digest's text is bounded by that limit.
+Texts are collected by slices of a source and by groups of answers, both of
+bounded number; there may be any number of articles.
 """
 
 from __future__ import annotations
@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.clock import days_before, utc
 from newsloom.functions import format_day
 from newsloom.operators.normalize import best_text, source_label, title_fallback
+from newsloom.operators.order import numbered
 from newsloom.operators.summary import TextModel, map_texts
 from newsloom.plans.retrieval import newest_order
+from newsloom.session import written
 
 # Formats and messages of the digest documents.
 SOURCE_HEADING = "\n## Articles de {source} ({n} articles)"
@@ -27,6 +29,9 @@ DIGEST_ERROR = "# Erreur de génération du résumé\n\nAucune réponse de quali
 LIST_HEADING = "# Articles scrappés de la semaine ({n})\n"
 SHORTEST_ANSWER = 50
 
+SLICE_ARTICLES = 200  # of one source in a request
+FAN_IN = 50  # answers that a further request joins
+
 # Instructions around the article list; a caller may pass any other text.
 DEFAULT_TEMPLATE = (
     "Rédige la synthèse hebdomadaire, en français et en Markdown, des articles "
@@ -74,40 +79,47 @@ def article_blocks(articles: DataFrame) -> DataFrame:
     )
 
 
-def digest_blocks(articles: DataFrame) -> DataFrame:
-    """One block per source: counted heading, then its articles, newest first.
+def digest_blocks(articles: DataFrame, slice_articles: int = SLICE_ARTICLES) -> DataFrame:
+    """One block per source and slice of ``slice_articles`` articles, newest first; the
+    first slice has the heading, which counts all of the source's articles.
 
-    ``newest`` and ``first_id`` say which article comes first; they order the
-    sources by first appearance.
+    ``newest`` and ``first_id`` say which article of the source comes first; they
+    order the sources by first appearance.
     """
+    order = [F.col("source"), F.col("date").desc_nulls_last(), F.col("id")]
+    blocks = numbered(article_blocks(articles), order, "_n")
     newest_then_id = F.struct(F.col("date"), F.bitwise_not("id").alias("rid"))
-    grouped = article_blocks(articles).groupBy("source").agg(
+    sources = blocks.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_articles"),
         F.max("date").alias("newest"),
         F.max_by("id", newest_then_id).alias("first_id"),
-        F.expr("listagg(block, '\n') within group (order by date desc nulls last, id)").alias("_blocks"),
+        F.min("_n").alias("_first"),
     )
-    heading = fill(SOURCE_HEADING, source=F.col("source"), n=F.col("n_articles").cast("string"))
-    return grouped.select(
-        "source",
-        "n_articles",
-        "newest",
-        "first_id",
-        F.concat(heading, F.lit("\n"), F.col("_blocks")).alias("body"),
+    grouped = (
+        blocks.select("source", "_n", "block")
+        .join(sources, "source")
+        .withColumn("slice", F.floor((F.col("_n") - F.col("_first")) / slice_articles).cast("int"))
+        .groupBy("source", "slice", "n_articles", "newest", "first_id")
+        .agg(F.expr("listagg(block, '\n') within group (order by _n)").alias("_blocks"))
     )
+    heading = fill(SOURCE_HEADING, source=F.col("source"), n=F.col("n_articles").cast("string"))
+    body = F.when(F.col("slice") == 0, F.concat(heading, F.lit("\n"), F.col("_blocks"))).otherwise(F.col("_blocks"))
+    return grouped.select("source", "slice", "n_articles", "newest", "first_id", body.alias("body"))
 
 
-def digest_request(
-    articles: DataFrame, as_of: datetime | str, days: int = 7, template: str = DEFAULT_TEMPLATE
+def digest_requests(
+    articles: DataFrame,
+    as_of: datetime | str,
+    days: int = 7,
+    template: str = DEFAULT_TEMPLATE,
+    slice_articles: int = SLICE_ARTICLES,
 ) -> DataFrame:
-    """(period, request): the text to send to a text model. No articles, no row."""
-    content = digest_blocks(articles).agg(
-        F.expr("listagg(body, '\n') within group (order by newest desc nulls last, first_id)").alias("content")
-    )
-    span = F.lit(period(as_of, days))
-    return content.filter("content is not null").select(
-        span.alias("period"), fill(template, period=span, content=F.col("content")).alias("request")
-    )
+    """(position, source, slice, request): what to send to a text model, one request per source and
+    slice, in the order of the sources' first appearance. No articles, no row."""
+    blocks = digest_blocks(articles, slice_articles)
+    order = [F.col("newest").desc_nulls_last(), F.col("first_id"), F.col("slice")]
+    request = fill(template, period=F.lit(period(as_of, days)), content=F.col("body"))
+    return numbered(blocks, order, "position").select("position", "source", "slice", request.alias("request"))
 
 
 def digest_text(period_col: Column, answer: Column) -> Column:
@@ -118,16 +130,31 @@ def digest_text(period_col: Column, answer: Column) -> Column:
     ).otherwise(F.concat(fill(DIGEST_HEADING, period=period_col), answer))
 
 
-def generate_digest(requests: DataFrame, load_model: Callable[[], TextModel]) -> DataFrame:
-    """(period, digest): the user's model applied to each request row."""
-    answered = map_texts(requests, load_model, "request", "answer")
-    return answered.select("period", digest_text(F.col("period"), F.col("answer")).alias("digest"))
+def generate_digest(
+    requests: DataFrame,
+    load_model: Callable[[], TextModel],
+    as_of: datetime | str,
+    days: int = 7,
+    template: str = DEFAULT_TEMPLATE,
+    fan_in: int = FAN_IN,
+) -> DataFrame:
+    """(period, digest): the answers to all requests, joined by further requests over ``fan_in`` answers
+    each until one is left. So no request holds more than that, and no article is left out."""
+    span = F.lit(period(as_of, days))
+    answers = written(map_texts(requests, load_model, "request", "answer"), "answers")
+    while answers.count() > 1:
+        joined = (
+            answers.groupBy(F.floor((F.col("position") - 1) / fan_in).alias("_group"))
+            .agg(F.expr("listagg(answer, '\n') within group (order by position)").alias("content"))
+            .select((F.col("_group") + 1).alias("position"), fill(template, period=span, content=F.col("content")).alias("request"))
+        )
+        answers = written(map_texts(joined, load_model, "request", "answer"), "answers")
+    return answers.select(span.alias("period"), digest_text(span, F.col("answer")).alias("digest"))
 
 
 def numbered_articles(articles: DataFrame) -> DataFrame:
-    """``articles`` with their ``number`` from 1, newest first. One task numbers
-    them, so ``articles`` must be the result of a limited query."""
-    return articles.withColumn("number", F.row_number().over(Window.orderBy(*newest_order())))
+    """``articles`` with their ``number`` from 1, newest first."""
+    return numbered(articles, newest_order())
 
 
 def full_article_list(articles: DataFrame) -> DataFrame:

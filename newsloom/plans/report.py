@@ -24,22 +24,24 @@ def this_week(articles: DataFrame, as_of: datetime | str) -> Column:
     return F.coalesce(F.floor(age / 86400) <= 7, F.lit(False))
 
 
-def report_counters(articles: DataFrame, as_of: datetime | str) -> DataFrame:
-    """One row over the report's articles: total, sources, this week, names."""
-    names = F.array_sort(F.collect_set("_source"))
+def report_sources(articles: DataFrame, as_of: datetime | str) -> DataFrame:
+    """(source, n_articles, this_week) of every source in the report."""
     return (
-        articles.select(source_label(articles).alias("_source"), this_week(articles, as_of).alias("_week"))
-        .agg(
-            F.count(F.lit(1)).alias("total_articles"),
-            F.count_if("_week").alias("this_week"),
-            names.alias("_names"),
-        )
-        .select(
-            "total_articles",
-            F.size("_names").cast("bigint").alias("n_sources"),
-            "this_week",
-            F.array_join("_names", ", ").alias("sources"),
-        )
+        articles.select(source_label(articles).alias("source"), this_week(articles, as_of).alias("_week"))
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("n_articles"), F.count_if("_week").alias("this_week"))
+    )
+
+
+def report_counters(articles: DataFrame, as_of: datetime | str) -> DataFrame:
+    """One row over the report's articles: total, sources, this week."""
+    counts = report_sources(articles, as_of).agg(
+        F.sum("n_articles").alias("total"), F.count(F.lit(1)).alias("n_sources"), F.sum("this_week").alias("week")
+    )
+    return counts.select(
+        F.coalesce("total", F.lit(0)).cast("long").alias("total_articles"),
+        "n_sources",
+        F.coalesce("week", F.lit(0)).cast("long").alias("this_week"),
     )
 
 

@@ -108,6 +108,12 @@ def recent_articles(
     return _text_not_null(rows).orderBy(*newest_order())
 
 
+def window_articles(store: StoreTables, as_of: datetime | str, days: int = 7, exact: bool = False) -> DataFrame:
+    """All articles of the window with their source, in no order. Only the columns that are used
+    further on are read."""
+    return _text_not_null(_with_source(recent_window(store.articles, as_of, days, exact), store.sources))
+
+
 def articles_by_category(
     store: StoreTables, category: str, limit: int = 10, all_categories: bool = False
 ) -> DataFrame:

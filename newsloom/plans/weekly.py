@@ -12,9 +12,9 @@ from newsloom.functions import parse_date
 from newsloom.operators.normalize import entry_to_raw, keep_recent, normalize_articles
 from newsloom.operators.summary import TextModel
 from newsloom.operators.tables import read_store
-from newsloom.plans.digest import digest_request, full_article_list, generate_digest
+from newsloom.plans.digest import digest_requests, full_article_list, generate_digest
 from newsloom.plans.ingest import IngestResult, ingest
-from newsloom.plans.retrieval import recent_articles
+from newsloom.plans.retrieval import window_articles
 from newsloom.session import written
 from newsloom.sources import read_articles, write_by_source, write_digest, write_full_list
 
@@ -50,12 +50,11 @@ def publish_week(
     as_of: datetime | str,
     load_model: Callable[[], TextModel],
     days: int = 7,
-    limit: int = 1000,
 ) -> DataFrame:
-    """Write the digest and the full article list of the newest ``limit``
-    articles, and return these. The store is queried once."""
-    page = written(recent_articles(read_store(spark, store), as_of, days, limit), "week")
-    requests = digest_request(page, as_of, days)
-    write_digest(generate_digest(requests, load_model), f"{out}/digest_hebdo", as_of)
+    """Write the digest and the full list of the week's articles, and return
+    these. The store is queried once."""
+    page = written(window_articles(read_store(spark, store), as_of, days), "week")
+    requests = digest_requests(page, as_of, days)
+    write_digest(generate_digest(requests, load_model, as_of, days), f"{out}/digest_hebdo", as_of)
     write_full_list(full_article_list(page), f"{out}/articles_complets", as_of)
     return page

@@ -16,6 +16,8 @@ from newsloom.schemas import RAW_JSON
 
 NORMALIZED_FILE = "normalized_articles.json"
 CORRUPT = "_corrupt_record"
+# Always true. Spark reads the column of broken records only together with another one.
+READ = "length(coalesce(title, '')) >= 0"
 
 
 def file_stem() -> Column:
@@ -46,7 +48,7 @@ def read_articles(
     sets ``source_name`` to its title-cased form. ``stream`` reads each new file
     of one folder.
     """
-    rows = _landed(spark, path, exclude, json_lines, stream).filter(F.col(CORRUPT).isNull())
+    rows = _landed(spark, path, exclude, json_lines, stream).filter(F.col(CORRUPT).isNull() & F.expr(READ))
     stem = file_stem()
     columns = {name: F.col(name) for name in RAW_JSON.fieldNames()}
     columns["categories"] = parse_categories(F.col("categories"))
@@ -85,7 +87,7 @@ def broken_articles(
 ) -> DataFrame:
     """(file, record, reason) of every record that is no JSON; in a JSON array
     a mistake breaks the whole file."""
-    rows = _landed(spark, path, exclude, json_lines, False).filter(F.col(CORRUPT).isNotNull())
+    rows = _landed(spark, path, exclude, json_lines, False).filter(F.col(CORRUPT).isNotNull() & F.expr(READ))
     return rows.select(
         F.col("_metadata.file_path").alias("file"),
         F.col(CORRUPT).alias("record"),
@@ -133,22 +135,26 @@ def write_digest(digest: DataFrame, path: str, as_of: datetime | str) -> str:
 
 
 def write_full_list(blocks: DataFrame, path: str, as_of: datetime | str) -> str:
-    """Write the heading and numbered blocks of :func:`full_article_list`, in order."""
+    """Write the heading and numbered blocks of :func:`full_article_list`: part files whose
+    names are in the order of the numbers."""
     target = _dated(path, as_of)
-    ordered = blocks.orderBy("number").select("block").coalesce(1)
+    ordered = blocks.repartitionByRange("number").sortWithinPartitions("number").select("block")
     ordered.write.mode("overwrite").text(target)
     return target
 
 
 def latest_digest(spark: SparkSession, path: str) -> DataFrame:
-    """Day, time and text of the digest file changed last; no row without one."""
-    files = spark.read.schema("value string, dt string").text(path, wholetext=True)
-    changed = F.struct("_metadata.file_modification_time", "_metadata.file_path")
-    newest = files.agg(
-        F.max_by(F.struct("dt", "_metadata.file_modification_time", "value"), changed).alias("d")
-    )
-    return newest.filter("d is not null").select(
-        F.concat(F.lit("digest_hebdo_"), F.col("d.dt")).alias("name"),
-        F.col("d.file_modification_time").alias("modified"),
-        F.regexp_replace("d.value", r"\n\z", "").alias("content"),
+    """Day, time and text of the digest file changed last; no row without one. The file is
+    found without reading any text."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    newest = files.select("path", "modificationTime").orderBy(F.desc("modificationTime"), F.desc("path")).first()
+    if newest is None:
+        return spark.range(0).selectExpr(
+            "string(null) as name", "timestamp(null) as modified", "string(null) as content"
+        )
+    day = F.regexp_extract("_metadata.file_path", r"/dt=([^/]+)/", 1)
+    return spark.read.text(newest.path, wholetext=True).select(
+        F.concat(F.lit("digest_hebdo_"), day).alias("name"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        F.regexp_replace("value", r"\n\z", "").alias("content"),
     )

@@ -44,23 +44,39 @@ def test_blocks(spark):
 
 
 def test_request_orders_sources_by_first_appearance(spark):
-    row = digest.digest_request(page(spark), AS_OF, template="{period}|{content}|{x}").first()
-    assert row.period == "24/01/2024 au 31/01/2024"
-    assert row.request == f"{row.period}|{BODY_B}\n{BODY_A}|" + "{x}"
-    assert digest.digest_request(page(spark).filter("id > 9"), AS_OF).count() == 0
+    rows = digest.digest_requests(page(spark), AS_OF, template="{period}|{content}|{x}").orderBy("position").collect()
+    span = "24/01/2024 au 31/01/2024"
+    assert [r.request for r in rows] == [f"{span}|{BODY_B}|" + "{x}", f"{span}|{BODY_A}|" + "{x}"]
+    assert digest.digest_requests(page(spark).filter("id > 9"), AS_OF).count() == 0
+
+
+def test_slices_keep_every_article(spark):
+    rows = spark.range(95).selectExpr(
+        "id", "concat('T', id) as title", "'https://a/' || id as url", "'A' as source_name",
+        "timestamp'2024-01-30' as date", "'' as summary", "'' as content",
+    )
+    blocks = digest.digest_blocks(rows, slice_articles=10).orderBy("slice").collect()
+    assert [r.slice for r in blocks] == list(range(10)) and {r.n_articles for r in blocks} == {95}
+    assert "".join(r.body for r in blocks).count("### [") == 95 and blocks[0].body.count("## Articles de A (95") == 1
+    requests = digest.digest_requests(rows, AS_OF, template="<{content}>", slice_articles=10)
+    last = digest.generate_digest(requests, lambda: list, AS_OF, template="<{content}>", fan_in=3).first().digest
+    # Ten answers, joined by three, then by two, then one: all articles in order.
+    assert [int(part.split("]")[0]) for part in last.split("### [T")[1:]] == list(range(95))
+    assert last.count("<") == 10 + 4 + 2 + 1
 
 
 def test_generated_digest_and_short_answer(spark):
-    requests = digest.digest_request(page(spark), AS_OF)
-    good = digest.generate_digest(requests, lambda: lambda texts: ["x" * 50 for _ in texts]).first()
+    requests = digest.digest_requests(page(spark), AS_OF)
+    good = digest.generate_digest(requests, lambda: lambda texts: ["x" * 50 for _ in texts], AS_OF).first()
     assert good.digest == "# Veille IA: Résumé hebdomadaire du 24/01/2024 au 31/01/2024\n\n" + "x" * 50
-    bad = digest.generate_digest(requests, lambda: lambda texts: ["no"]).first()
+    bad = digest.generate_digest(requests, lambda: lambda texts: ["no" for _ in texts], AS_OF).first()
     assert bad.digest == "# Erreur de génération du résumé\n\nAucune réponse de qualité générée. Réponse reçue: no"
 
 
 def test_full_list(spark):
     target = write_full_list(digest.full_article_list(page(spark)), scratch_dir(spark, "list"), AS_OF)
-    text = spark.read.text(target, wholetext=True).first().value
+    parts = spark.read.text(target, wholetext=True).select("value", "_metadata.file_name").orderBy("file_name")
+    text = "".join(r.value for r in parts.collect())
     assert text.startswith(
         "# Articles scrappés de la semaine (3)\n\n"
         "## 1. [Two](https://b/2)\n**Date :** 2024-01-31T00:00:00\n\n**Source :** B\n\n**Contenu :**\n\ncccc"
@@ -88,7 +104,7 @@ def test_counters_and_newest_rows(spark):
     )
     counts = report.report_counters(rows, AS_OF).first()
     assert (counts.total_articles, counts.n_sources, counts.this_week) == (5, 3, 5)
-    assert counts.sources == "A, B, Unknown"
+    assert sorted(r.source for r in report.report_sources(rows, AS_OF).collect()) == ["A", "B", "Unknown"]
     week_old = report.report_counters(rows, "2024-01-31 09:00:01").first()
     assert week_old.this_week == 4
     shown = report.newest_report_rows(rows, shown=5).collect()

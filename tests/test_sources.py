@@ -1,16 +1,20 @@
 """Landed files: JSON arrays of differing keys, feed documents."""
 
 import json
+from datetime import datetime
 
+from newsloom.operators.normalize import normalize_articles
 from newsloom.session import scratch_dir
 from newsloom.sources import (
     atom_entries,
+    broken_articles,
     newest_first,
     read_articles,
     read_atom,
     read_feed_list,
     read_rss,
     rss_entries,
+    write_articles,
     write_by_source,
 )
 
@@ -85,3 +89,23 @@ def test_atom(spark, tmp_path):
     assert (one.link, one.summary, one.content) == ("https://a.com/1", "Sum", "<p>Whole</p>")
     assert (one.author, one.categories, one.published) == ("Ann", ["AI", "ML"], "2024-01-30T10:00:00Z")
     assert (two.link, two.published) == ("https://a.com/2", "2024-01-29T10:00:00Z")
+
+
+def test_landed_files_as_the_scraper_writes_them(spark, tmp_path):
+    """Arrays, content in every shape, times with fractions, broken files and normalised folders."""
+    (tmp_path / "a.json").write_text(
+        """[{"title":"list","content":[{"value":"one"},{"value":"two"}],"scraped_at":"2024-01-31T09:00:00.123456"},
+        {"title":"object","content":{"value":"three"}}, {"title":"text","content":"[four"},
+        {"title":"encoded","content":"","content_encoded":"five"}, {"title":"none"}]"""
+    )
+    (tmp_path / "b.json").write_text('[{"title":"cut of')
+    write_articles(spark.createDataFrame([("normal",)], "title string"), f"{tmp_path}/normalized_articles.json")
+    raw = read_articles(spark, str(tmp_path))
+    assert {r.title: r.content for r in raw.collect()} == {
+        "list": "one", "object": "three", "text": "[four", "encoded": "five", "none": None,
+    }
+    assert raw.count() == 5
+    moments = [r.scraped_at for r in normalize_articles(raw).filter("title = 'list'").collect()]
+    assert moments == [datetime(2024, 1, 31, 9, 0, 0, 123456)]
+    (broken,) = broken_articles(spark, str(tmp_path)).collect()
+    assert broken.file.endswith("/b.json") and broken.record.startswith("[{") and broken.reason == "not valid JSON"
