@@ -47,7 +47,7 @@ def keep_recent(entries: DataFrame, as_of: datetime | str, days: int = 7, column
 
 def normalize_articles(raw: DataFrame) -> DataFrame:
     """Canonical columns, each cleaned; absent and empty values are NULL, except
-    ``categories``, which is then an empty list. Drops no row."""
+    ``categories``, which is then an empty list. ``seq`` is kept. Drops no row."""
 
     def given(name: str) -> Column:
         return F.col(name) if name in raw.columns else F.lit(None).cast("string")
@@ -78,6 +78,7 @@ def normalize_articles(raw: DataFrame) -> DataFrame:
         text("content").alias("content"),
         normalize_categories(categories).alias("categories"),
         url("image_url").alias("image_url"),
+        *[F.col(name) for name in ("seq",) if name in raw.columns],
     )
 
 

@@ -107,6 +107,21 @@ def read_store(spark: SparkSession, path: str) -> StoreTables:
     )
 
 
+# As many days are named in a filter; more become a range.
+NAMED_DAYS = 400
+
+
+def on_days(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` of the days that occur in ``keys``, when both have ``date_day``: a filter with
+    literals, so only these days' folders are read. The driver sees one value per day."""
+    if "date_day" not in rows.columns or "date_day" not in keys.columns:
+        return rows
+    days = sorted(r.date_day for r in keys.select("date_day").distinct().collect() if r.date_day is not None)
+    if len(days) <= NAMED_DAYS:
+        return rows.filter(F.col("date_day").isin(days))
+    return rows.filter(F.col("date_day").between(days[0], days[-1]))
+
+
 def new_categories(articles: DataFrame, categories: DataFrame) -> DataFrame:
     """Category names of ``articles`` that the store does not have, with keys."""
     names = articles.select(F.explode("categories").alias("name")).distinct()
@@ -116,5 +131,5 @@ def new_categories(articles: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def new_links(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Distinct pairs that ``links`` does not have yet."""
-    return absent_from(pairs.distinct(), links, pairs.columns)
+    """Distinct pairs that ``links`` does not have yet; only the days of ``pairs`` are read."""
+    return absent_from(pairs.distinct(), on_days(links, pairs), pairs.columns)

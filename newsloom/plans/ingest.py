@@ -40,8 +40,9 @@ def ingest(
 ) -> IngestResult:
     """Insert the articles whose URL the store at ``path`` does not have.
 
-    Sources are upserted with their feed's URL (``feeds``), else with the URL of
-    their first article. ``summarize`` fills ``summary`` of the new articles, which
+    Sources are upserted with their feed's URL (``feeds``); without a feed a stored URL stays, and a
+    new source takes the URL of its first article. Of equal URLs the first row wins, by ``scraped_at``, then
+    by ``seq``: the place in the landed files, if the batch has it. ``summarize`` fills ``summary`` of the new articles, which
     have unique ids. ``known_sources_only`` rejects articles whose source has no
     feed. Rows that cannot be stored are returned as ``rejects``.
 
@@ -97,7 +98,7 @@ def ingest(
     if summarize is not None:
         fresh = written(summarize(fresh), "summarized")
 
-    _append_sources(path, staged, feeds, as_of, known_sources_only)
+    _append_sources(path, staged, store.sources, feeds, as_of, known_sources_only)
     append("categories", new_categories(fresh, store.categories), path)
     pairs = fresh.select(
         F.col("id").alias("article_id"),
@@ -120,21 +121,30 @@ def ingest(
 
 
 def _append_sources(
-    path: str, staged: DataFrame, feeds: DataFrame | None, as_of: datetime | str, known_only: bool
+    path: str,
+    staged: DataFrame,
+    stored: DataFrame,
+    feeds: DataFrame | None,
+    as_of: datetime | str,
+    known_only: bool,
 ) -> None:
-    """Log the batch's sources with id, URL and times."""
-    found = staged.groupBy("source").agg(F.min_by("url", F.struct("scraped_at", "seq")).alias("first_url"))
+    """Log the batch's sources with id, URL and times. The URL is the feed's; without a feed
+    the stored one stays; a new source takes that of its first article that can be stored."""
+    first = F.struct(F.col("reason").isNotNull().alias("bad"), "scraped_at", "seq")
+    found = staged.groupBy("source").agg(F.min_by("url", first).alias("first_url"))
     if feeds is None:
         named = found.withColumn("feed_url", F.lit(None).cast("string"))
     else:
         named = match_feeds(found, feeds)
         if known_only:
             named = named.filter("matched")
+    known = stored.select(F.col("name").alias("source"), F.col("url").alias("stored_url"))
+    named = named.join(known, "source", "left")
     now = instant(as_of)
     rows = named.select(
         surrogate_key(F.col("source")).alias("id"),
         F.col("source").alias("name"),
-        F.coalesce("feed_url", "first_url", F.lit("")).alias("url"),
+        F.coalesce("feed_url", F.nullif("stored_url", F.lit("")), "first_url", F.lit("")).alias("url"),
         now.alias("last_updated"),
         now.alias("created_at"),
     )

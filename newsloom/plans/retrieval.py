@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Callable
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.clock import day_start, days_before, instant_like
-from newsloom.operators.tables import StoreTables
+from newsloom.operators.tables import UNDATED_DAY, StoreTables, on_days
+from newsloom.session import written
 
 
 def newest_order() -> list[Column]:
@@ -123,14 +125,16 @@ def articles_by_category(
     links = store.links.join(wanted.select(F.col("id").alias("category_id")), "category_id", "left_semi")
     links = links.withColumnRenamed("article_id", "id")
     on = _key_columns(store.articles, links)
-    members = links.select(*on)
     stored_sources = store.sources.select(F.col("id").alias("source_id"))
-    keys = (
-        _keys(store.articles, "source_id")
-        .join(members, on, "left_semi")
-        .join(stored_sources, "source_id", "left_semi")
-    )
-    top = _top(keys, limit)
+
+    def newest(articles: DataFrame, members: DataFrame) -> DataFrame:
+        keys = _keys(articles, "source_id").join(members.select(*on), on, "left_semi")
+        return _top(keys.join(stored_sources, "source_id", "left_semi"), limit)
+
+    if "date_day" in on:
+        top, store = _newest_by_days(store, links, newest, limit)
+    else:
+        top = newest(store.articles, links)
     rows = _with_source(_pick(store.articles, top), store.sources)
     if all_categories:
         rows = _with_categories(rows, category_lists(store, top))
@@ -139,6 +143,34 @@ def articles_by_category(
     return rows.orderBy(*newest_order())
 
 
+def _newest_by_days(
+    store: StoreTables, links: DataFrame, newest: Callable[[DataFrame, DataFrame], DataFrame], limit: int
+) -> tuple[DataFrame, StoreTables]:
+    """The newest keys, and the store reduced to the days they are on.
+
+    The links are counted by day, without any other column; then as many of the newest days are read as hold
+    ``limit`` links, and more if articles without source left too few. The driver sees one count per
+    day.
+    """
+    counts = {r.date_day: r["count"] for r in links.groupBy("date_day").count().collect()}
+    undated = date.fromisoformat(UNDATED_DAY)
+    days = sorted(counts, key=lambda day: (day == undated, -day.toordinal()))
+    n_days = 0
+    while True:
+        held = sum(counts[day] for day in days[:n_days])
+        while n_days < len(days) and held < limit:
+            held += counts[days[n_days]]
+            n_days += 1
+        keys = store.articles.sparkSession.createDataFrame([(day,) for day in days[:n_days]], "date_day date")
+        top = written(newest(on_days(store.articles, keys), on_days(links, keys)), "newest")
+        found = top.count()
+        if found >= limit or n_days == len(days):
+            near = store._replace(articles=on_days(store.articles, top), links=on_days(store.links, top))
+            return top, near
+        # Twice as many days, at least one more.
+        n_days = min(len(days), 2 * n_days + 1)
+
+
 def article_by_url(store: StoreTables, url: str) -> DataFrame:
     """The article with this URL, or no row."""
     rows = store.articles.filter(F.col("url") == url)
@@ -146,12 +178,15 @@ def article_by_url(store: StoreTables, url: str) -> DataFrame:
 
 
 def articles_by_urls(store: StoreTables, urls: DataFrame) -> DataFrame:
-    """The articles of a table of URLs. In a store partitioned by day, the keys
-    are found first, and whole rows are read from their days only."""
+    """The articles of a table of URLs. In a store partitioned by day, the keys are found first
+    on narrow columns and written; texts and links are read from their days only."""
     rows = store.articles.join(urls.select("url").distinct(), "url", "left_semi")
-    if "date_day" in rows.columns:
-        rows = _pick(store.articles, _keys(rows))
-    return _with_categories(_with_source(rows, store.sources), category_lists(store, _keys(rows)))
+    if "date_day" not in rows.columns:
+        return _with_categories(_with_source(rows, store.sources), category_lists(store, _keys(rows)))
+    keys = written(_keys(rows), "keys")
+    near = store._replace(articles=on_days(store.articles, keys), links=on_days(store.links, keys))
+    rows = _pick(near.articles, keys)
+    return _with_categories(_with_source(rows, store.sources), category_lists(near, keys))
 
 
 def all_categories(store: StoreTables) -> DataFrame:

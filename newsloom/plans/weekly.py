@@ -39,7 +39,7 @@ def ingest_landed(
     summarize: Callable[[DataFrame], DataFrame] | None = None,
 ) -> IngestResult:
     """Normalise all landed articles and insert the new ones."""
-    raw = read_articles(spark, landed, json_lines=True)
+    raw = read_articles(spark, landed, json_lines=True, with_place=True)
     return ingest(store, normalize_articles(raw), as_of, feeds, summarize)
 
 

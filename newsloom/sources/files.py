@@ -36,6 +36,7 @@ def read_articles(
     tag: str | None = None,
     json_lines: bool = False,
     stream: bool = False,
+    with_place: bool = False,
 ) -> DataFrame:
     """All articles of a folder of JSON files, keys missing in a file as NULL.
 
@@ -44,6 +45,7 @@ def read_articles(
     Files named in ``exclude``, or in a folder of that name, are left out. Records that are no JSON
     are left out too: :func:`broken_articles` returns them. Content is the text
     of its list or object, else ``content_encoded``.
+    ``with_place`` adds ``seq``, the place in the files, by name and position, however they are split.
     ``tag='source'`` sets ``source`` to the file stem, ``tag='source_name'``
     sets ``source_name`` to its title-cased form. ``stream`` reads each new file
     of one folder.
@@ -60,6 +62,12 @@ def read_articles(
         columns["source_name"] = title_case(stem)
     elif tag is not None:
         raise ValueError(f"unknown tag {tag!r}")
+    if with_place:
+        columns["seq"] = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+        )
     return rows.select(*[column.alias(name) for name, column in columns.items()])
 
 

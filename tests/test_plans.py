@@ -11,7 +11,7 @@ from newsloom.operators.dedup import insert_if_absent
 from newsloom.operators.normalize import normalize_articles
 from newsloom.plans import retrieval, statistics
 from newsloom.plans.ingest import ingest
-from newsloom.session import scratch_dir
+from newsloom.session import scratch_dir, written
 from newsloom.catalog.fixtures import order_articles, raw_docs
 
 
@@ -63,3 +63,24 @@ def test_insert_limits_each_key_before_the_shuffle(spark, sf_dir):
 def test_cleaning_stays_in_the_jvm(spark, sf_dir):
     text = plan(normalize_articles(raw_docs(spark, sf_dir)))
     assert "Python" not in text and "Exchange" not in text
+
+
+def scans_with_content(text):
+    return [line for line in text.split("\n") if "ReadSchema" in line and "content" in line]
+
+
+def test_lookups_read_texts_of_matching_days_only(spark, stored):
+    """A plain table of URLs, and a category: literal days reach the scans that read texts."""
+    urls = spark.createDataFrame([("https://src1.example.com/d/1",)], "url string")
+    for found in (retrieval.articles_by_urls(stored, urls), retrieval.articles_by_category(stored, "en", 2)):
+        text = plan(found)
+        assert re.search(r"PartitionFilters: \[[^\]]*date_day#\d+ (=|IN)", text) or re.search(
+            r"PartitionFilters: \[.*date_day#\d+ = 20", text
+        )
+        assert found.count() > 0
+
+
+def test_new_links_read_the_days_of_the_batch_only(spark, stored):
+    pairs = stored.links.filter("date_day = '2024-01-30'")
+    text = plan(tables.new_links(written(pairs, "pairs"), stored.links))
+    assert re.search(r"PartitionFilters: \[[^\]]*date_day#\d+ = 2024-01-30", text)

@@ -109,3 +109,10 @@ def test_landed_files_as_the_scraper_writes_them(spark, tmp_path):
     assert moments == [datetime(2024, 1, 31, 9, 0, 0, 123456)]
     (broken,) = broken_articles(spark, str(tmp_path)).collect()
     assert broken.file.endswith("/b.json") and broken.record.startswith("[{") and broken.reason == "not valid JSON"
+
+
+def test_places_in_files_do_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"title":"3"}\n{"title":"4"}\n')
+    (tmp_path / "a.json").write_text('{"title":"1"}\n{"title":"2"}\n')
+    raw = read_articles(spark, str(tmp_path), json_lines=True, with_place=True)
+    assert [r.title for r in normalize_articles(raw).orderBy("seq").collect()] == ["1", "2", "3", "4"]

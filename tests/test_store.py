@@ -58,7 +58,7 @@ def test_ingest_twice(spark):
     assert store.links.count() == 3
     sources = {r.name: r for r in store.sources.collect()}
     assert set(sources) == {"A", "B", "S"}
-    assert sources["A"].url == "https://a.com/1"  # the second run had no feed list
+    assert sources["A"].url == "https://feed/a"  # the second run had no feed list: the stored URL stays
     assert sources["A"].created_at == datetime(2024, 1, 31, 9)
     assert sources["A"].last_updated == datetime(2024, 2, 7, 9)
 
