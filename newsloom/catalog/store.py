@@ -7,6 +7,7 @@ from newsloom.catalog.fixtures import (
     DOCS_AS_OF,
     ORDERS_AS_OF,
     SQL_ARTICLES,
+    SQL_DOCS,
     SQL_ORDERS_STORE,
     docs,
     docs_store,
@@ -107,6 +108,45 @@ def articles_by_urls(spark, sf_dir):
     return edge(retrieval.articles_by_urls(store, wanted))
 
 
+def stored_docs(spark, sf_dir):
+    """The documents in a store on disk, partitioned by day."""
+    path = scratch_dir(spark, "store")
+    ingest(path, normalize_articles(raw_docs(spark, sf_dir)), DOCS_AS_OF)
+    return read_store(spark, path)
+
+
+SQL_STORED = f"""
+select id, title, url, source_name, date, array_to_string(list_sort([lang, source_name]), ',') as categories
+from ({SQL_DOCS})
+"""
+
+
+@query(f"select title, url, source_name, date, categories from ({SQL_STORED}) where title like '%(fr)'")
+def articles_by_urls_stored(spark, sf_dir):
+    """A plain table of URLs against a store partitioned by day."""
+    wanted = docs(spark, sf_dir).filter("lang = 'fr'").select("url")
+    found = retrieval.articles_by_urls(stored_docs(spark, sf_dir), wanted)
+    return found.select(
+        "title", "url", "source_name", F.col("date").cast("timestamp_ntz").alias("date"), joined_categories()
+    )
+
+
+@query(
+    f"""select source_name, date, count(*) as n from (
+      select * from ({SQL_STORED}) where title like '%(de)' and date >= (
+        select min(date) from (select date from ({SQL_STORED}) where title like '%(de)' order by date desc limit 30))
+      order by date desc) group by 1, 2
+    having date > (select min(date) from (select date from ({SQL_STORED}) where title like '%(de)' order by date desc limit 30))"""
+)
+def articles_by_category_stored(spark, sf_dir):
+    """The newest 30 of a category in a store partitioned by day, counted by source and day; the
+    last day, of which the page may hold only a part, is left out."""
+    page = retrieval.articles_by_category(stored_docs(spark, sf_dir), "de", limit=30)
+    date = F.col("date").cast("timestamp_ntz")
+    counted = page.groupBy("source_name", date.alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(F.col("date") > page.agg(F.min(date)).scalar())
+
+
 @query(SQL_ORDERS_STORE + "select name from fx_categories")
 def all_categories(spark, sf_dir):
     return retrieval.all_categories(orders_store(spark, sf_dir))
