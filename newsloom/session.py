@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +51,32 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set(CHECKPOINT_DIR, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for made in _recording:
+        made.append(path)
+    return path
+
+
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded_scratch() -> Iterator[list[str]]:
+    """The scratch folders named within the block, so that they can be dropped when
+    nothing reads them any more."""
+    made: list[str] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording[:] = [other for other in _recording if other is not made]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders, on whatever file system they are."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -27,3 +27,16 @@ def test_only_a_local_session_may_leave_it_out():
 def test_written_table_is_the_same_rows(spark):
     rows = spark.range(10).selectExpr("id", "cast(id as string) as text")
     assert session.written(rows, "t").exceptAll(rows).isEmpty()
+
+
+def test_recorded_scratch_can_be_dropped(spark):
+    with session.recorded_scratch() as outer:
+        kept = session.written(spark.range(3).toDF("id"), "a")
+        with session.recorded_scratch() as inner:
+            session.written(spark.range(3).toDF("id"), "b")
+    session.scratch_dir(spark, "c")
+    assert len(outer) == 2 and outer[1:] == inner
+    session.drop_scratch(spark, inner)
+    import os
+
+    assert kept.count() == 3 and os.path.exists(outer[0]) and not os.path.exists(inner[0])
