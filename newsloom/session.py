@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,19 +39,23 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+@cache
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="newsloom-")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
     A cluster must set it to a folder that all executors share. A session on
-    one machine that comes without it gets the setting here, once.
+    one machine may come without it (it cannot be set later) and gets a folder of its own.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="newsloom-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        root = _own_root()
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     for made in _recording:
         made.append(path)

@@ -9,7 +9,6 @@ class Settings(dict):
     def __init__(self, master, **values):
         super().__init__(values)
         self.conf = self
-        self.set = self.__setitem__
         self.sparkContext = type("Context", (), {"master": master})
 
 
