@@ -31,7 +31,7 @@ SLOT = 2**32  # places of a second text under the same id begin here
 BLOCKS = "row int, block int, once binary, twice binary"
 PLANES = "row int, block int, bits binary"
 ASKS = "shard int, doc long, hashes binary, docs binary, places binary"
-REMOVED = "doc long, places binary"
+REMOVED = "bucket int, docs binary, places binary"
 
 
 def _differences(sorted_cells: np.ndarray) -> bytes:
@@ -168,8 +168,9 @@ def _asks(
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by shard: the windows that start in a smaller document too."""
+def _answers(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Of a partition sorted by shard: the windows that start in a smaller document too, one
+    row per shard and bucket of documents."""
 
     def answered(parts: list[tuple]) -> pa.RecordBatch:
         hashes = np.concatenate([np.frombuffer(h, np.uint64) for h, _, _ in parts])
@@ -178,11 +179,16 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, low = _lowest(hashes, docs)
         docs, places = docs[order], places[order]
         later = docs > low
-        rows = list(_by_document(docs[later], places[later]))
-        columns = list(zip(*rows)) or [(), ()]
-        return pa.record_batch(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["doc", "places"]
-        )
+        docs, places = docs[later], places[later]
+        bucket = mix(docs.view(np.uint64)) % np.uint64(buckets)
+        rows = []
+        for b in np.unique(bucket):
+            mine = np.flatnonzero(bucket == b)
+            mine = mine[np.lexsort((places[mine], docs[mine]))]
+            rows.append((int(b), packed(docs[mine]), packed(places[mine])))
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        columns = list(zip(*rows)) or [()] * 3
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["bucket", "docs", "places"])
 
     shard, parts = None, []
     for batch in batches:
@@ -196,6 +202,28 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answered(parts)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition sorted by bucket: one row per document with all its places."""
+
+    def rows_of(parts: list[tuple]) -> pa.RecordBatch:
+        docs, places = (np.concatenate([unpacked(p[i], np.int64) for p in parts]) for i in (0, 1))
+        columns = list(zip(*_by_document(docs, places))) or [(), ()]
+        return pa.record_batch(
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["doc", "places"]
+        )
+
+    last, parts = None, []
+    for batch in batches:
+        for bucket, *part in zip(*(c.to_pylist() for c in batch.columns)):
+            if bucket != last and parts:
+                yield rows_of(parts)
+                parts = []
+            last = bucket
+            parts.append(tuple(part))
+    if parts:
+        yield rows_of(parts)
+
+
 KEPT = StructType(
     [StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]
 )
@@ -247,7 +275,8 @@ def _removed_places(source: DataFrame, width: int, most_cells: int) -> DataFrame
         columns = ["shard", "hashes", "docs", "places"]
         answers = (
             asked.filter("shard >= 0").select(*columns).repartition(shards, "shard").sortWithinPartitions("shard")
-            .mapInArrow(_answers, REMOVED)
+            .mapInArrow(lambda x: _answers(x, shards), REMOVED)
+            .repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered, "doc long, places binary")
         )
         out += [asked.filter("shard < 0").select("doc", "places"), answers]
     removed = out[0]
