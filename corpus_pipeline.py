@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +16,13 @@ from newsloom.llm.line_dedup import drop_repeated_lines  # noqa: E402
 from newsloom.llm.mixing import mix  # noqa: E402
 from newsloom.llm.near_dedup import drop_near_duplicates  # noqa: E402
 from newsloom.llm.packing import pack  # noqa: E402
-from newsloom.llm.quality import quality  # noqa: E402
-from newsloom.session import written  # noqa: E402
+from newsloom.llm.quality import drop_low_quality  # noqa: E402
+from newsloom.session import drop_scratch, recorded_scratch, written  # noqa: E402
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality(docs, with_rows=True).filter("kept").select("row.*")
+    return drop_low_quality(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +47,35 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack(docs)
 
 
+_scratch: dict[int, list[str]] = {}
+
+
+def _stage(place: int, function: Callable) -> Callable:
+    """``function`` as a stage. The tables that the stage before wrote for itself are dropped first: its
+    result has been written and is this stage's ``docs``."""
+
+    @wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_scratch(spark, _scratch.pop(place - 1, []))
+        with recorded_scratch() as made:
+            result = function(spark, docs, sf_dir)
+        _scratch[place] = made
+        return result
+
+    return stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup),
-    ("minhash_near_dedup", near_dedup),
-    ("source_mixing", source_mixing),
-    ("best_fit_packing", best_fit_packing),
+    (name, _stage(place, function))
+    for place, (name, function) in enumerate(
+        [
+            ("quality_rules", quality_rules),
+            ("line_dedup", line_dedup),
+            ("minhash_near_dedup", near_dedup),
+            ("source_mixing", source_mixing),
+            ("best_fit_packing", best_fit_packing),
+        ]
+    )
 ]
 
 # Components and best fit are iterative: tests/llm/test_pipeline.py holds the stages against plain Python.

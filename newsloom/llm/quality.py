@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.columns import SPACES, WHITESPACE, let, whole, words
+from newsloom.llm.hashing import by_ids
 from newsloom.session import written
 
 MIN_WORDS = 50
@@ -83,7 +84,6 @@ def quality(
     character_limit: tuple[float, float] = CHARACTER_LIMIT,
     word_limit: tuple[float, float] = WORD_LIMIT,
     min_words: int = MIN_WORDS,
-    with_rows: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, character_distance, word_distance, base_failed, kept.
@@ -99,11 +99,32 @@ def quality(
     between rows move the sketches of frequent words and sums by language.
 
     NULL or empty text has no words and fails. Repeated rows each get a row. An empty
-    table gives an empty result. Other columns are ignored; ``with_rows`` adds them all as a struct ``row``.
+    table gives an empty result. Other columns are ignored.
     """
-    carried = ["row"] if with_rows else []
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_rows else []
-    named = docs.select(*row, "doc_id", F.col("lang").alias("language"), whole().alias("text"))
+    return _judged(docs, common_words, character_limit, word_limit, min_words).drop("key")
+
+
+def drop_low_quality(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with their columns."""
+    found = _judged(docs, COMMON_WORDS, CHARACTER_LIMIT, WORD_LIMIT, MIN_WORDS)
+    rejected = written(found.filter("not kept").select("key").distinct(), "rejected")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("key"))
+    return by_ids(keyed, rejected, "key", "left_anti").select("row.*")
+
+
+def _key() -> Column:
+    """What tells rows apart: id, language and text decide the verdict."""
+    return F.xxhash64("doc_id", "lang", whole())
+
+
+def _judged(
+    docs: DataFrame,
+    common_words: int,
+    character_limit: tuple[float, float],
+    word_limit: tuple[float, float],
+    min_words: int,
+) -> DataFrame:
+    named = docs.select(_key().alias("key"), "doc_id", F.col("lang").alias("language"), whole().alias("text"))
     counted = named.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n")).scalar()
     large = counted.filter(F.col("language").isNotNull() & (F.col("n") >= LANGUAGE_SHARE * total))
@@ -112,7 +133,7 @@ def quality(
     tokens = (
         named.join(large, "language", "left")
         .withColumn("language", F.when(F.col("own"), F.col("language")))
-        .select(*carried, "doc_id", "language", "text", words(F.col("text")).alias("words"))
+        .select("key", "doc_id", "language", "text", words(F.col("text")).alias("words"))
     )
 
     common = written(_common_words(tokens, common_words), "common").alias("c")
@@ -132,7 +153,7 @@ def quality(
     )
     features = written(
         measured.select(
-            *carried,
+            "key",
             "doc_id",
             "t.language",
             F.size(word_list).cast("long").alias("n_words"),
@@ -174,7 +195,7 @@ def quality(
         shares.alias("s")
         .join(F.broadcast(references), F.col("s.language").eqNullSafe(F.col("r.language")), "left")
         .select(
-            *carried,
+            "key",
             "doc_id",
             "n_words",
             (F.col("n_chars") - F.col("space")).alias("word_chars"),
