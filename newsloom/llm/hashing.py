@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93  # odd
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 BROADCAST_IDS = 1_000_000  # a broadcast table of ids may have so many rows
 
 

@@ -15,7 +15,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from newsloom.llm.columns import whole
 from newsloom.llm.hashing import GOLDEN, WordHashes, mix, packed, texts, unpacked, windows
-from newsloom.session import written
 
 WIDTH = 13
 DEPTH = 2  # rows of the sketch
@@ -23,14 +22,14 @@ CELLS_PER_WINDOW = 3
 LEAST_CELLS, MOST_CELLS = 2**22, 2**29  # of a row; a worker holds DEPTH bits a cell
 BLOCK = 2**22  # cells merged at once
 BYTES_PER_WORD = 6
-FLUSH = 3_000_000  # windows gathered in a task before they are sorted
+FLUSH = 1_000_000  # windows gathered in a task before they are sorted
 ASKED = 1_000_000  # windows in a shard of the exact pass
 NO_ID = -(2**63)  # stands for a NULL id
 SLOT = 2**32  # places of a second text under the same id begin here
 
 BLOCKS = "row int, block int, once binary, twice binary"
 PLANES = "row int, block int, bits binary"
-ASKS = "shard int, doc long, hashes binary, docs binary, places binary"
+ASKS = "shard int, hashes binary, docs binary, places binary"
 REMOVED = "bucket int, docs binary, places binary"
 
 
@@ -133,8 +132,8 @@ def _by_document(docs: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, by
 def _asks(
     batches, width: int, part: tuple[int, int], cells: int, planes: Broadcast, shards: int
 ) -> Iterator[pa.RecordBatch]:
-    """Of the windows estimated repeated: those that a smaller document of the same flush starts (shard -1, by
-    document), and of the rest one of each hash and document, by shards."""
+    """Of the windows estimated repeated: those that a smaller document of the same flush starts (without
+    hashes, to a shard beyond the others), and of the rest one of each hash and document, by shards."""
     bits = []
     for row in range(DEPTH):
         plane = np.zeros(ceil(cells / BLOCK) * BLOCK // 8, np.uint8)
@@ -142,8 +141,8 @@ def _asks(
             if of == row:
                 plane[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)] = np.frombuffer(zlib.decompress(data), np.uint8)
         bits.append(plane)
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    names = ["shard", "doc", "hashes", "docs", "places"]
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    names = ["shard", "hashes", "docs", "places"]
     for ids, index, places, found in _window_rows(batches, width, part):
         for row in range(DEPTH):
             cell = _cells(found, row, cells)
@@ -156,7 +155,9 @@ def _asks(
         order, low = _lowest(found, docs)
         docs, places, found = docs[order], places[order], found[order]
         later = docs > low
-        rows = [(-1, doc, None, None, data) for doc, data in _by_document(docs[later], places[later])]
+        rows = []
+        if later.any():
+            rows.append((shards + int(found[0] % np.uint64(shards)), None, packed(docs[later]), packed(places[later])))
         docs, places, found = docs[~later], places[~later], found[~later]
         shard = (found >> np.uint64(40)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
@@ -164,7 +165,7 @@ def _asks(
         for s in range(shards):
             mine = order[cuts[s] : cuts[s + 1]]
             if len(mine):
-                rows.append((s, None, found[mine].tobytes(), packed(docs[mine]), packed(places[mine])))
+                rows.append((s, found[mine].tobytes(), packed(docs[mine]), packed(places[mine])))
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
@@ -173,13 +174,13 @@ def _answers(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
     row per shard and bucket of documents."""
 
     def answered(parts: list[tuple]) -> pa.RecordBatch:
-        hashes = np.concatenate([np.frombuffer(h, np.uint64) for h, _, _ in parts])
         docs = np.concatenate([unpacked(d, np.int64) for _, d, _ in parts])
         places = np.concatenate([unpacked(p, np.int64) for _, _, p in parts])
-        order, low = _lowest(hashes, docs)
-        docs, places = docs[order], places[order]
-        later = docs > low
-        docs, places = docs[later], places[later]
+        if parts[0][0] is not None:  # else decided before
+            order, low = _lowest(np.concatenate([np.frombuffer(h, np.uint64) for h, _, _ in parts]), docs)
+            docs, places = docs[order], places[order]
+            later = docs > low
+            docs, places = docs[later], places[later]
         bucket = mix(docs.view(np.uint64)) % np.uint64(buckets)
         rows = []
         for b in np.unique(bucket):
@@ -268,17 +269,13 @@ def _removed_places(source: DataFrame, width: int, most_cells: int) -> DataFrame
         )
         # At most DEPTH * most_cells bits, deflated.
         planes = spark.sparkContext.broadcast({(r.row, r.block): bytes(r.bits) for r in merged.collect()})
-        asked = written(
-            source.mapInArrow(lambda x, part=part, planes=planes: _asks(x, width, part, cells, planes, shards), ASKS),
-            "asked",
-        )
-        columns = ["shard", "hashes", "docs", "places"]
-        answers = (
-            asked.filter("shard >= 0").select(*columns).repartition(shards, "shard").sortWithinPartitions("shard")
+        out.append(
+            source.mapInArrow(lambda x, part=part, planes=planes: _asks(x, width, part, cells, planes, shards), ASKS)
+            .repartition(shards, "shard").sortWithinPartitions("shard")
             .mapInArrow(lambda x: _answers(x, shards), REMOVED)
-            .repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(_gathered, "doc long, places binary")
+            .repartition(shards, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(_gathered, "doc long, places binary")
         )
-        out += [asked.filter("shard < 0").select("doc", "places"), answers]
     removed = out[0]
     for more in out[1:]:
         removed = removed.unionAll(more)
