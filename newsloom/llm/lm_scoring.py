@@ -1,8 +1,7 @@
-"""Scoring texts with a probabilistic suffix tree over words and word classes."""
+"""Scoring texts with a probabilistic suffix tree over words."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,26 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.columns import whole
-from newsloom.llm.hashing import WordHashes, packed, texts, unpacked
+from newsloom.llm.hashing import BASE, WordHashes, mix, packed, texts, unpacked
 from newsloom.session import written
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 3  # the longest context
-COMMON_SHARE = 1 / 1000  # of all training tokens: a word that is a symbol of its own
-CONTEXT_SHARE = 1 / 2000  # of all training tokens: a context that may be a state
-CLASSES = 256  # of the other words, by their last three bytes
-END = CLASSES  # also stands for what precedes a text
+LEAST = 2  # a context that training has so often may be a state
+CLASSES = 256  # of symbols before END, in the dense form of a level
+END = CLASSES
+END_HASH = np.uint64(0x5851F42D4C957F2D)  # of an end; also stands for what precedes a text
 BLOCK_TOKENS = 500_000
 SHARD_WORDS = 1_000_000
+SHARD_PAIRS = 3_000_000
 NO_ID = -(2**63)  # stands for a NULL id
 
 BLOCK = (
-    "block long, n_train long, n_train_docs long, n_words long, docs binary, train binary, lengths binary, "
-    "tokens binary, hashes binary, classes binary, counts binary"
+    "block long, n_train long, n_train_docs long, n_tokens long, n_words long, docs binary, train binary, "
+    "lengths binary, tokens binary, hashes binary, counts binary"
 )
-ASK = "shard int, block long, hashes binary, classes binary, counts binary"
-ANSWER = "shard int, block long, totals binary, n_distinct long, n_once long, masses binary, common binary"
-COUNT = "context int, symbol int, n long"
+ASK = "shard int, block long, hashes binary, counts binary"
+ANSWER = "shard int, block long, totals binary, n_distinct long, n_once long"
+PAIR_ASK = "shard int, block long, contexts binary, pairs binary, numbers binary"
+PAIR_ANSWER = "shard int, block long, totals binary, heavy binary"
+HEAVY = "context long, n long, different long, terms double"
 SCORE = "doc long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -57,16 +59,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (part << 32) + nth,
             int(lengths[train].sum() + train.sum()),
             int(train.sum()),
+            int(lengths.sum() + len(lengths)),
             len(words),
             np.array(docs, np.int64).tobytes(),
             train.tobytes(),
             packed(lengths),
             packed(tokens),
             hashes.of(words).tobytes(),
-            np.array([zlib.crc32(w[-3:]) % CLASSES for w in words], np.uint8).tobytes(),
             packed(counts),
         )
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 7
+        kinds = [pa.int64()] * 5 + [pa.binary()] * 6
         return pa.record_batch([pa.array([v], t) for v, t in zip(values, kinds)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
     size = 0
@@ -88,92 +90,74 @@ def _shards(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
 
+def _ranges(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Shards that are ranges of the hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 def _asks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """A block's words, by shards of their hashes."""
     for batch in batches:
-        for block, hashes, classes, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            hashes, classes = np.frombuffer(hashes, np.uint64), np.frombuffer(classes, np.uint8)
+        for block, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            hashes = np.frombuffer(hashes, np.uint64)
             counts, of = unpacked(counts, np.uint32), _shards(hashes, shards)
             rows = []
             for s in range(shards):
                 mine = np.flatnonzero(of == s)
                 if len(mine):
-                    rows.append((s, block, hashes[mine].tobytes(), classes[mine].tobytes(), packed(counts[mine])))
-            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "block", "hashes", "classes", "counts"]
-            )
-
+                    rows.append((s, block, hashes[mine].tobytes(), packed(counts[mine])))
+            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 2
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "block", "hashes", "counts"])
 
-def _answers(batches: Iterator[pa.RecordBatch], least_common: float) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by shard: each block's words with their counts in all blocks. The
-    first row of a shard also has its sums: distinct words, words found once, counts and
-    distinct words by class, common words with their counts."""
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    names = ["shard", "block", "totals", "n_distinct", "n_once", "masses", "common"]
-
-    def answered(shard: int, parts: list[tuple]) -> pa.RecordBatch:
-        hashes = np.concatenate([np.frombuffer(h, np.uint64) for _, h, _, _ in parts])
-        classes = np.concatenate([np.frombuffer(c, np.uint8) for _, _, c, _ in parts])
-        counts = np.concatenate([unpacked(c, np.uint32) for _, _, _, c in parts])
-        distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-        totals = np.bincount(of, weights=counts).astype(np.int64)
-        known = totals > 0
-        common = known & (totals >= least_common)
-        rare = known & ~common
-        masses = np.concatenate(
-            [
-                np.bincount(classes[first][rare], weights=totals[rare], minlength=CLASSES),
-                np.bincount(classes[first][rare], minlength=CLASSES),
-            ]
-        ).astype(np.int64)
-        sums = (int(known.sum()), int((totals == 1).sum()), masses.tobytes(),
-                np.r_[distinct[common], totals[common].astype(np.uint64)].tobytes())
-        rows, at = [], 0
-        for block, h, _, _ in parts:
-            n = len(h) // 8
-            rows.append((shard, block, packed(totals[of[at : at + n]]), *(sums if not at else (0, 0, None, None))))
-            at += n
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Of a partition sorted by shard: each shard with its rows."""
     last, parts = None, []
     for batch in batches:
         for shard, *part in zip(*(c.to_pylist() for c in batch.columns)):
             if shard != last and parts:
-                yield answered(last, parts)
+                yield last, parts
                 parts = []
             last = shard
             parts.append(tuple(part))
     if parts:
-        yield answered(last, parts)
+        yield last, parts
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's words with their counts in all blocks. The first row of a shard
+    also has its sums: distinct words, words found once."""
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["shard", "block", "totals", "n_distinct", "n_once"]
+    for shard, parts in _by_shard(batches):
+        hashes = np.concatenate([np.frombuffer(h, np.uint64) for _, h, _ in parts])
+        counts = np.concatenate([unpacked(c, np.uint32) for _, _, c in parts])
+        distinct, of = np.unique(hashes, return_inverse=True)
+        totals = np.bincount(of, weights=counts).astype(np.int64)
+        sums = (int((totals > 0).sum()), int((totals == 1).sum()))
+        rows, at = [], 0
+        for block, h, _ in parts:
+            n = len(h) // 8
+            rows.append((shard, block, packed(totals[of[at : at + n]]), *(sums if not at else (0, 0))))
+            at += n
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-class Vocabulary(NamedTuple):
-    """Symbols: CLASSES classes of rarer words, END, and the common words in the order of their hashes."""
+class Corpus(NamedTuple):
+    """Sums over the training texts, and how many shards hold words and pairs."""
 
-    n_tokens: int  # in training, ends included
+    n_tokens: int  # ends included
     n_distinct: int
     n_once: int
     n_docs: int
-    common: np.ndarray  # sorted hashes
-    counts: np.ndarray  # of each symbol
-    weights: np.ndarray  # of each symbol: the sum of count + 1 of its words
-
-    def symbols(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        symbols = classes.astype(np.int64)
-        if len(self.common):
-            at = np.searchsorted(self.common, hashes)
-            at[at == len(self.common)] = 0
-            found = self.common[at] == hashes
-            symbols[found] = CLASSES + 1 + at[found]
-        return symbols
-
-
-def _sequences(row: dict, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: its tokens' symbols with an END after each text, the numbers of the words (-1: an end), the texts'
-    first places, and each place's distance from there."""
-    hashes, classes = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["classes"], np.uint8)
+    word_shards: int
+    pair_shards: int
+
+
+def _sequences(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: the numbers of its words with an end (-1) after each text, the texts' first places,
+    and each place's distance from there."""
     lengths = unpacked(row["lengths"], np.uint32).astype(np.int64)
     tokens = unpacked(row["tokens"], np.uint32).astype(np.int64)
     starts = np.cumsum(lengths + 1) - lengths - 1
@@ -181,52 +165,214 @@ def _sequences(row: dict, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarra
     is_word = np.ones(len(words), bool)
     is_word[starts + lengths] = False
     words[is_word] = tokens
-    of = vocabulary.symbols(hashes, classes)
-    symbols = np.full(len(words), END, np.int64)
-    symbols[is_word] = of[tokens]
-    return symbols, words, starts, np.arange(len(words)) - np.repeat(starts, lengths + 1)
-
-
-def _contexts(symbols: np.ndarray, inside: np.ndarray, extensions: list[np.ndarray]) -> list[np.ndarray]:
-    """The index of each place's context of every length, -1 for none."""
-    found = [np.zeros(len(symbols), np.int64)]
-    for lag, extension in enumerate(extensions, 1):
-        before = np.full(len(symbols), END, np.int64)
-        before[lag:] = symbols[:-lag]
-        before[inside < lag] = END
-        shorter = found[-1]
-        found.append(np.where(shorter >= 0, extension[shorter, before], -1))
-    return found
-
-
-def _counted(batches, vocabulary, extensions: list[np.ndarray], n_contexts: int) -> Iterator[pa.RecordBatch]:
-    """How often each symbol follows each context of the last length, in the training texts."""
-    n_symbols = len(vocabulary.counts)
-    sums = np.zeros(n_contexts * n_symbols, np.int64)
+    return words, starts, np.arange(len(words)) - np.repeat(starts, lengths + 1)
+
+
+class Asked(NamedTuple):
+    """What a block asks on one level: its distinct pairs of a context and the next word, in the order of
+    their shards."""
+
+    active: np.ndarray  # places whose context training has LEAST times
+    place: np.ndarray  # of each active place: its pair
+    shard: np.ndarray  # of each pair, ascending
+    context: np.ndarray
+    pair: np.ndarray
+    heavy: np.ndarray
+    at: np.ndarray  # a place of the pair
+
+    def runs(self) -> np.ndarray:
+        """Where a new context or shard begins."""
+        new = np.ones(len(self.pair), bool)
+        new[1:] = (self.context[1:] != self.context[:-1]) | (self.shard[1:] != self.shard[:-1])
+        return np.flatnonzero(new)
+
+
+def _asked(contexts: np.ndarray, hashes: np.ndarray, n: np.ndarray, corpus: Corpus) -> Asked:
+    """A context's pairs share a shard, those of a heavy context are spread. A context is heavy when it holds
+    a shard's part of the training tokens, so there are no more of them than shards."""
+    active = np.flatnonzero(n >= LEAST)
+    pairs, first, of = np.unique(
+        mix(contexts[active] * np.uint64(BASE) + hashes[active]), return_index=True, return_inverse=True
+    )
+    at = active[first]
+    heavy = n[at] * corpus.pair_shards >= corpus.n_tokens
+    key = np.where(heavy, pairs, contexts[at])
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return Asked(
+        active, rank[of], _ranges(key[order], corpus.pair_shards), contexts[at[order]], pairs[order], heavy[order], at[order]
+    )
+
+
+class Places(NamedTuple):
+    """Of each token: its count, its training count after the contexts of the last level, how often training
+    has that context, and its probability in the longest state so far."""
+
+    count: np.ndarray
+    total: np.ndarray
+    n: np.ndarray
+    p: np.ndarray
+    starts: np.ndarray
+    asked: Asked | None  # of the next level
+    parents: tuple  # total and n of the shorter context
+
+
+def _places(row: dict, corpus: Corpus, levels: list[tuple], ask: bool) -> Places:
+    """A block's tokens with the answers of ``levels``. A level's heavy contexts come as sorted hashes with
+    their weights."""
+    words, starts, inside = _sequences(row)
+    of_words = np.frombuffer(row["hashes"], np.uint64)
+    totals = np.zeros(row["n_words"] + 1, np.int64)  # the last: an end
+    of = _shards(of_words, corpus.word_shards)
+    for answer in row["answers0"]:
+        totals[:-1][of == answer["shard"]] = unpacked(answer["totals"], np.int64)
+    totals[-1] = corpus.n_docs
+    hashes = np.r_[of_words, END_HASH][words]
+    count = total = totals[words]
+    n = np.full(len(words), corpus.n_tokens, np.int64)
+    p = (count + 1) / max(corpus.n_tokens + corpus.n_distinct, 1)
+    contexts = np.zeros(len(words), np.uint64)
+    for level in range(1, len(levels) + ask + 1):
+        before = np.full(len(words), END_HASH)
+        before[level:] = hashes[:-level]
+        before[inside < level] = END_HASH
+        contexts = mix(contexts * np.uint64(BASE) + before)
+        # A context occurs as often as its last word does after the words before.
+        longer = np.r_[0, total[:-1]]
+        longer[starts] = corpus.n_docs
+        asked = _asked(contexts, hashes, longer, corpus)
+        if level > len(levels):
+            return Places(count, total, n, p, starts, asked, (total, n, longer))
+        n, total = longer, np.zeros(len(words), np.int64)
+        if not len(asked.active):
+            continue
+        known, weights = levels[level - 1]
+        found, weight = np.zeros(len(asked.pair), np.int64), np.zeros(len(asked.pair), np.int64)
+        first = asked.runs()
+        lengths = np.diff(np.r_[first, len(found)])
+        cuts = np.searchsorted(asked.shard, np.arange(corpus.pair_shards + 1))
+        run_cuts = np.searchsorted(asked.shard[first], np.arange(corpus.pair_shards + 1))
+        for answer in row[f"answers{level}"]:
+            s = answer["shard"]
+            values = unpacked(answer["totals"], np.int64)
+            mine = slice(cuts[s], cuts[s + 1])
+            found[mine] = values[: mine.stop - mine.start]
+            weight[mine] = np.repeat(values[mine.stop - mine.start :], lengths[run_cuts[s] : run_cuts[s + 1]])
+        if asked.heavy.any():
+            weight[asked.heavy] = weights[np.searchsorted(known, asked.context[asked.heavy])]
+        total[asked.active] = found[asked.place]
+        w = weight[asked.place]
+        p[asked.active] = np.where(
+            w > 0, (total[asked.active] + w * p[asked.active]) / (n[asked.active] + w), p[asked.active]
+        )
+    return Places(count, total, n, p, starts, None, ())
+
+
+def _pair_asks(batches: Iterator[pa.RecordBatch], corpus: Corpus, levels: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """A block's pairs of the next level with their counts in its training texts, and those of the shorter context."""
     for batch in batches:
         for row in batch.to_pylist():
-            symbols, _, starts, inside = _sequences(row, vocabulary)
-            train = np.repeat(np.frombuffer(row["train"], bool), np.diff(np.r_[starts, len(symbols)]))
-            context = _contexts(symbols, inside, extensions)[-1]
-            counts = train & (context >= 0)
-            sums += np.bincount(context[counts] * n_symbols + symbols[counts], minlength=len(sums))
-    at = np.flatnonzero(sums)
-    yield pa.record_batch(
-        [pa.array((at // n_symbols).astype(np.int32)), pa.array((at % n_symbols).astype(np.int32)), pa.array(sums[at])],
-        names=["context", "symbol", "n"],
-    )
+            places = _places(row, corpus, levels, True)
+            asked, (usual, parent_n, n) = places.asked, places.parents
+            train = np.repeat(np.frombuffer(row["train"], bool), np.diff(np.r_[places.starts, len(places.p)]))
+            counts = np.bincount(asked.place, weights=train[asked.active], minlength=len(asked.pair)).astype(np.int64)
+            first = asked.runs()
+            lengths = np.diff(np.r_[first, len(counts)])
+            cuts = np.searchsorted(asked.shard, np.arange(corpus.pair_shards + 1))
+            run_cuts = np.searchsorted(asked.shard[first], np.arange(corpus.pair_shards + 1))
+            rows = []
+            for s in np.unique(asked.shard).tolist():
+                mine, runs = slice(cuts[s], cuts[s + 1]), slice(run_cuts[s], run_cuts[s + 1])
+                at = asked.at[first[runs]]
+                numbers = np.concatenate([lengths[runs], n[at], parent_n[at], counts[mine], usual[asked.at[mine]]])
+                rows.append(
+                    (s, row["block"], asked.context[first[runs]].tobytes(), asked.pair[mine].tobytes(), packed(numbers))
+                )
+            kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.record_batch(
+                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["shard", "block", "contexts", "pairs", "numbers"]
+            )
+
+
+def state_weights(different: np.ndarray, terms: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the shorter context's distribution weighs in a state; 0 for contexts that are no states (``smoothed``)."""
+    return np.where(terms > 0.5 * different * np.log(np.maximum(n, 2)), different, 0)
+
+
+def _pair_answers(batches: Iterator[pa.RecordBatch], corpus: Corpus) -> Iterator[pa.RecordBatch]:
+    """Each block's pairs with their counts in all blocks, then its contexts' weights. The first row of a
+    shard also has its part of the sums of heavy contexts."""
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    for shard, parts in _by_shard(batches):
+        contexts, pairs, runs, n, parent_n, counts, usual = [], [], [], [], [], [], []
+        for _, c, p, numbers in parts:
+            contexts.append(np.frombuffer(c, np.uint64))
+            pairs.append(np.frombuffer(p, np.uint64))
+            k = len(contexts[-1])
+            each = np.split(unpacked(numbers, np.int64), np.cumsum([k, k, k, len(pairs[-1])]))
+            for values, into in zip(each, (runs, n, parent_n, counts, usual)):
+                into.append(values)
+        ends = np.cumsum([len(p) for p in pairs])
+        run_ends = np.cumsum([len(c) for c in contexts])
+        contexts, pairs, runs, n, parent_n, counts, usual = map(
+            np.concatenate, (contexts, pairs, runs, n, parent_n, counts, usual)
+        )
+        distinct, of_run = np.unique(contexts, return_inverse=True)
+        own_n, own_parent_n = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        own_n[of_run], own_parent_n[of_run] = n, parent_n
+        _, first, of = np.unique(pairs, return_index=True, return_inverse=True)
+        totals = np.bincount(of, weights=counts).astype(np.int64)
+        context = np.repeat(of_run, runs)[first]
+        seen = totals > 0
+        context, t, usual = context[seen], totals[seen], usual[first][seen]
+        terms = t * (np.log(t / own_n[context]) - np.log(usual / own_parent_n[context]))
+        terms = np.bincount(context, weights=terms, minlength=len(distinct))
+        different = np.bincount(context, minlength=len(distinct))
+        weights = state_weights(different, terms, own_n)
+        heavy = np.flatnonzero((own_n * corpus.pair_shards >= corpus.n_tokens) & (different > 0))
+        weights[heavy] = 0
+        sums = b"".join(
+            a[heavy].tobytes() for a in (distinct.view(np.int64), own_n, different.astype(np.int64), terms)
+        )
+        rows = []
+        for i, (block, *_) in enumerate(parts):
+            mine = slice(ends[i - 1] if i else 0, ends[i])
+            own = slice(run_ends[i - 1] if i else 0, run_ends[i])
+            values = packed(np.concatenate([totals[of[mine]], weights[of_run[own]]]))
+            rows.append((shard, block, values, sums if not i and len(heavy) else None))
+        yield pa.record_batch(
+            [pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["shard", "block", "totals", "heavy"]
+        )
 
 
-class Tree(NamedTuple):
-    """``extensions[d][c, s]``: the context that puts s before context c of length d, or -1.
-    ``logs[d][c, s]``: log10 of the probability of s in the state of that context."""
+def _heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for sums in batch.column(0).to_pylist():
+            context, n, different, terms = np.frombuffer(sums, np.int64).reshape(4, -1)
+            yield pa.record_batch(
+                [pa.array(context), pa.array(n), pa.array(different), pa.array(terms.view(np.float64))],
+                names=["context", "n", "different", "terms"],
+            )
 
-    extensions: list[np.ndarray]
-    logs: list[np.ndarray]
+
+def _heavy_weights(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the heavy contexts, no more than shards, with their weights."""
+    rows = (
+        answers.filter("heavy is not null").select("heavy").mapInArrow(_heavy, HEAVY)
+        .groupBy("context").agg(F.max("n").alias("n"), F.sum("different").alias("different"), F.sum("terms").alias("terms"))
+        .toArrow()
+    )
+    n, different, terms = (rows.column(c).to_numpy() for c in ("n", "different", "terms"))
+    contexts = rows.column("context").to_numpy().view(np.uint64)
+    order = np.argsort(contexts)
+    return contexts[order], state_weights(different, terms, n)[order].astype(np.int64)
 
 
 def next_level(counts: np.ndarray, sequences: list[tuple], least: float) -> tuple[list[tuple], list[int]]:
-    """Contexts one longer that occur ``least`` times, with the index of the context they extend."""
+    """Contexts one longer that occur ``least`` times, with the index of the context they extend. With
+    ``smoothed`` the rule of a level as one dense table, which tests hold the shards to."""
     index = {sequence: i for i, sequence in enumerate(sequences)}
     longer, parents = [], []
     for i, symbol in zip(*np.nonzero(counts >= least)):
@@ -256,71 +402,17 @@ def smoothed(counts: np.ndarray, parents: np.ndarray, parent_counts: np.ndarray,
     return np.where(diverges, own, parent_p[parents])
 
 
-def _grow(blocks: DataFrame, vocabulary: Vocabulary, depth: int) -> Tree:
-    """Level by level: count the contexts of a length, then choose those to lengthen."""
-    context = blocks.sparkSession.sparkContext
-    n_symbols = len(vocabulary.counts)
-    least = max(2.0, CONTEXT_SHARE * vocabulary.n_tokens)
-    p = (vocabulary.weights / max(vocabulary.weights.sum(), 1))[None, :]
-    counts = vocabulary.counts[None, :]
-    sequences: list[tuple] = [()]
-    extensions: list[np.ndarray] = []
-    logs = [p]
-    for length in range(1, depth + 1):
-        if length == 1:
-            # END precedes every text.
-            longer = [(int(s),) for s in np.flatnonzero((vocabulary.counts >= least) | (np.arange(n_symbols) == END))]
-            parents = [0] * len(longer)
-        else:
-            longer, parents = next_level(counts, sequences, least)
-            # A text's start is all that precedes it.
-            start = (END,) * length
-            longer.append(start)
-            parents.append(sequences.index(start[1:]))
-        extension = np.full((len(sequences), n_symbols), -1, np.int32)
-        extension[parents, [s[0] for s in longer]] = np.arange(len(longer))
-        extensions.append(extension)
-        # Plain tuples: a broadcast does not carry the package's classes.
-        sent = context.broadcast((tuple(vocabulary), list(extensions)))
-        n_contexts = len(longer)
-        rows = (
-            blocks.select("train", "lengths", "tokens", "hashes", "classes")
-            .mapInArrow(lambda x, sent=sent, n=n_contexts: _counted(x, Vocabulary(*sent.value[0]), sent.value[1], n), COUNT)
-            .groupBy("context", "symbol")
-            .agg(F.sum("n").alias("n"))
-            .toArrow()
-        )
-        # At most 1 / CONTEXT_SHARE contexts by CLASSES + 1 / COMMON_SHARE symbols.
-        new = np.zeros((n_contexts, n_symbols))
-        new[rows.column("context").to_numpy(), rows.column("symbol").to_numpy()] = rows.column("n").to_numpy()
-        p = smoothed(new, np.array(parents), counts, p)
-        logs.append(p)
-        counts, sequences = new, longer
-    with np.errstate(divide="ignore"):
-        return Tree(extensions, [np.log10(x).astype(np.float32) for x in logs])
-
-
-def _scores(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tree: Tree, shards: int) -> Iterator[pa.RecordBatch]:
-    v = vocabulary
-    base_total = v.n_tokens + v.n_distinct + 1
-    unseen = v.n_once / v.n_tokens if v.n_once else 1 / base_total
+def _scores(batches: Iterator[pa.RecordBatch], corpus: Corpus, levels: list[tuple]) -> Iterator[pa.RecordBatch]:
+    base_total = corpus.n_tokens + corpus.n_distinct + 1
     for batch in batches:
         for row in batch.to_pylist():
-            symbols, words, starts, inside = _sequences(row, v)
-            totals = np.zeros(row["n_words"] + 1, np.int64)  # the last: an end
-            of = _shards(np.frombuffer(row["hashes"], np.uint64), shards)
-            for answer in row["answers"]:
-                totals[:-1][of == answer["shard"]] = unpacked(answer["totals"], np.int64)
-            totals[-1] = v.n_docs
-            c = totals[words]
+            places = _places(row, corpus, levels, False)
+            c, starts = places.count, places.starts
             base = np.log10((c + 1) / base_total)
-            if v.n_tokens:
-                log = np.zeros(len(c))
-                for level, contexts in enumerate(_contexts(symbols, inside, tree.extensions)):
-                    at = contexts >= 0
-                    log[at] = tree.logs[level][contexts[at], symbols[at]]
+            if corpus.n_tokens:
+                unseen = corpus.n_once / corpus.n_tokens if corpus.n_once else 1 / base_total
                 with np.errstate(divide="ignore"):
-                    log += np.log10(1 - unseen) + np.log10((c + 1) / np.maximum(v.weights[symbols], 1))
+                    log = np.log10(places.p) + np.log10(1 - unseen)
                 log[c == 0] = np.log10(unseen)
             else:
                 log = base
@@ -331,7 +423,7 @@ def _scores(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tree: Tre
                     pa.array(~np.frombuffer(row["train"], bool)),
                     pa.array(lengths),
                     pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
-                    pa.array(np.full(len(starts), v.n_tokens, np.int64)),
+                    pa.array(np.full(len(starts), corpus.n_tokens, np.int64)),
                     pa.array(np.add.reduceat(base, starts)),
                     pa.array(np.add.reduceat(log, starts)),
                 ],
@@ -339,20 +431,14 @@ def _scores(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, tree: Tre
             )
 
 
-def _vocabulary(answers: DataFrame, n_tokens: int, n_docs: int) -> Vocabulary:
-    """From one row of sums per shard."""
-    sums = answers.filter("masses is not null").select("n_distinct", "n_once", "masses", "common").collect()
-    masses = sum((np.frombuffer(r.masses, np.int64) for r in sums), np.zeros(2 * CLASSES, np.int64))
-    pairs = [np.frombuffer(r.common, np.uint64).reshape(2, -1) for r in sums]
-    common, n = np.concatenate(pairs, axis=1) if pairs else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    order = np.argsort(common)
-    n = n[order].astype(np.int64)
-    counts = np.r_[masses[:CLASSES], n_docs, n].astype(float)
-    distinct = np.r_[masses[CLASSES:], 1 if n_docs else 0, np.ones(len(n))]
-    return Vocabulary(
-        n_tokens, sum(r.n_distinct for r in sums) + (n_docs > 0), sum(r.n_once for r in sums) + (n_docs == 1),
-        n_docs, common[order], counts, counts + distinct,
-    )
+def _with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """Each block with the answers of every level so far, one row per shard and block."""
+    for level, own in enumerate(answers):
+        name = f"answers{level}"
+        got = own.groupBy("block").agg(F.collect_list(F.struct("shard", "totals")).alias(name))
+        none = F.array().cast("array<struct<shard:int,totals:binary>>")
+        blocks = blocks.join(got, "block", "left").withColumn(name, F.coalesce(name, none))
+    return blocks
 
 
 def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -361,16 +447,17 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     Tokens are the words, A-Z in lower case, and an end. Documents whose crc32(id) modulo 7 is 2 are
     held out, the others train. ``base_score`` adds log10((c + 1) / (N + V + 1)) over the tokens.
 
-    ``score`` comes from a probabilistic suffix tree. Its symbols are the words that make up a thousandth of the training
-    tokens, classes of the others by their endings, and the end; so there are at most 1257. Contexts
-    of up to ``depth`` symbols that make up a two-thousandth of the tokens are states if their next symbols
+    ``score`` comes from a probabilistic suffix tree. Its symbols are all words of the training texts and the end.
+    Every context of up to ``depth`` words that training has ``LEAST`` times is a state if its next words
     diverge from those of the context one shorter (``smoothed``); a token is scored in the state of the longest
-    context that precedes it, then by its share of its symbol's words. A word that training
-    lacks has the share of words that training has once.
+    context that precedes it. A word that training lacks has the share of words that training has once.
 
-    The tree is bounded; the word counts are not and never meet. Documents become blocks of numbered words;
+    Neither words nor contexts are bounded, and neither ever meet: documents become blocks of numbered words;
     each block sends its distinct words to the shards of their hashes, and gets their
-    counts back. Counts of contexts are summed by task first.
+    counts back. Then, level by level, it sends its distinct pairs of a context and the next word, with the counts
+    of the level before, and gets back their counts and whether the context is a state. A context's count is known
+    before it is asked for, so those below ``LEAST`` are never sent, and the pairs of heavy
+    contexts go to many shards. Words and pairs are told apart by 64-bit hashes.
 
     NULL or empty text is the end alone. Rows without id train; repeated rows each count. An
     empty table gives an empty result; without training documents both scores are 0. Other columns are
@@ -384,25 +471,42 @@ def score_texts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         whole().cast("binary").alias("text"),
     )
     blocks = written(source.mapInArrow(_blocks, BLOCK), "blocks")
-    n_tokens, n_docs, n_words = (x or 0 for x in blocks.agg(F.sum("n_train"), F.sum("n_train_docs"), F.sum("n_words")).first())
-    shards = max(-(-n_words // SHARD_WORDS), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    answers = written(
-        blocks.select("block", "hashes", "classes", "counts")
-        .mapInArrow(lambda x: _asks(x, shards), ASK)
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard")
-        .mapInArrow(lambda x: _answers(x, COMMON_SHARE * n_tokens), ANSWER),
-        "answers",
+    n_train, n_docs, n_tokens, n_words = (
+        x or 0 for x in blocks.agg(*[F.sum(c) for c in ("n_train", "n_train_docs", "n_tokens", "n_words")]).first()
     )
-    vocabulary = _vocabulary(answers, n_tokens, n_docs)
-    tree = _grow(blocks, vocabulary, depth)
-    sent = spark.sparkContext.broadcast((tuple(vocabulary), tuple(tree)))
-    # One row per shard and block.
-    counted = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "totals")).alias("answers"))
-    scored = (
-        blocks.select("block", "n_words", "docs", "train", "lengths", "tokens", "hashes", "classes")
-        .join(counted, "block", "left")
-        .withColumn("answers", F.coalesce("answers", F.array().cast("array<struct<shard:int,totals:binary>>")))
-        .mapInArrow(lambda x: _scores(x, Vocabulary(*sent.value[0]), Tree(*sent.value[1]), shards), SCORE)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(-(-n_words // SHARD_WORDS), least)
+    answers = [
+        written(
+            blocks.select("block", "hashes", "counts")
+            .mapInArrow(lambda x: _asks(x, shards), ASK)
+            .repartition(shards, "shard")
+            .sortWithinPartitions("shard")
+            .mapInArrow(_answers, ANSWER),
+            "answers",
+        )
+    ]
+    n_distinct, n_once = (x or 0 for x in answers[0].agg(F.sum("n_distinct"), F.sum("n_once")).first())
+    corpus = (
+        n_train, n_distinct + (n_docs > 0), n_once + (n_docs == 1), n_docs, shards, max(-(-n_tokens // SHARD_PAIRS), least)
+    )
+    blocks = blocks.select("block", "n_words", "docs", "train", "lengths", "tokens", "hashes")
+    levels: list[tuple] = []
+    for _ in range(depth):
+        # Plain tuples: a broadcast does not carry the package's classes.
+        sent = spark.sparkContext.broadcast((corpus, list(levels)))
+        own = written(
+            _with_answers(blocks, answers)
+            .mapInArrow(lambda x, sent=sent: _pair_asks(x, Corpus(*sent.value[0]), sent.value[1]), PAIR_ASK)
+            .repartition(corpus[-1], "shard")
+            .sortWithinPartitions("shard")
+            .mapInArrow(lambda x, sent=sent: _pair_answers(x, Corpus(*sent.value[0])), PAIR_ANSWER),
+            "answers",
+        )
+        levels.append(_heavy_weights(own))
+        answers.append(own)
+    sent = spark.sparkContext.broadcast((corpus, levels))
+    scored = _with_answers(blocks, answers).mapInArrow(
+        lambda x: _scores(x, Corpus(*sent.value[0]), sent.value[1]), SCORE
     )
     return scored.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), *scored.columns[1:])

@@ -85,3 +85,66 @@ def test_next_level_extends_known_contexts():
     counts[0, 1] = counts[1, 0] = counts[0, END] = 5
     longer, parents = next_level(counts, [(0,), (1,)], 5)
     assert longer == [(0, 1), (1, 0)] and parents == [1, 0]
+
+
+def dense_scores(texts, depth=3):
+    """The whole tree as dense tables over all words: every context found twice may be a state."""
+    tokens = {i: [*text.encode().lower().split(), None] for i, text in enumerate(texts)}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    words = sorted({w for t in train for w in t[:-1]})
+    index = {None: END} | {w: k if k < END else k + 1 for k, w in enumerate(words)}
+    size = max(len(words) + 1, END + 1)
+    n_docs, total = len(train), sum(map(len, train))
+    root = np.zeros((1, size))
+    for t in train:
+        np.add.at(root[0], [index[w] for w in t], 1)
+    p = np.where(root > 0, root + 1, 0) / (root.sum() + (root > 0).sum())
+    once = (root == 1).sum() / total
+    counts, states, levels = root, [()], [({(): 0}, p)]
+
+    def context(t, at, length):
+        return tuple(index[t[at - k]] if at >= k else END for k in range(length, 0, -1))
+
+    for length in range(1, depth + 1):
+        longer, _ = next_level(counts, states, 2)
+        longer = [*longer, (END,) * length] if length > 1 else [(s,) for s in range(size) if root[0, s] >= 2]
+        if length > 1 and n_docs > 1:  # those at a text's start
+            found = Counter(context(t, at, length) for t in train for at in range(1, min(length, len(t))))
+            longer += [c for c, n in found.items() if n >= 2 and c[0] == END and c not in longer]
+        of = {c: k for k, c in enumerate(longer)}
+        new = np.zeros((len(longer), size))
+        for t in train:
+            for at, w in enumerate(t):
+                if (k := of.get(context(t, at, length))) is not None:
+                    new[k, index[w]] += 1
+        p = smoothed(new, np.array([states.index(c[1:]) for c in longer]), counts, p)
+        levels.append((of, p))
+        counts, states = new, longer
+    scores = {}
+    for i, t in tokens.items():
+        score = 0.0
+        for at, w in enumerate(t):
+            if w not in index:
+                score += log10(once)
+                continue
+            # A context may hold words that training lacks.
+            own = tuple(index.get(t[at - k], -1) if at >= k else END for k in range(depth, 0, -1))
+            length = max(n for n in range(depth + 1) if own[depth - n :] in levels[n][0])
+            of, q = levels[length]
+            score += log10(q[of[own[depth - length :]], index[w]] * (1 - once))
+        scores[i] = score
+    return scores
+
+
+def test_equals_the_dense_tree(docs_of, rng, monkeypatch):
+    """Rare words and contexts count as they are, however small their share."""
+    monkeypatch.setattr(module, "BLOCK_TOKENS", 300)
+    words = [f"w{k}" for k in range(400)]
+    phrases = [rng.sample(words, 6) for _ in range(40)]
+    texts = [
+        " ".join(w for _ in range(rng.randrange(1, 12)) for w in (rng.choice(phrases) if rng.random() < 0.6 else [rng.choice(words)]))
+        for _ in range(150)
+    ]
+    want = dense_scores(texts)
+    for r in score_texts(docs_of(texts)).collect():
+        assert r.score == pytest.approx(want[r.doc_id])
