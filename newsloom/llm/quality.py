@@ -18,7 +18,7 @@ CLASSES = {
     "punctuation": "[.,;:!?'\"()-]",
 }
 COMMON_WORDS = 32
-LANGUAGE_SHARE = 0.001
+REFERENCE_WORDS = 1000  # a language with fewer has no reference: its histograms would stray by more than 1 / sqrt(1000)
 # Largest distance of a document of n words: base + noise / sqrt(n). A histogram
 # of n draws strays from its source by about 1 / sqrt(n).
 CHARACTER_LIMIT = (0.14, 0.9)
@@ -93,9 +93,9 @@ def quality(
     all documents of the language by the Jensen-Shannon distance. A limit is wider
     for short documents; documents below ``min_words`` fail the base rules anyway.
 
-    A language has references of its own when it holds a thousandth of the rows,
-    so there are at most a thousand; documents of all other languages, and those
-    without one, share references. Everything per document is computed within its row;
+    Every language has references of its own, however few its rows. Documents of languages with fewer
+    than ``REFERENCE_WORDS`` words, and those without a language, pass on the base rules alone; the distances
+    of the latter are to each other's mean. Everything per document is computed within its row;
     between rows move the sketches of frequent words and sums by language.
 
     NULL or empty text has no words and fails. Repeated rows each get a row. An empty
@@ -125,21 +125,11 @@ def _judged(
     min_words: int,
 ) -> DataFrame:
     named = docs.select(_key().alias("key"), "doc_id", F.col("lang").alias("language"), whole().alias("text"))
-    counted = named.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.agg(F.sum("n")).scalar()
-    large = counted.filter(F.col("language").isNotNull() & (F.col("n") >= LANGUAGE_SHARE * total))
-    # At most 1 / LANGUAGE_SHARE rows.
-    large = F.broadcast(written(large.select("language", F.lit(True).alias("own")), "languages"))
-    tokens = (
-        named.join(large, "language", "left")
-        .withColumn("language", F.when(F.col("own"), F.col("language")))
-        .select("key", "doc_id", "language", "text", words(F.col("text")).alias("words"))
-    )
+    tokens = named.withColumn("words", words(F.col("text")))
 
     common = written(_common_words(tokens, common_words), "common").alias("c")
-    measured = tokens.alias("t").join(
-        F.broadcast(common), F.col("t.language").eqNullSafe(F.col("c.language")), "left"
-    )
+    # One row per language, without a bound: Spark broadcasts it by its size or shuffles.
+    measured = tokens.alias("t").join(common, F.col("t.language").eqNullSafe(F.col("c.language")), "left")
     text, word_list = F.col("text"), F.col("words")
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     known = F.coalesce("common", F.array().cast("array<string>"))
@@ -177,15 +167,16 @@ def _judged(
     def mean(name: str, n: int) -> Column:
         return F.array(*[F.avg(F.get(name, F.lit(i))) for i in range(n)])
 
-    references = (
+    references = written(
         shares.filter("n_words > 0")
         .groupBy("language")
         .agg(
             mean("characters", len(CLASSES) + 1).alias("usual_characters"),
             mean("common", common_words + 1).alias("usual_common"),
-        )
-        .alias("r")
-    )
+            (F.col("language").isNotNull() & (F.sum("n_words") >= REFERENCE_WORDS)).alias("judges"),
+        ),
+        "references",
+    ).alias("r")
 
     def within(name: str, limit: tuple[float, float]) -> Column:
         return F.col(name) <= limit[0] + limit[1] / F.sqrt(F.col("n_words"))
@@ -193,7 +184,7 @@ def _judged(
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = (
         shares.alias("s")
-        .join(F.broadcast(references), F.col("s.language").eqNullSafe(F.col("r.language")), "left")
+        .join(references, F.col("s.language").eqNullSafe(F.col("r.language")), "left")
         .select(
             "key",
             "doc_id",
@@ -205,7 +196,8 @@ def _judged(
             _distance(F.col("characters"), F.col("usual_characters")).alias("character_distance"),
             _distance(F.col("common"), F.col("usual_common")).alias("word_distance"),
             base_failed.alias("base_failed"),
+            "judges",
         )
     )
     passed = within("character_distance", character_limit) & within("word_distance", word_limit)
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(passed, F.lit(False)))
+    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(passed | ~F.col("judges"), F.lit(False))).drop("judges")

@@ -111,3 +111,19 @@ def test_edges(docs_of):
 
 def test_empty_table(spark):
     assert quality(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def test_rare_languages_and_none(docs_of, rng):
+    """Clean documents of languages far below a thousandth of the rows, or without one, stay."""
+    texts, langs = ["short text"] * 12_000, ["en"] * 12_000
+    for lang in ("aa", "bb", "cc", None, None, "dd"):
+        own = [f"{lang or len(texts)}{k}" for k in range(30)]
+        for _ in range(1 if lang in (None, "dd") else 10):
+            texts.append(" ".join(rng.choice(own) for _ in range(150)))
+            langs.append(lang)
+    junk = len(texts)
+    texts.append(" ".join(f"#{k}$" for k in range(150)))
+    langs.append("en")
+    got = {r.doc_id: r.kept for r in quality(docs_of(texts, lang=langs)).filter("n_words >= 50").collect()}
+    assert len(got) == junk + 1 - 12_000 and not got.pop(junk)
+    assert all(got.values())
