@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.columns import SPACES, WHITESPACE, let, whole, words
@@ -56,11 +56,13 @@ def repeated_window_words(tokens: Column, width: int = 3) -> Column:
 
 
 def _common_words(docs: DataFrame, n: int) -> DataFrame:
-    """The most frequent words of each language, by a mergeable sketch of 10,000 counters."""
-    each = docs.select("language", F.explode("words").alias("word"))
-    found = each.groupBy("language").agg(F.expr(f"approx_top_k(word, {2 * n}, 10000)").alias("top"))
-    ranked = F.sort_array(F.transform("top", lambda t: F.struct((-t["count"]).alias("n"), t["item"].alias("word"))))
-    return found.select("language", F.slice(F.transform(ranked, lambda t: t["word"]), 1, n).alias("common"))
+    """The most frequent words of each language, by exact counts; ties by the word."""
+    each = docs.select("language", F.explode("words").alias("word")).groupBy("language", "word").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("language").orderBy(F.col("n").desc(), "word")
+    # A rank limit is applied within each task before the rows of a language meet.
+    top = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "word")))
+    return top.groupBy("language").agg(ranked.alias("top")).select("language", F.col("top.word").alias("common"))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -96,7 +98,7 @@ def quality(
     Every language has references of its own, however few its rows. Documents of languages with fewer
     than ``REFERENCE_WORDS`` words, and those without a language, pass on the base rules alone; the distances
     of the latter are to each other's mean. Everything per document is computed within its row;
-    between rows move the sketches of frequent words and sums by language.
+    between rows move the counts of words, summed by task first, and sums by language.
 
     NULL or empty text has no words and fails. Repeated rows each get a row. An empty
     table gives an empty result. Other columns are ignored.

@@ -127,3 +127,13 @@ def test_rare_languages_and_none(docs_of, rng):
     got = {r.doc_id: r.kept for r in quality(docs_of(texts, lang=langs)).filter("n_words >= 50").collect()}
     assert len(got) == junk + 1 - 12_000 and not got.pop(junk)
     assert all(got.values())
+
+
+def test_common_words_are_exact(docs_of):
+    """Far more distinct words than a sketch of 10,000 counters holds, and close counts near the last place."""
+    rare = [f"r{k}" for k in range(60_000)]
+    often = [f"w{k:02}" for k in range(64) for _ in range(3 + (k < 32))]
+    words = [w for k in range(0, len(rare), 600) for w in rare[k : k + 600] + often[k // 600 :: 100]] + rare
+    docs = docs_of([" ".join(words[k : k + 500]) for k in range(0, len(words), 500)], language=["x"] * (-(-len(words) // 500)))
+    (got,) = module._common_words(docs.selectExpr("language", "split(text, ' ') as words"), 32).collect()
+    assert list(got.common) == [f"w{k:02}" for k in range(32)]
