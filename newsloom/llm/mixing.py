@@ -18,7 +18,7 @@ from newsloom.session import written
 
 BLOCK_BYTES = 1_000_000
 TEMPERATURE = 0.5
-SHARES = 1000  # integer weights add up to about so much
+SHARES = 2**40  # integer weights add up to about so much: over a billion blocks rounding moves no share by a block
 MOST_SOURCES = 1000
 NO_ID = -(2**63)  # stands for a NULL id
 SEED = 17
@@ -29,13 +29,15 @@ PLACED = "doc long, text_key long, source string, block long, slot long, release
 
 class Phase(NamedTuple):
     """A stretch in which the same sources are left: its first slot, its period, and of each
-    source the first block, the end, and the slots of its blocks within a period."""
+    source the first block, the end, the slots of its blocks within a period (or until the
+    phase ends, if that comes first) and its weight."""
 
     start: int
     period: int
     first: dict
     end: dict
     slots: dict
+    weights: dict
 
 
 def integer_weights(weights: Mapping, shares: int = SHARES) -> dict:
@@ -44,8 +46,9 @@ def integer_weights(weights: Mapping, shares: int = SHARES) -> dict:
     return {name: max(1, round(shares * weight / total)) for name, weight in weights.items()}
 
 
-def period_slots(weights: Mapping) -> dict:
-    """Earliest deadline first over one period of sum(weights) slots.
+def period_slots(weights: Mapping, left: Mapping | None = None) -> dict:
+    """Earliest deadline first over one period of sum(weights) slots, or until a source has
+    placed its ``left`` blocks.
 
     Block k of a source with weight w is released at floor(k P / w) and due at ceil((k + 1) P / w). The
     utilisation is one, so every block meets its deadline, and at any slot a source
@@ -54,38 +57,41 @@ def period_slots(weights: Mapping) -> dict:
     period = sum(weights.values())
     order = {name: i for i, name in enumerate(sorted(weights, key=lambda n: (-weights[n], n is None, n)))}
     due: list = []
-    released = {name: 0 for name in weights}
-    calendar = [[] for _ in range(period)]
-    for name in weights:
-        calendar[0].append(name)
+    waiting = [(0, i, name) for name, i in order.items()]
+    heapq.heapify(waiting)
     slots: dict = {name: [] for name in weights}
     for slot in range(period):
-        for name in calendar[slot]:
-            k = released[name]
-            released[name] += 1
-            heapq.heappush(due, (-(-(k + 1) * period // weights[name]), order[name], name))
-        _, _, name = heapq.heappop(due)
+        while waiting and waiting[0][0] <= slot:
+            _, i, name = heapq.heappop(waiting)
+            heapq.heappush(due, (-(-(len(slots[name]) + 1) * period // weights[name]), i, name))
+        _, i, name = heapq.heappop(due)
         slots[name].append(slot)
-        k = released[name]
+        k = len(slots[name])
+        if left and k == left[name]:
+            break
         if k < weights[name]:
-            calendar[max(slot + 1, k * period // weights[name])].append(name)
+            heapq.heappush(waiting, (max(slot + 1, k * period // weights[name]), i, name))
     return slots
 
 
 def schedule(blocks: Mapping, weights: Mapping) -> list[Phase]:
     """Slots for ``blocks[source]`` blocks of each source. When a source runs out, the others share
-    its slots by their weights, in a new phase."""
+    its slots by their weights, in a new phase. No more slots are planned than there are blocks."""
     done = {name: 0 for name in blocks}
     start, phases = 0, []
     while left := {name: n - done[name] for name, n in blocks.items() if n > done[name]}:
         own = {name: weights[name] for name in left}
-        slots, period = period_slots(own), sum(own.values())
-        last = min((n - 1) // own[name] * period + slots[name][(n - 1) % own[name]] for name, n in left.items())
+        slots, period = period_slots(own, left), sum(own.values())
+        last = min(
+            (n - 1) // own[name] * period + slots[name][(n - 1) % own[name]]
+            for name, n in left.items()
+            if (n - 1) % own[name] < len(slots[name])
+        )
         rounds, rest = divmod(last + 1, period)
         first = {name: done[name] for name in left}
         for name in left:
             done[name] += rounds * own[name] + bisect_left(slots[name], rest)
-        phases.append(Phase(start, period, first, {name: done[name] for name in left}, slots))
+        phases.append(Phase(start, period, first, {name: done[name] for name in left}, slots, own))
         start += last + 1
     return phases
 
@@ -119,7 +125,7 @@ def _slotted(batches: Iterator[pa.RecordBatch], phases: list[Phase]) -> Iterator
         for name, block in zip(batch.column("source").to_pylist(), batch.column("block").to_pylist()):
             phase = of_source[name][bisect_right(ends[name], block)]
             k, slots, period = block - phase.first[name], phase.slots[name], phase.period
-            w = len(slots)
+            w = phase.weights[name]
             rows.append(
                 (
                     phase.start + k // w * period + slots[k % w],
@@ -149,8 +155,8 @@ def mix_slots(
     block from its target among the sources that are not yet used up. No document is dropped or repeated.
 
     Running sums come from a range sort by source, so a source that holds most rows spreads over
-    many tasks; only sums per partition and source meet. The schedule repeats with
-    the sum of the weights, so the driver plans periods, not blocks, for at most a thousand sources.
+    many tasks; only sums per partition and source meet. Weights are whole shares of ``SHARES``, so the schedule
+    follows the targets, not a rounding of them; the driver plans one slot per block, for at most a thousand sources.
     """
     entries = (
         docs.select("source", *_keys(), F.octet_length(whole()).cast("long").alias("size"))
@@ -178,7 +184,7 @@ def mix_slots(
         scale = sum(weights.values()) / sum(own[n] for n in weights if n in own) if any(n in own for n in weights) else 1
         own = {name: weights.get(name, scale * w) for name, w in own.items()}
     blocks = {name: max(1, -(-size // block_bytes)) for name, size in sizes.items()}
-    phases = schedule(blocks, integer_weights(own, max(SHARES, 10 * len(own)))) if own else []
+    phases = schedule(blocks, integer_weights(own)) if own else []
     placed = running.join(
         F.broadcast(shifts), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at"))
     )

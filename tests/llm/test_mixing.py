@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from newsloom.llm.mixing import mix, mix_slots, period_slots, schedule
+from newsloom.llm.mixing import integer_weights, mix, mix_slots, period_slots, schedule
 
 
 def lags(order, weights):
@@ -78,3 +78,17 @@ def test_empty_and_too_many(spark):
     many = spark.range(1001).selectExpr("id as doc_id", "'a' as text", "string(id) as source")
     with pytest.raises(ValueError):
         mix(many)
+
+
+def test_targets_not_their_rounding():
+    """Skewed targets over as many blocks as 30 GB have: no source drifts from its exact share."""
+    targets = {f"s{i}": 1.7**-i for i in range(20)} | {"small": 0.0002}
+    blocks = {name: 100_000 if name != "s0" else 12_000 for name in targets}
+    (phase, *_) = schedule(blocks, integer_weights(targets))
+    order = {slot: name for name, own in phase.slots.items() for slot in own}
+    assert sorted(order) == list(range(len(order))) and len(order) > 25_000
+    total, had = sum(targets.values()), defaultdict(int)
+    for t in range(len(order)):
+        had[order[t]] += 1
+        if t % 97 == 0 or t == len(order) - 1:
+            assert all(abs(had[name] - (t + 1) * w / total) < 1.001 for name, w in targets.items())
