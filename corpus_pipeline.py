@@ -43,8 +43,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return pack(docs)
+    """The pieces of all documents with their places in sequences, numbered in the order of the mixture. Packing
+    sorts the documents anew, so their slots are computed again: the same documents have the same ones."""
+    slotted = mix(docs).select("row.doc_id", "row.text", "slot")
+    return pack(slotted, slot="slot")
 
 
 _scratch: dict[int, list[str]] = {}

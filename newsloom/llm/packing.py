@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.columns import whole
+from newsloom.operators.order import numbered
 from newsloom.session import written
 
 CAPACITY = 1024
@@ -72,23 +73,23 @@ class Encoder:
 
 
 def _pieces(
-    batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool
+    batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool, slotted: bool
 ) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(path)
     end = end_id.to_bytes(4, "little")
     for batch in batches:
         rows = []
-        for doc, text in zip(*(column.to_pylist() for column in batch.columns)):
+        for doc, text, *slot in zip(*(column.to_pylist() for column in batch.columns)):
             ids = encoder.ids(text) + end
             n = len(ids) // 4
             cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
             for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 part = ids[4 * a : 4 * b]
-                rows.append((doc, piece, a, b - a, zlib.crc32(part), part if keep_ids else None))
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                rows.append((doc, piece, a, b - a, zlib.crc32(part), *[part] * keep_ids, *slot))
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids + ["slot"] * slotted
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * keep_ids + [pa.int64()] * slotted
         columns = list(zip(*rows)) or [()] * len(types)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns[: len(names)], types)], names=names)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
 class Run(NamedTuple):
@@ -176,6 +177,7 @@ def pack(
     path: str | None = None,
     end_id: int = END_ID,
     keep_ids: bool = False,
+    slot: str | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and
     ``ids``, little-endian 32-bit, with ``keep_ids``).
@@ -190,16 +192,22 @@ def pack(
     finds the sequence and offset of its own pieces by their ranks. So nothing that
     grows with the documents passes one task or the driver, and the tokens are read once.
 
+    With ``slot``, a column of whole numbers, the sequences are numbered by the slot of their longest piece, and
+    pieces of one length are placed in the order of their slots. So read by ``sequence_id`` the sequences follow the
+    slots; the pieces that fill their gaps may come from any slot. The sequences are as few as without it.
+
     NULL or empty text is the end id alone. Repeated rows are packed each. An empty table gives an
     empty result. Other columns are ignored.
     """
     path = path or ranks_file()
-    schema = PIECE + (", ids binary" if keep_ids else "")
-    pieces = docs.select("doc_id", whole().alias("text")).mapInArrow(
-        lambda batches: _pieces(batches, path, capacity, end_id, keep_ids), schema
+    slotted = slot is not None
+    schema = PIECE + (", ids binary" if keep_ids else "") + (", slot long" if slotted else "")
+    slots = [F.col(f"`{slot}`").cast("long").alias("slot")] if slotted else []
+    pieces = docs.select("doc_id", whole().alias("text"), *slots).mapInArrow(
+        lambda batches: _pieces(batches, path, capacity, end_id, keep_ids, slotted), schema
     )
     pieces = written(pieces, "pieces")
-    order = [F.col("length").desc(), F.col("doc_id"), F.col("piece")]
+    order = [F.col("length").desc(), *["slot"] * slotted, F.col("doc_id"), F.col("piece")]
     # The id holds the partition in its upper bits and the place in it below.
     numbered = written(
         pieces.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()),
@@ -213,9 +221,22 @@ def pack(
     )
     plan = best_fit({r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
     ranked = numbered.join(F.broadcast(shifts), ["length", "part"]).withColumn("rank", F.col("place") + F.col("shift"))
-    return ranked.select(*pieces.columns, "rank").mapInArrow(
+    placed = ranked.select(*pieces.columns, "rank").mapInArrow(
         lambda batches: _placed(batches, plan), schema + ", sequence_id long, offset long"
     )
+    return _by_slots(placed) if slotted else placed
+
+
+def _by_slots(placed: DataFrame) -> DataFrame:
+    """The sequences numbered by the slot of their longest piece, which is the one at offset 0."""
+    placed = written(placed, "placed")
+    first = placed.filter("offset = 0").select("sequence_id", "slot")
+    # A sequence's old number spreads what shares a slot over it.
+    order = [F.col("slot"), F.xxhash64("sequence_id"), F.col("sequence_id")]
+    renamed = numbered(first, order).select("sequence_id", (F.col("number") - 1).alias("place"))
+    return placed.join(renamed, "sequence_id").select(
+        *[F.col("place").alias(c) if c == "sequence_id" else F.col(c) for c in placed.columns if c != "slot"]
+    )
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -56,3 +56,29 @@ def test_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, ""), name)
     assert docs.count() == 0
+
+
+def test_sequences_follow_the_mixture(spark, rng):
+    """Every prefix of the packed sequences has the target shares, until the small source is used up."""
+    words = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu") for b in ("ra", "ne", "lo", "si", "du")]
+    rows = []
+    for i in range(2500):
+        n = rng.choice((300, 900, 2500))
+        rows.append((i, " ".join(rng.choices(words, k=n)), "en", "large" if i < 2000 else "small", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = written(stages["source_mixing"](spark, docs, ""), "mixed")
+    packed = stages["best_fit_packing"](spark, mixed, "").collect()
+    bytes_of = {name: sum(len(r[1]) for r in rows if r[3] == name) for name in ("large", "small")}
+    target = bytes_of["small"] ** 0.5 / sum(n**0.5 for n in bytes_of.values())
+    order = sorted(packed, key=lambda r: (r.sequence_id, r.offset))
+    n_sequences = order[-1].sequence_id + 1
+    assert {r.sequence_id for r in order} == set(range(n_sequences))
+    assert n_sequences == test_packing.plain_best_fit([r.length for r in order], 1024)
+    total = sum(r.length for r in order)
+    held = {"large": 0, "small": 0}
+    for r in order:
+        held["large" if r.doc_id < 2000 else "small"] += r.length
+        done = sum(held.values())
+        if 0.3 * total < done < 0.5 * total:
+            assert abs(held["small"] / done - target) < 0.08, (done / total, held)
