@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.centroids import cluster_vectors
+from newsloom.llm.collocations import collocations
 from newsloom.llm.exact_dedup import exact_groups
 from newsloom.llm.line_dedup import drop_repeated_lines
 from newsloom.llm.lm_scoring import score_texts
 from newsloom.llm.mixing import NO_ID, mix_slots
 from newsloom.llm.near_dedup import near_duplicates
+from newsloom.llm.ngram_join import similar_documents
 from newsloom.llm.packing import pack
 from newsloom.llm.pii import pseudonymise
 from newsloom.llm.quality import quality
@@ -153,7 +156,142 @@ def op3_line_dedup(spark, sf_dir):
     )
 
 
-@query()
+def _similar_sql(percent: int, columns: str) -> str:
+    """Components of documents linked by their sets of five-word shingles."""
+    return rf"""
+    with recursive tokens as (
+        select doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') as w from documents
+    ),
+    sets as (
+        select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+               else list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) end as s
+        from tokens
+    ),
+    same as (select s, min(doc_id) as a, len(s) as n from sets where len(s) > 0 group by s),
+    entries as (select a, n, unnest(s) as g from same),
+    shared as (
+        select x.a as a, y.a as b from entries x join entries y on x.g = y.g and x.a < y.a
+        group by x.a, y.a, x.n, y.n having 100 * count(*) >= {percent} * (x.n + y.n - count(*))
+    ),
+    link as (select a, b from shared union select b, a from shared),
+    reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+    named as (
+        select same.s as s, least(same.a, coalesce(min(reach.b), same.a)) as component_id
+        from same left join reach on reach.a = same.a group by same.s, same.a
+    ),
+    judged as (
+        select doc_id, len(sets.s) as n_shingles, coalesce(component_id, doc_id) as component_id
+        from sets left join named on named.s = sets.s
+    )
+    select {columns} from judged
+    """
+
+
+@query(_similar_sql(80, "doc_id, n_shingles, component_id"))
+def op11_ngram_jaccard_join(spark, sf_dir):
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    rf"""
+    with pieces as (
+        select coalesce(lang, 'und') as lang,
+               unnest(regexp_split_to_array({LOWER}, '[.,;:!?
+-
+]')) as piece
+        from documents
+    ),
+    listed as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from pieces),
+    words as (select lang, cast(count(*) as hugeint) as n from (select lang, unnest(w) from listed) group by lang),
+    starts as (
+        select lang, w, size, unnest(range(1, len(w) - size + 2)) as i
+        from listed, (select unnest([1, 2, 3, 4]) as size) where len(w) >= size
+    ),
+    counts as (select lang, w[i:i + size - 1] as p, count(*) as f from starts group by all),
+    candidates as (select lang, p, f as a from counts where len(p) > 1 and f >= 30),
+    cuts as (
+        select c.lang as lang, c.p as p, c.a as a, k, x.f as l, y.f as r,
+               cast(2000000 * c.a as hugeint) // (x.f + y.f) as score
+        from (select *, unnest(range(1, len(p))) as k from candidates) c
+        join counts x on x.lang = c.lang and x.p = c.p[1:k]
+        join counts y on y.lang = c.lang and y.p = c.p[k + 1:]
+    ),
+    best as (
+        select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1
+    ),
+    inside as (
+        select lang, p[i:i + size - 1] as p, max(a) as longer
+        from (select lang, p, a, size, unnest(range(1, len(p) - size + 2)) as i
+              from candidates, (select unnest([2, 3]) as size) where len(p) > size)
+        group by all
+    ),
+    named as (
+        select b.lang as lang, array_to_string(b.p, ' ') as phrase, a, l, r, score
+        from best b left join inside i on i.lang = b.lang and i.p = b.p
+        where longer is null or 100 * longer < 80 * a
+    ),
+    ranked as (
+        select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from named
+    )
+    select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+    from ranked join words using (lang) where rank <= 2000
+    """
+)
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def _clusters_sql(rounds: int, size: int, clusters: int) -> str:
+    """Rounds of assigning and moving, one after the other."""
+
+    def nearest(centroids: str) -> str:
+        return f"""
+            select vec_id, v, cluster, distance from (
+                select vec_id, v, cluster, cast(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as distance
+                from vectors, {centroids})
+            qualify row_number() over (partition by vec_id, v order by distance, cluster) = 1
+        """
+
+    steps = []
+    for i in range(rounds):
+        steps.append(f"near{i} as ({nearest(f'moved{i}')})")
+        steps.append(
+            f"""means{i} as (
+                select cluster, list(mean order by place) as c from (
+                    select cluster, place, cast((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as mean
+                    from (select cluster, unnest(v) as x, unnest(range({size})) as place from near{i})
+                    group by cluster, place)
+                group by cluster)"""
+        )
+        steps.append(
+            f"moved{i + 1} as (select cluster, coalesce(m.c, o.c) as c from moved{i} o left join means{i} m using (cluster))"
+        )
+    return f"""
+    with vectors as (
+        select vec_id, list_transform(embedding, lambda x: cast(floor({size} * cast(x as double)) as bigint)) as v
+        from embeddings
+        where len(embedding) = {size} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size}
+    ),
+    moved0 as (
+        select row_number() over (order by h) - 1 as cluster, v as c
+        from (select sha256('1:' || vec_id) as h, v from vectors order by h limit {clusters})
+    ),
+    {", ".join(steps)},
+    last as ({nearest(f"moved{rounds}")})
+    select vec_id, cast(cluster as integer) as cluster, distance,
+           cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia,
+           cast(sum(distance) over () as bigint) as inertia,
+           sha256(array_to_string(c, ',')) as centroid_sha256
+    from last join moved{rounds} using (cluster)
+    """
+
+
+@query(_clusters_sql(3, 64, 16))
+def op13_centroid_clustering(spark, sf_dir):
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query(_similar_sql(75, "doc_id, n_shingles, component_id, doc_id = component_id as kept"))
 def op6_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 

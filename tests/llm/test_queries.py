@@ -8,7 +8,7 @@ from oracle import connect, duckdb_table, spark_table
 
 
 def test_all_numbers_are_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
