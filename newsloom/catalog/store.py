@@ -230,12 +230,12 @@ def first_url_per_source(spark, sf_dir):
 
 @query(
     """with feeds as (
-      select s_suppkey as seq, ' Src' || cast(s_suppkey as varchar) || '! ' as name,
+      select s_suppkey as seq, ' ' || case when s_suppkey % 3 = 1 then 'Other' else 'Src' end
+               || cast(s_suppkey as varchar) || '! ' as name,
              'https://feeds.example.com/a/' || cast(s_suppkey as varchar) as url from supplier
-      where s_suppkey % 3 <> 1
       union all
-      select 1000000000 + s_suppkey, 'SRC' || cast(s_suppkey as varchar),
-             'https://feeds.example.com/b/' || cast(s_suppkey as varchar) from supplier where s_suppkey % 3 <> 1),
+      select 1000000000 + s_suppkey, case when s_suppkey % 3 = 1 then 'OTHER' else 'SRC' end || cast(s_suppkey as varchar),
+             'https://feeds.example.com/b/' || cast(s_suppkey as varchar) from supplier),
     keyed as (
       select trim(regexp_replace(lower(name), '\\W+', '-', 'g'), '-') as key,
              arg_min(name, seq) as name, arg_min(url, seq) as url from feeds group by 1)
@@ -244,16 +244,18 @@ def first_url_per_source(spark, sf_dir):
     left join keyed on trim(regexp_replace(lower(source), '\\W+', '-', 'g'), '-') = key"""
 )
 def match_feed(spark, sf_dir):
+    """Every third feed is of a source that has no documents."""
     key = F.col("s_suppkey").cast("string")
-    suppliers = table(spark, sf_dir, "supplier").filter("s_suppkey % 3 <> 1")
+    kind = F.when(F.col("s_suppkey") % 3 == 1, "Other").otherwise("Src")
+    suppliers = table(spark, sf_dir, "supplier")
     feeds = suppliers.select(
         F.col("s_suppkey").alias("seq"),
-        F.concat(F.lit(" Src"), key, F.lit("! ")).alias("name"),
+        F.concat(F.lit(" "), kind, key, F.lit("! ")).alias("name"),
         F.concat(F.lit("https://feeds.example.com/a/"), key).alias("url"),
     ).union(
         suppliers.select(
             F.col("s_suppkey") + 1000000000,
-            F.concat(F.lit("SRC"), key),
+            F.concat(F.upper(kind), key),
             F.concat(F.lit("https://feeds.example.com/b/"), key),
         )
     )

@@ -10,10 +10,16 @@ ISO_WITHOUT_OFFSET = rf"^{_DAY}T{_CLOCK}$"
 DAY_AND_CLOCK = rf"^{_DAY}\s+{_CLOCK}$"
 DAY_ONLY = rf"^{_DAY}$"
 FEED_DATE = (
-    r"^(?i:mon|tue|wed|thu|fri|sat|sun),\s+(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})\s+"
-    rf"({_CLOCK})\s+([+-]\d{{2}}):?(\d{{2}})$"
+    r"^(?:(?i:mon|tue|wed|thu|fri|sat|sun),\s+)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{4})\s+"
+    r"(\d{1,2}:\d{1,2})(:\d{1,2})?\s+([+-]\d{2}):?(\d{2})$"
 )
-UTC_NAME = r"\s+(?:GMT|UTC|UT|Z)$"
+ZONE_NAME = r"\s+([A-Z]{1,3})$"
+# The zone names of feed dates, with their offsets from UTC.
+ZONES = {
+    "GMT": "+0000", "UTC": "+0000", "UT": "+0000", "Z": "+0000",
+    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
+    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
 # A full day, with or without a time; what a report shows as a date.
 ISO_MOMENT = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
 FRACTION = r"(?<=:\d{2})\.\d{1,9}"
@@ -31,9 +37,13 @@ def parse_date(text: Column) -> Column:
         .when(text.rlike(DAY_AND_CLOCK), F.concat(F.regexp_replace(text, r"\s+", "T"), F.lit("Z")))
         .when(text.rlike(DAY_ONLY), F.concat(text, F.lit("T0:0:0Z")))
     )
-    feed_text = F.regexp_replace(text, UTC_NAME, " +0000")
+    zones = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    offset = F.try_element_at(zones, F.regexp_extract(text, ZONE_NAME, 1))
+    feed_text = F.coalesce(F.concat(F.regexp_replace(text, ZONE_NAME, " "), offset), text)
+    # Groups that match nothing are empty: a time without seconds has none.
     feed = F.when(
-        feed_text.rlike(FEED_DATE), F.regexp_replace(feed_text, FEED_DATE, "$1 $2 $3 $4 $5$6")
+        feed_text.rlike(FEED_DATE),
+        F.regexp_replace(F.regexp_replace(feed_text, FEED_DATE, "$1 $2 $3 $4$5 $6$7"), r"( \d+:\d+)( [+-])", "$1:0$2"),
     )
     return F.coalesce(
         F.try_to_timestamp(iso, F.lit("yyyy-M-d'T'H:m:sXXX")),

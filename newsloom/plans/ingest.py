@@ -4,24 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.clock import instant
+from newsloom.operators import journal
 from newsloom.operators.dedup import first_wins
 from newsloom.operators.match import match_feeds
 from newsloom.operators.normalize import UNKNOWN_SOURCE, reject_reason
 from newsloom.operators.tables import (
     append,
+    counts_of,
     create_store,
+    in_buckets,
+    keys_of,
+    link_counts_of,
     new_categories,
     new_links,
     partition_day,
     read_store,
     surrogate_key,
 )
+from newsloom.operators.upkeep import recover
 from newsloom.session import written
 
 
@@ -46,13 +54,14 @@ def ingest(
     have unique ids. ``known_sources_only`` rejects articles whose source has no
     feed. Rows that cannot be stored are returned as ``rejects``.
 
-    The batch and its new rows are written to the shared folder first, so each
-    is computed once. Sources, categories and links are appended before the
-    articles: an article row is what commits an insert. A run that broke off is
-    repaired by running it again.
+    The batch is written to the shared folder first. Which of its rows are new is decided on (id, URL, time,
+    place) and the buckets of the key index that hold its ids; texts are moved once, for the new rows. Sources, categories,
+    links, keys and counts are appended before the articles: an article row is what commits an insert. A run that
+    broke off is settled by the next one (``operators.upkeep.recover``). The counters are observed on the writes.
     """
     spark = batch.sparkSession
     create_store(spark, path)
+    recover(spark, path)
     store = read_store(spark, path)
     now = instant(as_of)
 
@@ -63,31 +72,38 @@ def ingest(
     if known_sources_only and feeds is not None:
         batch = match_feeds(batch, feeds).drop("feed_name", "feed_url")
         reason = F.coalesce(reason, F.when(~F.col("matched"), "source not in the feed list"))
+    seen, added = Observation(), Observation()
+    one = F.lit(1)
     staged = written(
         batch.withColumns(
             {
                 "scraped_at": F.coalesce("scraped_at", now),
                 "reason": reason,
                 "id": surrogate_key(F.col("url")),
+                "_row": F.monotonically_increasing_id(),
             }
-        ).drop("matched"),
+        )
+        .drop("matched")
+        .observe(seen, F.count(one).alias("processed"), F.count("reason").alias("rejected")),
         "batch",
     )
-    valid = staged.filter("reason is null").drop("reason")
-
-    # The store's keys are reduced to the ids this batch asks for, then compared
-    # by URL: same id and URL is a duplicate, same id and other URL a clash.
-    asked = store.articles.select("id", F.col("url").alias("stored_url")).join(
-        valid.select("id").distinct(), "id", "left_semi"
-    )
-    probed = first_wins(valid).join(asked, "id", "left")
+    # Same id and URL as in the store is a duplicate, same id and other URL a clash.
+    keys = staged.filter("reason is null").select("id", "url", "scraped_at", "seq", "_row")
+    asked = in_buckets(store.keys, keys).join(keys.select("id").distinct(), "id", "left_semi")
+    asked = asked.select("id", F.col("url").alias("stored_url")).distinct()
+    probed = first_wins(keys).join(asked, "id", "left")
     nth_url = F.row_number().over(Window.partitionBy("id").orderBy("url"))
+    winners = (
+        probed.filter("stored_url is null or stored_url <> url")
+        .withColumn("clash", F.col("stored_url").isNotNull() | (nth_url > 1))
+        .select("_row", "clash")
+    )
     new = written(
-        probed.filter("stored_url is null or stored_url <> url").withColumn(
-            "clash", F.col("stored_url").isNotNull() | (nth_url > 1)
-        ),
+        staged.join(written(winners, "winners"), "_row")
+        .drop("reason", "_row")
+        .observe(added, F.count(one).alias("found"), F.count_if("clash").alias("clashes")),
         "new",
-    ).drop("stored_url")
+    )
     fresh = new.filter("not clash").withColumns(
         {
             "source_id": surrogate_key(F.col("source")),
@@ -97,29 +113,44 @@ def ingest(
     )
     if summarize is not None:
         fresh = written(summarize(fresh), "summarized")
-
-    _append_sources(path, staged, store.sources, feeds, as_of, known_sources_only)
-    append("categories", new_categories(fresh, store.categories), path)
     pairs = fresh.select(
         F.col("id").alias("article_id"),
         F.explode("categories").alias("category"),
         "date_day",
-    ).select("article_id", surrogate_key(F.col("category")).alias("category_id"), "date_day")
-    append("article_categories", new_links(pairs, store.links), path)
-    append("articles", fresh, path)
+    ).select("article_id", surrogate_key(F.col("category")).alias("category_id"), "date_day").distinct()
+
+    run = journal.begin(spark, path)
+    _together(
+        spark,
+        lambda: _append_sources(path, staged, store.sources, feeds, as_of, known_sources_only),
+        lambda: append("categories", new_categories(fresh, store.categories), path),
+        lambda: append("article_categories", new_links(pairs, store.links), path, run),
+        lambda: append("article_counts", counts_of(fresh, run).unionByName(link_counts_of(pairs, run)), path),
+        lambda: append("article_keys", keys_of(fresh, run), path),
+    )
+    append("articles", fresh, path, run)
+    journal.finish(spark, path, run)
 
-    rejects = staged.filter("reason is not null").unionByName(
+    rejects = staged.filter("reason is not null").drop("_row").unionByName(
         new.filter("clash").drop("clash").withColumn("reason", F.lit("id taken by another url"))
     )
-    counted = staged.agg(F.count(F.lit(1)).alias("processed"))
-    n_inserted = fresh.agg(F.count(F.lit(1)).alias("n")).scalar()
-    n_rejected = rejects.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counters = counted.select(
-        "processed", n_inserted.alias("inserted"), n_rejected.alias("rejected")
-    ).withColumn("duplicates", F.col("processed") - F.col("inserted") - F.col("rejected"))
+    clashes = added.get["clashes"]
+    inserted = added.get["found"] - clashes
+    rejected = seen.get["rejected"] + clashes
+    counters = spark.createDataFrame(
+        [(seen.get["processed"], inserted, rejected, seen.get["processed"] - inserted - rejected)],
+        "processed long, inserted long, rejected long, duplicates long",
+    )
     return IngestResult(counters, rejects)
 
 
+def _together(spark: SparkSession, *writes: Callable[[], None]) -> None:
+    """Writes that do not depend on each other, at the same time: small ones leave most of a cluster idle."""
+    with ThreadPool(len(writes)) as pool:
+        for ended in [pool.apply_async(inheritable_thread_target(spark)(write)) for write in writes]:
+            ended.get()
+
+
 def _append_sources(
     path: str,
     staged: DataFrame,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.clock import day_start, days_before, instant_like
-from newsloom.operators.tables import UNDATED_DAY, StoreTables, on_days
+from newsloom.operators.tables import UNDATED_DAY, StoreTables, in_buckets, on_days
 from newsloom.session import written
 
 
@@ -172,18 +172,28 @@ def _newest_by_days(
 
 
 def article_by_url(store: StoreTables, url: str) -> DataFrame:
-    """The article with this URL, or no row."""
+    """The article with this URL, or no row. With a key index only its day is read."""
+    if store.keys is not None:
+        wanted = store.articles.sparkSession.createDataFrame([(url,)], "url string")
+        found = in_buckets(store.keys, wanted).filter(F.col("url") == url)
+        store = store._replace(articles=on_days(store.articles, found), links=on_days(store.links, found))
     rows = store.articles.filter(F.col("url") == url)
     return _with_categories(_with_source(rows, store.sources), category_lists(store, _keys(rows)))
 
 
 def articles_by_urls(store: StoreTables, urls: DataFrame) -> DataFrame:
-    """The articles of a table of URLs. In a store partitioned by day, the keys are found first
-    on narrow columns and written; texts and links are read from their days only."""
-    rows = store.articles.join(urls.select("url").distinct(), "url", "left_semi")
+    """The articles of a table of URLs. In a store partitioned by day, the keys are found first,
+    in the key index, and written; texts and links are read from their days only."""
+    wanted = urls.select("url").distinct()
+    rows = store.articles.join(wanted, "url", "left_semi")
     if "date_day" not in rows.columns:
         return _with_categories(_with_source(rows, store.sources), category_lists(store, _keys(rows)))
-    keys = written(_keys(rows), "keys")
+    if store.keys is None:
+        keys = written(_keys(rows), "keys")
+    else:
+        wanted = written(wanted, "urls")
+        keys = in_buckets(store.keys, wanted).join(wanted, "url", "left_semi").select("id", "date_day")
+        keys = written(keys.distinct(), "keys")
     near = store._replace(articles=on_days(store.articles, keys), links=on_days(store.links, keys))
     rows = _pick(near.articles, keys)
     return _with_categories(_with_source(rows, store.sources), category_lists(near, keys))

@@ -28,15 +28,22 @@ RSS_ITEM = T.StructType(
         T.StructField("link", T.StringType()),
         T.StructField("description", T.StringType()),
         T.StructField("content:encoded", T.StringType()),
-        T.StructField("dc:creator", T.StringType()),
-        T.StructField("author", T.StringType()),
+        T.StructField("dc:creator", T.ArrayType(T.StringType())),
+        T.StructField("author", T.ArrayType(T.StringType())),
         T.StructField("category", T.ArrayType(T.StringType())),
         T.StructField("pubDate", T.StringType()),
+        T.StructField("dc:date", T.StringType()),
+        T.StructField(
+            "guid",
+            T.StructType([T.StructField("_VALUE", T.StringType()), T.StructField("_isPermaLink", T.StringType())]),
+        ),
     ]
 )
 
+# An element read as text keeps the markup inside it: XHTML content is one text.
 ATOM_ENTRY = T.StructType(
     [
+        T.StructField("id", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField(
             "link",
@@ -50,16 +57,8 @@ ATOM_ENTRY = T.StructType(
             ),
         ),
         T.StructField("summary", T.StringType()),
-        T.StructField(
-            "content",
-            T.StructType(
-                [
-                    T.StructField("_VALUE", T.StringType()),
-                    T.StructField("_type", T.StringType()),
-                ]
-            ),
-        ),
-        T.StructField("author", T.StructType([T.StructField("name", T.StringType())])),
+        T.StructField("content", T.StringType()),
+        T.StructField("author", T.ArrayType(T.StructType([T.StructField("name", T.StringType())]))),
         T.StructField(
             "category",
             T.ArrayType(T.StructType([T.StructField("_term", T.StringType())])),
@@ -112,3 +111,26 @@ LINK = T.StructType(
         T.StructField("date_day", T.DateType()),
     ]
 )
+
+# The key index: found by id without reading an article. What a run adds is in bucket -1, until compaction
+# sorts it into the buckets of the id.
+KEY = T.StructType(
+    [
+        T.StructField("id", T.LongType(), False),
+        T.StructField("url", T.StringType(), False),
+        T.StructField("date_day", T.DateType()),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("run", T.StringType()),
+    ]
+)
+
+# What each run added: articles by day and source (no category), links by day and category (no source).
+COUNT = T.StructType(
+    [
+        T.StructField("date_day", T.DateType()),
+        T.StructField("source_id", T.LongType()),
+        T.StructField("category_id", T.LongType()),
+        T.StructField("n", T.LongType(), False),
+        T.StructField("run", T.StringType()),
+    ]
+)

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from newsloom.clock import utc
 from newsloom.functions import content_text, none_if_empty, parse_categories, slugify, title_case
@@ -45,47 +45,77 @@ def read_articles(
     Files named in ``exclude``, or in a folder of that name, are left out. Records that are no JSON
     are left out too: :func:`broken_articles` returns them. Content is the text
     of its list or object, else ``content_encoded``.
-    ``with_place`` adds ``seq``, the place in the files, by name and position, however they are split.
+    ``with_place`` adds ``seq``, the place in the files (:func:`json_records`).
     ``tag='source'`` sets ``source`` to the file stem, ``tag='source_name'``
     sets ``source_name`` to its title-cased form. ``stream`` reads each new file
     of one folder.
     """
     rows = _landed(spark, path, exclude, json_lines, stream).filter(F.col(CORRUPT).isNull() & F.expr(READ))
-    stem = file_stem()
     columns = {name: F.col(name) for name in RAW_JSON.fieldNames()}
     columns["categories"] = parse_categories(F.col("categories"))
     shaped = [none_if_empty(content_text(F.col(name))) for name in ("content", "content_encoded")]
     columns["content"] = F.coalesce(*shaped, F.col("content"))
     if tag == "source":
-        columns["source"] = stem
+        columns["source"] = F.col("_stem")
     elif tag == "source_name":
-        columns["source_name"] = title_case(stem)
+        columns["source_name"] = title_case(F.col("_stem"))
     elif tag is not None:
         raise ValueError(f"unknown tag {tag!r}")
     if with_place:
-        columns["seq"] = F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("row"),
-        )
+        columns["seq"] = F.col("_place")
     return rows.select(*[column.alias(name) for name, column in columns.items()])
 
 
-def _landed(
-    spark: SparkSession, path: str | Sequence[str], exclude: Sequence[str], json_lines: bool, stream: bool
-) -> DataFrame:
-    reader = spark.readStream if stream else spark.read
-    reader = (
-        reader.schema(StructType([*RAW_JSON.fields, StructField(CORRUPT, StringType())]))
-        .option("multiLine", not json_lines)
-        .option("recursiveFileLookup", True)
-    )
-    rows = reader.json(path if isinstance(path, str) else list(path))
+def _kept(rows: DataFrame, exclude: Sequence[str]) -> DataFrame:
     for name in exclude:
         rows = rows.filter(~F.contains(F.concat("_metadata.file_path", F.lit("/")), F.lit(f"/{name}/")))
     return rows
 
 
+def json_records(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: StructType,
+    json_lines: bool = False,
+    exclude: Sequence[str] = (),
+    stream: bool = False,
+) -> DataFrame:
+    """The records of JSON files: the columns of ``schema``, ``_corrupt_record``, ``_file``, ``_stem`` and ``_place`` (not in
+    streams of lines).
+
+    A place is (file, start, row). In a file that is one array, or one object, the row is the position in it.
+    Of files of lines, which are read in splits, it is the start of the split and the order there. Places are in the order of
+    the files by name and of the records in them, however large the splits are.
+    """
+    reader = (spark.readStream if stream else spark.read).option("recursiveFileLookup", True)
+    paths = path if isinstance(path, str) else list(path)
+    file = [F.col("_metadata.file_path").alias("_file"), file_stem().alias("_stem")]
+    if json_lines:
+        rows = _kept(reader.schema(StructType([*schema.fields, StructField(CORRUPT, StringType())])).json(paths), exclude)
+        start = F.col("_metadata.file_block_start")
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"), start.alias("start"), F.monotonically_increasing_id().alias("row")
+        )
+        # Numbers of rows are not to be had in streams.
+        return rows.select(*schema.fieldNames(), CORRUPT, *file, *([] if stream else [place.alias("_place")]))
+    text = F.regexp_replace("value", r"^\x{FEFF}|^\s+$", "")
+    parsed = F.from_json("_text", ArrayType(schema), {"mode": "PERMISSIVE"})
+    wholes = _kept(reader.text(paths, wholetext=True), exclude).select(text.alias("_text"), *file)
+    items = wholes.filter(F.col("_text") != "").withColumn("_items", parsed)
+    # A file that is no JSON is one record without columns.
+    rows = items.select("_text", "_file", "_stem", "_items", F.posexplode_outer("_items").alias("_row", "_item"))
+    place = F.struct(F.col("_file").alias("file"), F.lit(0).cast("long").alias("start"), F.col("_row").cast("long").alias("row"))
+    return rows.filter("_items is null or _row is not null").select(
+        "_item.*", F.when(F.col("_items").isNull(), F.col("_text")).alias(CORRUPT), "_file", "_stem", place.alias("_place")
+    )
+
+
+def _landed(
+    spark: SparkSession, path: str | Sequence[str], exclude: Sequence[str], json_lines: bool, stream: bool
+) -> DataFrame:
+    return json_records(spark, path, RAW_JSON, json_lines, exclude, stream)
+
+
 def broken_articles(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -97,7 +127,7 @@ def broken_articles(
     a mistake breaks the whole file."""
     rows = _landed(spark, path, exclude, json_lines, False).filter(F.col(CORRUPT).isNotNull() & F.expr(READ))
     return rows.select(
-        F.col("_metadata.file_path").alias("file"),
+        F.col("_file").alias("file"),
         F.col(CORRUPT).alias("record"),
         F.lit("not valid JSON").alias("reason"),
     )

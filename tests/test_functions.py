@@ -101,6 +101,19 @@ def test_parse_date(spark):
     assert texts == list(cases.values())
 
 
+def test_feed_dates_with_zone_names(spark):
+    cases = {
+        "Sat, 04 Jul 1998 21:15:09 EST": "1998-07-05 02:15:09",
+        "Sat, 04 Jul 1998 21:15:09 PDT": "1998-07-05 04:15:09",
+        "Sat, 04 Jul 1998 21:15:09 UT": "1998-07-04 21:15:09",
+        "4 Jul 1998 21:15 Z": "1998-07-04 21:15:00",
+        "Sat, 04 Jul 1998 21:15 +0100": "1998-07-04 20:15:00",
+        "Sat, 04 Jul 1998 21:15:09 XYZ": None,
+        "Sat, 04 Jul 1998 EST": None,
+    }
+    assert values(spark, lambda c: fn.parse_date(c).cast("string"), list(cases)) == list(cases.values())
+
+
 def test_scraped_times_keep_their_fraction(spark):
     texts = ["1998-07-04T21:15:09.5", "1998-07-04T21:15:09.123456789Z", "1998-07-04 21:15:09", "21:15:09.5", None]
     shown = values(spark, lambda c: fn.parse_scraped(c).cast("string"), texts)

@@ -3,7 +3,10 @@
 import json
 from datetime import datetime
 
-from newsloom.operators.normalize import normalize_articles
+from pyspark.sql import functions as F
+
+from newsloom.operators.match import match_feeds
+from newsloom.operators.normalize import entry_to_raw, normalize_articles
 from newsloom.session import scratch_dir
 from newsloom.sources import (
     atom_entries,
@@ -116,3 +119,64 @@ def test_places_in_files_do_not_depend_on_splits(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"title":"1"}\n{"title":"2"}\n')
     raw = read_articles(spark, str(tmp_path), json_lines=True, with_place=True)
     assert [r.title for r in normalize_articles(raw).orderBy("seq").collect()] == ["1", "2", "3", "4"]
+
+
+def test_places_in_arrays_do_not_depend_on_splits_or_partitions(spark, tmp_path):
+    """Several files, read with small and large splits: the same places, and their order is that of the files."""
+    for name, size in (("b", 3), ("a", 40), ("c", 1)):
+        rows = [{"title": f"{name}{i}", "url": f"https://a.com/{name}/{i}", "content": "x" * 500} for i in range(size)]
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows, indent=1))
+    (tmp_path / "d.json").write_text('{"title":"one object"}')
+    found = []
+    for split in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        rows = read_articles(spark, str(tmp_path), with_place=True).select("title", "seq").orderBy("seq").collect()
+        found.append([(r.title, r.seq.file[-6:], r.seq.row) for r in rows])
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1]
+    assert [title for title, _, _ in found[0]] == [f"a{i}" for i in range(40)] + ["b0", "b1", "b2", "c0", "one object"]
+    assert [row for _, file, row in found[0] if file == "a.json"] == list(range(40))
+
+
+def test_feed_lists_of_several_files_apply_in_order(spark, tmp_path):
+    (tmp_path / "2.json").write_text('[{"name":"c","url":"u2"},{"name":"a","url":"late"}]')
+    (tmp_path / "1.json").write_text('[{"name":"b","url":"u1"},{"name":"a","url":"first"},{"other":1}]')
+    (tmp_path / "3.json").write_text("no list")
+    rows = read_feed_list(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.name, r.url) for r in rows] == [("b", "u1"), ("a", "first"), ("c", "u2"), ("a", "late")]
+    sources = spark.createDataFrame([("A",)], "source string")
+    assert match_feeds(sources, read_feed_list(spark, str(tmp_path))).first().feed_url == "first"
+
+
+RICH_RSS = """<rss xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>
+<item><title>1</title><guid>https://a.com/1</guid><dc:date>2024-01-30T10:00:00Z</dc:date><dc:creator>Ann</dc:creator><dc:creator>Bob</dc:creator></item>
+<item><title>2</title><guid isPermaLink="false">https://a.com/no</guid><author>Cleo</author><dc:creator>Dan</dc:creator></item>
+<item><title>3</title><guid isPermaLink="true">https://a.com/no</guid><link>https://a.com/3</link><pubDate>30 Jan 2024 10:00 EST</pubDate></item>
+<item><title>4</title><link> </link><guid> https://a.com/4 </guid><description><p>in <b>markup</b></p></description><author> </author></item>
+</channel></rss>"""
+
+RICH_ATOM = """<feed xmlns="http://www.w3.org/2005/Atom">
+<entry><id>https://a.com/1</id><title type="xhtml"><div>One <i>and</i></div></title><author><name>Ann</name><email>a@a.com</email></author>
+<author><name>Bob</name></author><content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>Whole <b>text</b> &amp; more</p></div></content></entry>
+<entry><id>urn:2</id><title>Two</title><link href="https://a.com/2"/><content type="video/mp4" src="https://a.com/v"/></entry>
+</feed>"""
+
+
+def test_feed_items_in_all_their_forms(spark, tmp_path):
+    (tmp_path / "rss").mkdir()
+    (tmp_path / "rss" / "f.xml").write_text(RICH_RSS)
+    rows = rss_entries(read_rss(spark, str(tmp_path / "rss"))).orderBy("title").collect()
+    assert [r.link for r in rows] == ["https://a.com/1", None, "https://a.com/3", "https://a.com/4"]
+    assert [r.author for r in rows] == ["Ann, Bob", "Cleo", None, None]
+    assert [r.published for r in rows] == ["2024-01-30T10:00:00Z", None, "30 Jan 2024 10:00 EST", None]
+    assert rows[3].summary == "<p>in <b>markup</b></p>"
+    (tmp_path / "atom").mkdir()
+    (tmp_path / "atom" / "f.xml").write_text(RICH_ATOM)
+    entries = atom_entries(read_atom(spark, str(tmp_path / "atom")))
+    one, two = entries.orderBy("published", "link").collect()
+    assert (one.link, one.author) == ("https://a.com/1", "Ann, Bob")
+    assert one.content == '<div xmlns="http://www.w3.org/1999/xhtml"><p>Whole <b>text</b> & more</p></div>'
+    assert (two.link, two.content, two.author) == ("https://a.com/2", None, None)
+    cleaned = normalize_articles(entry_to_raw(entries, "2024-01-31", F.lit("A"))).orderBy("url").collect()
+    assert [r.content for r in cleaned] == ["Whole text & more", None]
+    assert cleaned[0].title == "One and"
