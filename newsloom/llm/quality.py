@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.columns import SPACES, WHITESPACE, let, whole, words
+from newsloom.llm.columns import SPACES, let, whole, words
 from newsloom.llm.hashing import by_ids
 from newsloom.session import written
 
@@ -14,7 +14,6 @@ CLASSES = {
     "upper": "[A-Z]",
     "digit": "[0-9]",
     "symbol": "[#*$%&|<>]",
-    "space": WHITESPACE,
     "punctuation": "[.,;:!?'\"()-]",
 }
 COMMON_WORDS = 32
@@ -25,23 +24,23 @@ CHARACTER_LIMIT = (0.14, 0.9)
 WORD_LIMIT = (0.14, 1.8)
 
 
-def repeated_window_words(tokens: Column, width: int = 3) -> Column:
-    """How many words lie in a window of ``width`` words that occurs twice or more."""
+def repeated_window_words(hashes: Column, width: int = 3) -> Column:
+    """How many words, given as hashes, lie in a window of ``width`` words that occurs twice or more. Most texts repeat
+    no window, which a set of their hashes shows; only the others are sorted."""
 
     def window(i: Column) -> Column:
-        parts = [F.get(tokens, i + k) for k in range(width)]
-        return F.struct(F.xxhash64(*parts).alias("hash"), i.alias("at"))
+        return F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])
 
-    starts = F.sequence(F.lit(0), F.size(tokens) - width)
-    ordered = F.when(F.size(tokens) > width, F.sort_array(F.transform(starts, window)))
+    starts = F.sequence(F.lit(0), F.size(hashes) - width)
+    windows = F.when(F.size(hashes) > width, F.transform(starts, window))
 
     def same(x: Column, y: Column) -> Column:
         return F.coalesce(x["hash"] == y["hash"], F.lit(False))
 
-    def repeated(windows: Column) -> Column:
+    def repeated(ordered: Column) -> Column:
         twice = F.filter(
-            windows,
-            lambda x, j: same(x, F.get(windows, j - 1)) | same(x, F.get(windows, j + 1)),
+            ordered,
+            lambda x, j: same(x, F.get(ordered, j - 1)) | same(x, F.get(ordered, j + 1)),
         )
         return F.sort_array(F.transform(twice, lambda x: x["at"]))
 
@@ -52,7 +51,13 @@ def repeated_window_words(tokens: Column, width: int = 3) -> Column:
         )
         return F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
 
-    return F.coalesce(let(ordered, lambda w: let(repeated(w), covered)), F.lit(0).cast("long"))
+    def counted(w: Column) -> Column:
+        ordered = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("hash"), i.alias("at"))))
+        return F.when(
+            F.size(F.array_distinct(w)) < F.size(w), let(ordered, lambda o: let(repeated(o), covered))
+        )
+
+    return F.coalesce(let(windows, counted), F.lit(0).cast("long"))
 
 
 def _common_words(docs: DataFrame, n: int) -> DataFrame:
@@ -129,40 +134,42 @@ def _judged(
     named = docs.select(_key().alias("key"), "doc_id", F.col("lang").alias("language"), whole().alias("text"))
     tokens = named.withColumn("words", words(F.col("text")))
 
-    common = written(_common_words(tokens, common_words), "common").alias("c")
+    common = _common_words(tokens, common_words)
+    common = written(common.withColumn("common", F.transform("common", lambda word: F.xxhash64(word))), "common").alias("c")
     # One row per language, without a bound: Spark broadcasts it by its size or shuffles.
     measured = tokens.alias("t").join(common, F.col("t.language").eqNullSafe(F.col("c.language")), "left")
-    text, word_list = F.col("text"), F.col("words")
+    measured = measured.withColumn("hashes", F.transform("words", lambda word: F.xxhash64(word)))
+    text, hashes = F.col("text"), F.col("hashes")
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    known = F.coalesce("common", F.array().cast("array<string>"))
-    ranks = F.sort_array(F.transform(word_list, lambda w: F.array_position(known, w)))
-    rank_counts = let(
-        ranks,
-        lambda r: F.transform(
-            F.sequence(F.lit(0), F.lit(common_words)),
-            lambda k: F.size(r) - F.size(F.array_remove(r, k.cast("long"))),
-        ),
-    )
+    n_words = F.size(hashes)
+    # The words are compared as hashes, and outside of lambdas: there Spark compiles the loops.
+    common_counts = [
+        F.coalesce(n_words - F.size(F.array_remove(hashes, F.get("c.common", F.lit(i)))), F.lit(0)) for i in range(common_words)
+    ]
     features = written(
         measured.select(
             "key",
             "doc_id",
             "t.language",
-            F.size(word_list).cast("long").alias("n_words"),
+            n_words.cast("long").alias("n_words"),
             F.char_length(text).cast("long").alias("n_chars"),
+            F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
             *[F.regexp_count(text, F.lit(group)).cast("long").alias(name) for name, group in CLASSES.items()],
             let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-            repeated_window_words(word_list).alias("n_repeat_words"),
-            rank_counts.alias("word_counts"),
+            repeated_window_words(hashes).alias("n_repeat_words"),
+            F.array(*common_counts).alias("word_counts"),
         ),
         "features",
     )
 
-    others = F.col("n_chars") - sum(F.col(name) for name in CLASSES)
+    space = F.col("n_chars") - F.col("word_chars")
+    classes = [*[F.col(name) for name in CLASSES], space]
+    others = F.col("n_chars") - sum(classes)
+    unknown = F.col("n_words") - F.aggregate("word_counts", F.lit(0), lambda total, n: total + n)
     shares = features.withColumns(
         {
-            "characters": _shares(F.array(*CLASSES, others), F.col("n_chars")),
-            "common": _shares(F.col("word_counts"), F.col("n_words")),
+            "characters": _shares(F.array(*classes, others), F.col("n_chars")),
+            "common": _shares(F.concat("word_counts", F.array(unknown)), F.col("n_words")),
         }
     )
 
@@ -173,7 +180,7 @@ def _judged(
         shares.filter("n_words > 0")
         .groupBy("language")
         .agg(
-            mean("characters", len(CLASSES) + 1).alias("usual_characters"),
+            mean("characters", len(CLASSES) + 2).alias("usual_characters"),
             mean("common", common_words + 1).alias("usual_common"),
             (F.col("language").isNotNull() & (F.sum("n_words") >= REFERENCE_WORDS)).alias("judges"),
         ),
@@ -191,7 +198,7 @@ def _judged(
             "key",
             "doc_id",
             "n_words",
-            (F.col("n_chars") - F.col("space")).alias("word_chars"),
+            "word_chars",
             F.col("symbol").alias("n_symbols"),
             "n_dup_lines",
             "n_repeat_words",
