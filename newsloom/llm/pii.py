@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from calendar import isleap
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from newsloom.llm.columns import let, whole
 
 # What is looked for, in order of precedence at one place of the text.
 PATTERNS = {
-    "secret": r"[0-9a-f]{32,}(?![0-9A-Za-z])",
+    "secret": r"[0-9A-Fa-f]{32,}(?![0-9A-Za-z])",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])",
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9])",
@@ -20,16 +21,16 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"\+(?:1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
     r"|(?!1[ .(-])[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?(?:[ -]?[0-9]{2,4}){2,4})(?![0-9])",
+    "national": r"\([2-9][0-9]{2}\)[ -]?[2-9][0-9]{2}-[0-9]{4}(?![0-9])",
 }
 START = r"(?<![0-9A-Za-z.+_%-])"
 ANY = START + "(?:" + "|".join(PATTERNS.values()) + ")"
-POSSIBLE = "[0-9@]"
+POSSIBLE = "[0-9@]|[A-Fa-f]{32}"
 
 ALPHABETS = (string.digits, string.ascii_lowercase, string.ascii_uppercase)
-HEX = ("0123456789abcdef",)
+HEX = (string.digits, "abcdef", "ABCDEF")
 ROUNDS = 8
-FIRST_DAY = "1850-01-01"
-DAYS = (300, 400)  # days from FIRST_DAY that can be permuted, as a product
+YEARS = range(1850, 2178)  # of dates that are permuted
 
 
 class _Cipher:
@@ -41,8 +42,9 @@ class _Cipher:
         self.rounds = F.array(*[F.lit(r) for r in (reversed(rounds) if restore else rounds)])
         self.restore = restore
 
-    def _digest(self, kind: str, r: Column, half: Column) -> Column:
-        return F.sha2(F.concat_ws("|", F.lit(self.key), F.lit(kind), r, half), 512)
+    def _digest(self, kind: str | Column, r: Column, half: Column) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.sha2(F.concat_ws("|", F.lit(self.key), kind, r, half), 512)
 
     def _run(self, left: Column, right: Column, shifted) -> Column:
         """The Feistel rounds over two halves; ``shifted(x, r, other)`` adds the round's key stream to x."""
@@ -55,8 +57,11 @@ class _Cipher:
 
         return F.aggregate(self.rounds, start, step)
 
-    def text(self, value: Column, kind: str, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
-        """Every character moves within its own alphabet; others stay."""
+    def text(
+        self, value: Column, kind: str, alphabets: tuple[str, ...] = ALPHABETS, fold: bool = False
+    ) -> Column:
+        """Every character moves within its own alphabet; others stay. With ``fold`` values that differ in the case of
+        A-Z move alike, so their pseudonyms differ in case only."""
 
         def byte(digest: Column, i: Column) -> Column:
             return F.conv(F.substring(digest, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
@@ -71,7 +76,7 @@ class _Cipher:
 
         def shifted(x: Column, r: Column, other: Column) -> Column:
             return let(
-                self._digest(kind, r, other),
+                self._digest(kind, r, F.lower(other) if fold else other),
                 lambda digest: F.array_join(
                     F.transform(F.split(x, ""), lambda c, i: F.when(c == "", "").otherwise(moved(c, byte(digest, i)))), ""
                 ),
@@ -85,18 +90,18 @@ class _Cipher:
         )
         return let(halves, lambda s: F.concat(s["l"], s["r"]))
 
-    def number(self, value: Column, sides: tuple[int, int], kind: str) -> Column:
+    def number(self, value: Column, sides: tuple[int | Column, int | Column], kind: str | Column) -> Column:
         """A permutation of 0 .. sides[0] * sides[1] - 1."""
-        a, b = sides
+        a, b = (F.lit(side).cast("long") if isinstance(side, int) else side.cast("long") for side in sides)
 
         def shifted(x: Column, r: Column, other: Column) -> Column:
             # The left half goes first: rounds with even numbers move it.
-            side = F.when(r % 2 == 0, F.lit(a)).otherwise(F.lit(b)).cast("long")
+            side = F.when(r % 2 == 0, a).otherwise(b)
             stream = F.conv(F.substring(self._digest(kind, r, other.cast("string")), 1, 15), 16, 10).cast("long")
             return F.pmod(x + self.sign * (stream % side), side)
 
         value = value.cast("long")
-        halves = self._run(F.floor(value / b).cast("long"), F.pmod(value, F.lit(b).cast("long")), shifted)
+        halves = self._run(F.floor(value / b).cast("long"), F.pmod(value, b), shifted)
         return let(halves, lambda s: s["l"] * b + s["r"])
 
 
@@ -138,12 +143,13 @@ def _iban_rest(iban: Column) -> Column:
 
 
 def _secret(m: Column, cipher: _Cipher) -> Column:
-    return cipher.text(m, "secret", HEX)
+    return cipher.text(m, "secret", HEX, fold=True)
 
 
 def _email(m: Column, cipher: _Cipher) -> Column:
-    # Letters keep their case; the case-blind value decides the stream for the domain.
-    return F.concat(cipher.text(F.substring_index(m, "@", 1), "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    """The name before the ``@``; the domain, which says who runs the mailbox, stays."""
+    name = cipher.text(F.substring_index(m, "@", 1), "email", fold=True)
+    return F.concat(name, F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _iban(m: Column, cipher: _Cipher) -> Column:
@@ -162,32 +168,76 @@ def _iban(m: Column, cipher: _Cipher) -> Column:
     return let(plain, lambda p: F.when((F.char_length(p) >= 15) & (_iban_rest(p) == 1), written_anew(p)))
 
 
+def _numbers(values) -> Column:
+    return F.array(*[F.lit(value) for value in values])
+
+
+def _moved_date(y: Column, m: Column, d: Column, cipher: _Cipher) -> Column:
+    """A date of the same class: its month has one digit or two, and as many days, as before; its day is below
+    10, below 13 or above. So each layout, read from the new date, is the one of the old date, and
+    a date has one pseudonym in all layouts. A class is years and months times days."""
+    leap = F.day(F.last_day(F.make_date(y, F.lit(2), F.lit(1)))) == 29
+    february = m == 2
+    years = (
+        F.when(february & leap, _numbers(y for y in YEARS if isleap(y)))
+        .when(february, _numbers(y for y in YEARS if not isleap(y)))
+        .otherwise(_numbers(YEARS))
+    )
+    months = (
+        F.when(february, _numbers([2]))
+        .when(m.isin(4, 6, 9), _numbers([4, 6, 9]))
+        .when(m < 10, _numbers([1, 3, 5, 7, 8]))
+        .when(m == 11, _numbers([11]))
+        .otherwise(_numbers([10, 12]))
+    )
+    first = F.when(d < 10, 1).when(d < 13, 10).otherwise(13)
+    n_days = F.when(d < 10, 9).when(d < 13, 3).otherwise(F.day(F.last_day(F.make_date(y, m, F.lit(1)))) - 12)
+
+    def moved(c: Column) -> Column:
+        n_months = F.size(c["months"])
+        month = (F.array_position(c["years"], y) - 1) * n_months + F.array_position(c["months"], m) - 1
+        kind = F.concat_ws("|", F.lit("date"), F.get(c["months"], F.lit(0)), F.size(c["years"]), c["first"])
+        new = cipher.number(month * c["n"] + d - c["first"], (F.size(c["years"]) * n_months, c["n"]), kind)
+        return let(
+            new,
+            lambda v: F.struct(
+                F.get(c["years"], F.floor(v / (c["n"] * n_months)).cast("int")).alias("y"),
+                F.get(c["months"], F.pmod(F.floor(v / c["n"]), n_months).cast("int")).alias("m"),
+                (F.pmod(v, c["n"]) + c["first"]).cast("int").alias("d"),
+            ),
+        )
+
+    return let(F.struct(years.alias("years"), months.alias("months"), first.alias("first"), n_days.alias("n")), moved)
+
+
 def _date(m: Column, cipher: _Cipher) -> Column:
+    """A date with slashes has its month first, unless that cannot be; one with dots has its day first."""
     iso = F.rlike(m, F.lit("^[0-9]{4}-"))
-    parts = F.split(m, "[-./]")
+    dots = F.instr(m, ".") > 0
+    mark = F.when(iso, "-").when(dots, ".").otherwise("/")
 
     def rewritten(p: Column) -> Column:
         a, b, c = (F.get(p, F.lit(i)) for i in range(3))
-        day_first = ~iso & (F.instr(m, ".") > 0) | (~iso & (a.cast("int") > 12))
+        day_first = ~iso & (dots | (a.cast("int") > 12))
         year = F.when(iso, a).otherwise(c)
         month = F.when(iso | day_first, b).otherwise(a)
         day = F.when(iso, c).when(day_first, a).otherwise(b)
         date = F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")).try_cast("date")
-        at = F.date_diff(date, F.lit(FIRST_DAY).cast("date"))
-        valid = date.isNotNull() & (at >= 0) & (at < DAYS[0] * DAYS[1])
-        mark = F.when(iso, "-").otherwise(F.when(F.instr(m, ".") > 0, ".").otherwise("/"))
-        padded = (F.char_length(a) == 2) & (F.char_length(b) == 2)
+        valid = date.isNotNull() & F.year(date).between(YEARS[0], YEARS[-1])
 
         def shown(new: Column) -> Column:
-            y = F.lpad(F.year(new).cast("string"), 4, "0")
-            mo, d = (F.when(iso | padded, F.lpad(v.cast("string"), 2, "0")).otherwise(v.cast("string")) for v in (F.month(new), F.day(new)))
-            # Month first only where the day cannot be read as a month.
-            return F.when(iso, F.concat_ws("-", y, mo, d)).when(day_first, F.concat(d, mark, mo, mark, y)).otherwise(F.concat(mo, mark, d, mark, y))
+            # Numbers of one digit stay such, and so does a zero before them.
+            mo = F.lpad(new["m"].cast("string"), F.char_length(month), F.lit("0"))
+            d = F.lpad(new["d"].cast("string"), F.char_length(day), F.lit("0"))
+            return (
+                F.when(iso, F.concat_ws("-", new["y"], mo, d))
+                .when(day_first, F.concat(d, mark, mo, mark, new["y"]))
+                .otherwise(F.concat(mo, mark, d, mark, new["y"]))
+            )
 
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), cipher.number(at, DAYS, "date").cast("int"))
-        return F.when(valid, let(new, shown))
+        return F.when(valid, let(_moved_date(F.year(date), F.month(date), F.day(date), cipher), shown))
 
-    return let(parts, rewritten)
+    return let(F.split(m, "[-./]"), rewritten)
 
 
 def _ssn(m: Column, cipher: _Cipher) -> Column:
@@ -244,9 +294,24 @@ def _phone(m: Column, cipher: _Cipher) -> Column:
     return let(_digits(m), rewritten)
 
 
+def _national(m: Column, cipher: _Cipher) -> Column:
+    """Area code and exchange begin with 2 to 9."""
+
+    def rewritten(d: Column) -> Column:
+        value = (F.substring(d, 1, 3).cast("long") - 200) * 8_000_000 + F.substring(d, 4, 7).cast("long") - 2_000_000
+
+        def shown(v: Column) -> Column:
+            area, rest = F.floor(v / 8_000_000) + 200, F.pmod(v, F.lit(8_000_000)) + 2_000_000
+            return _filled(m, F.concat(area.cast("string"), rest.cast("string")))
+
+        return let(cipher.number(value, (80_000, 80_000), "national"), shown)
+
+    return let(_digits(m), rewritten)
+
+
 KINDS = {
     "secret": _secret, "email": _email, "iban": _iban, "date": _date,
-    "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone,
+    "ssn": _ssn, "ip": _ip, "card": _card, "phone": _phone, "national": _national,
 }
 
 
@@ -263,14 +328,14 @@ def pseudonymise(docs: DataFrame, key: str, restore: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, text, n_replaced.
 
     Card numbers (Luhn), IBANs (mod 97), social security numbers, IPv4 addresses,
-    phone numbers with country code, calendar dates, the local part of mail addresses
-    and long hexadecimal secrets are replaced by a keyed Feistel permutation
+    phone numbers with country code or like ``(212) 555-0123``, calendar dates from 1850 to 2177, the local part of mail
+    addresses (domains stay) and long hexadecimal secrets are replaced by a keyed Feistel permutation
     within their format: a card stays a valid card with its separators, a date a
-    date. Equal values get equal pseudonyms in all documents and layouts, different values
-    different ones. Numbers that fail their check stay. ``restore`` with the same
+    date. Equal values get equal pseudonyms in all documents and layouts, addresses and secrets also when they differ in
+    case; different values get different ones. Numbers that fail their check stay. ``restore`` with the same
     key gives the texts back.
 
-    All work is within the row. Texts without digit or ``@`` are passed on unseen. NULL
+    All work is within the row. Texts without digit, ``@`` or such a secret are passed on unseen. NULL
     text stays NULL, with 0 replaced. Repeated rows each get a row. An empty
     table gives an empty result. Other columns are ignored.
     """
