@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -32,15 +33,23 @@ def ranks_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def special_ids() -> dict[str, int]:
+    """The special tokens of the same vocabulary. Their strings in a text are these tokens."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes. Strings of special tokens are text.
+    """Token ids of whole texts as little-endian 32-bit bytes, as the vocabulary's own tokenizer gives them.
 
-    The merges never cross the place before a single space, so a text is cut
+    Texts are cut at strings of special tokens. The merges never cross the place before a single space, so a text is cut
     there and repeated pieces are looked up. Texts where a space meets other
     white space are encoded as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -49,6 +58,10 @@ class Encoder:
         self.encoding = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
         )
+        specials = special_ids() if specials is None else specials
+        self.specials = {text: id.to_bytes(4, "little") for text, id in specials.items()}
+        longest_first = sorted(map(re.escape, specials), key=len, reverse=True)
+        self.cuts = re.compile(f"({'|'.join(longest_first)})") if specials else None
         self.known: dict[str, bytes] = {}
         self.mixed = re.compile(r" (?:\s|$)")
 
@@ -66,6 +79,13 @@ class Encoder:
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.cuts is None:
+            return self.between(text)
+        text, *more = self.cuts.split(text)
+        rest = (self.specials[special] + self.between(part) for special, part in zip(more[::2], more[1::2]))
+        return self.between(text) + b"".join(rest)
+
+    def between(self, text: str) -> bytes:
         if self.mixed.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
@@ -73,9 +93,15 @@ class Encoder:
 
 
 def _pieces(
-    batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, keep_ids: bool, slotted: bool
+    batches: Iterator[pa.RecordBatch],
+    path: str,
+    specials: dict[str, int],
+    capacity: int,
+    end_id: int,
+    keep_ids: bool,
+    slotted: bool,
 ) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encoder = Encoder(path, specials)
     end = end_id.to_bytes(4, "little")
     for batch in batches:
         rows = []
@@ -199,12 +225,12 @@ def pack(
     NULL or empty text is the end id alone. Repeated rows are packed each. An empty table gives an
     empty result. Other columns are ignored.
     """
-    path = path or ranks_file()
+    path, specials = path or ranks_file(), special_ids()
     slotted = slot is not None
     schema = PIECE + (", ids binary" if keep_ids else "") + (", slot long" if slotted else "")
     slots = [F.col(f"`{slot}`").cast("long").alias("slot")] if slotted else []
     pieces = docs.select("doc_id", whole().alias("text"), *slots).mapInArrow(
-        lambda batches: _pieces(batches, path, capacity, end_id, keep_ids, slotted), schema
+        lambda batches: _pieces(batches, path, specials, capacity, end_id, keep_ids, slotted), schema
     )
     pieces = written(pieces, "pieces")
     order = [F.col("length").desc(), *["slot"] * slotted, F.col("doc_id"), F.col("piece")]

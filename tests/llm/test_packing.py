@@ -14,13 +14,12 @@ from newsloom.llm.packing import Encoder, best_fit, pack, ranks_file, sequences
 
 
 ENCODER = Encoder(ranks_file())
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return TOKENIZER
 
 
 def check(docs, tokenizer, capacity=1024):
@@ -69,11 +68,17 @@ def test_documents(documents, tokenizer):
 
 def test_edges(docs_of, tokenizer):
     texts = [None, "", " ", "a", "a", "x y " * 5000, "word " * 1023, "no" * 3000, "a  b\n c \t d  e", "<|endoftext|>"]
+    texts += ["a<|endoftext|>b", "<|endoftext|><|endoftext|> x <|endoftext|> ", "<|endoftext", "a <|endoftext|>" * 700]
     got = check(docs_of(texts, length=["x"] * len(texts), rank=["y"] * len(texts)), tokenizer)
     assert got
     check(docs_of(["a b c d"] * 200), tokenizer, 7)
 
 
+def test_repeated_and_null_ids(spark, tokenizer):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a b"), (None, None)], "doc_id long, text string")
+    check(docs, tokenizer)
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -89,7 +94,13 @@ def test_sequences_hold_the_ids(documents, spark):
 @given(st.text(alphabet=st.sampled_from("ab' \n\t  é.1<|s"), max_size=40))
 def test_cutting_at_spaces_changes_no_id(text):
     encoder = ENCODER
-    assert encoder.ids(text) == encoder.plain(text)
+    assert encoder.between(text) == encoder.plain(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "a", "b ", "<|", "\n", "é", "<|endoftext"]), max_size=12).map("".join))
+def test_special_tokens_in_texts(text):
+    assert ENCODER.ids(text) == np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @settings(max_examples=200, deadline=None)
