@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping
-from typing import NamedTuple
+from fractions import Fraction
+from itertools import accumulate, islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -19,25 +18,11 @@ from newsloom.session import written
 BLOCK_BYTES = 1_000_000
 TEMPERATURE = 0.5
 SHARES = 2**40  # integer weights add up to about so much: over a billion blocks rounding moves no share by a block
-MOST_SOURCES = 1000
 NO_ID = -(2**63)  # stands for a NULL id
 SEED = 17
 
 ENTRY = "source string, doc long, text_key long, size long, part int, before long"
-PLACED = "doc long, text_key long, source string, block long, slot long, release long, deadline long"
-
-
-class Phase(NamedTuple):
-    """A stretch in which the same sources are left: its first slot, its period, and of each
-    source the first block, the end, the slots of its blocks within a period (or until the
-    phase ends, if that comes first) and its weight."""
-
-    start: int
-    period: int
-    first: dict
-    end: dict
-    slots: dict
-    weights: dict
+PLAN = "of string, nth long, slot long, release long, deadline long"
 
 
 def integer_weights(weights: Mapping, shares: int = SHARES) -> dict:
@@ -46,54 +31,65 @@ def integer_weights(weights: Mapping, shares: int = SHARES) -> dict:
     return {name: max(1, round(shares * weight / total)) for name, weight in weights.items()}
 
 
-def period_slots(weights: Mapping, left: Mapping | None = None) -> dict:
-    """Earliest deadline first over one period of sum(weights) slots, or until a source has
-    placed its ``left`` blocks.
+class Fluid:
+    """The ideal mixture, in which all sources that are left flow at once by their weights.
+
+    Time is counted in blocks. A source with weight w has served v * w blocks at the virtual time v, until it is used up;
+    so the time at v is the sum over the sources of min(blocks, v * w), which is linear between the ends of sources.
+    """
 
-    Block k of a source with weight w is released at floor(k P / w) and due at ceil((k + 1) P / w). The
-    utilisation is one, so every block meets its deadline, and at any slot a source
-    is less than one block from its share.
+    def __init__(self, blocks: Mapping, weights: Mapping):
+        ends = sorted((Fraction(n, weights[name]), n, weights[name]) for name, n in blocks.items())
+        self.ends = [(n, w) for _, n, w in ends]
+        used = [0, *accumulate(n for _, n, _ in ends)]
+        flow = [0, *accumulate(w for _, _, w in ends)]
+        self.parts = [(n, flow[-1] - w) for n, w in zip(used, flow)]
+
+    def time(self, blocks: int, weight: int, part: int = 0) -> tuple[int, int, int]:
+        """When a source with this weight has served so many blocks, rounded down and up; and the part of the time, which
+        may be given from where to look."""
+        while self.ends[part][0] * weight < blocks * self.ends[part][1]:
+            part += 1
+        used, flow = self.parts[part]
+        whole, rest = divmod(blocks * flow, weight)
+        return used + whole, used + whole + (rest > 0), part
+
+
+def schedule(blocks: Mapping, weights: Mapping) -> Iterator[tuple]:
+    """(source, block, slot, release, deadline) of all blocks, by slot: earliest deadline first.
+
+    Block k of a source may start when the ideal mixture begins to serve it, rounded down, and is due when that
+    has served it, rounded up. No stretch of slots has more blocks released and due in it than slots, so every block meets its
+    deadline: at any slot a source is less than one block from its share among the sources that are not used up.
+    Memory holds one block of each source.
     """
-    period = sum(weights.values())
-    order = {name: i for i, name in enumerate(sorted(weights, key=lambda n: (-weights[n], n is None, n)))}
+    fluid = Fluid(blocks, weights)
+    order = sorted(blocks, key=lambda name: (-weights[name], name is None, name))
+    waiting = [(0, i, 0, 0) for i in range(len(order))]
     due: list = []
-    waiting = [(0, i, name) for name, i in order.items()]
-    heapq.heapify(waiting)
-    slots: dict = {name: [] for name in weights}
-    for slot in range(period):
+    for slot in range(sum(blocks.values())):
         while waiting and waiting[0][0] <= slot:
-            _, i, name = heapq.heappop(waiting)
-            heapq.heappush(due, (-(-(len(slots[name]) + 1) * period // weights[name]), i, name))
-        _, i, name = heapq.heappop(due)
-        slots[name].append(slot)
-        k = len(slots[name])
-        if left and k == left[name]:
-            break
-        if k < weights[name]:
-            heapq.heappush(waiting, (max(slot + 1, k * period // weights[name]), i, name))
-    return slots
-
-
-def schedule(blocks: Mapping, weights: Mapping) -> list[Phase]:
-    """Slots for ``blocks[source]`` blocks of each source. When a source runs out, the others share
-    its slots by their weights, in a new phase. No more slots are planned than there are blocks."""
-    done = {name: 0 for name in blocks}
-    start, phases = 0, []
-    while left := {name: n - done[name] for name, n in blocks.items() if n > done[name]}:
-        own = {name: weights[name] for name in left}
-        slots, period = period_slots(own, left), sum(own.values())
-        last = min(
-            (n - 1) // own[name] * period + slots[name][(n - 1) % own[name]]
-            for name, n in left.items()
-            if (n - 1) % own[name] < len(slots[name])
+            release, i, k, part = heapq.heappop(waiting)
+            later, deadline, part = fluid.time(k + 1, weights[order[i]], part)
+            heapq.heappush(due, (deadline, i, k, release, later, part))
+        deadline, i, k, release, later, part = heapq.heappop(due)
+        yield order[i], k, slot, release, deadline
+        if k + 1 < blocks[order[i]]:
+            heapq.heappush(waiting, (later, i, k + 1, part))
+
+
+def _plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The schedule of the sources (source, blocks, weight), in parts."""
+    sources = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+    if not sources:
+        return
+    blocks, weights = {s: n for s, n, _ in sources}, integer_weights({s: w for s, _, w in sources})
+    rows = schedule(blocks, weights)
+    kinds = [pa.string(), *[pa.int64()] * 4]
+    while part := list(islice(rows, 10_000)):
+        yield pa.record_batch(
+            [pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=["of", "nth", "slot", "release", "deadline"]
         )
-        rounds, rest = divmod(last + 1, period)
-        first = {name: done[name] for name in left}
-        for name in left:
-            done[name] += rounds * own[name] + bisect_left(slots[name], rest)
-        phases.append(Phase(start, period, first, {name: done[name] for name in left}, slots, own))
-        start += last + 1
-    return phases
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,31 +110,6 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _slotted(batches: Iterator[pa.RecordBatch], phases: list[Phase]) -> Iterator[pa.RecordBatch]:
-    of_source: dict = {}
-    for phase in phases:
-        for name in phase.first:
-            of_source.setdefault(name, []).append(phase)
-    ends = {name: [phase.end[name] for phase in own] for name, own in of_source.items()}
-    for batch in batches:
-        rows = []
-        for name, block in zip(batch.column("source").to_pylist(), batch.column("block").to_pylist()):
-            phase = of_source[name][bisect_right(ends[name], block)]
-            k, slots, period = block - phase.first[name], phase.slots[name], phase.period
-            w = phase.weights[name]
-            rows.append(
-                (
-                    phase.start + k // w * period + slots[k % w],
-                    phase.start + k * period // w,
-                    phase.start - (-(k + 1) * period // w),
-                )
-            )
-        columns = np.array(rows, np.int64).reshape(-1, 3).T
-        yield pa.record_batch(
-            [*batch.columns, *map(pa.array, columns)], names=[*batch.schema.names, "slot", "release", "deadline"]
-        )
-
-
 def _keys() -> list:
     return [F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc"), F.xxhash64(whole()).alias("text_key")]
 
@@ -156,7 +127,8 @@ def mix_slots(
 
     Running sums come from a range sort by source, so a source that holds most rows spreads over
     many tasks; only sums per partition and source meet. Weights are whole shares of ``SHARES``, so the schedule
-    follows the targets, not a rounding of them; the driver plans one slot per block, for at most a thousand sources.
+    follows the targets, not a rounding of them. It has one row per block, a millionth of the bytes, which one task streams out,
+    holding one block of each source; the documents find their blocks by a join. There may be any number of sources.
     """
     entries = (
         docs.select("source", *_keys(), F.octet_length(whole()).cast("long").alias("size"))
@@ -170,30 +142,39 @@ def mix_slots(
         entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_running, ENTRY), "running"
     )
     # At most one row per partition and per source.
-    sums = running.groupBy("source", "part").agg(F.sum("size").alias("n"))
+    sums = written(running.groupBy("source", "part").agg(F.sum("size").alias("n")), "sums")
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sums.select(
         F.col("source").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift")
     )
-    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    sizes = {r.source: r.n for r in totals}
-    own = {name: max(size, 1) ** TEMPERATURE for name, size in sizes.items()}
-    if weights:
-        scale = sum(weights.values()) / sum(own[n] for n in weights if n in own) if any(n in own for n in weights) else 1
-        own = {name: weights.get(name, scale * w) for name, w in own.items()}
-    blocks = {name: max(1, -(-size // block_bytes)) for name, size in sizes.items()}
-    phases = schedule(blocks, integer_weights(own)) if own else []
-    placed = running.join(
-        F.broadcast(shifts), F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at"))
+    totals = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    sources = _weighted(totals, weights).select(
+        "source", F.greatest(F.ceil(F.col("n") / block_bytes), F.lit(1)).alias("blocks"), "weight"
     )
+    plan = written(sources.coalesce(1).mapInArrow(_plan, PLAN), "plan")
+    placed = running.join(shifts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
     # Empty documents at the very end of a source stay in its last block.
     last = F.col("before") + F.col("shift")
     blocked = placed.select(
         "doc", "text_key", "source", F.floor(F.greatest(last - (F.col("size") == 0).cast("int"), F.lit(0)) / block_bytes).alias("block")
     )
-    return blocked.mapInArrow(lambda batches: _slotted(batches, phases), PLACED)
+    return blocked.join(plan, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("nth"))).select(
+        "doc", "text_key", "source", "block", "slot", "release", "deadline"
+    )
+
+
+def _weighted(totals: DataFrame, weights: Mapping | None) -> DataFrame:
+    """(source, n, weight) of (source, n): given weights, and bytes to the power 0.5 in the scale of these."""
+    own = F.greatest("n", F.lit(1)).cast("double") ** TEMPERATURE
+    if not weights:
+        return totals.withColumn("weight", own)
+    given = totals.sparkSession.createDataFrame(
+        [(name, float(weight)) for name, weight in weights.items()], "name string, given double"
+    )
+    both = totals.withColumn("own", own).join(given, F.col("source").eqNullSafe(F.col("name")), "left")
+    scale = both.filter("given is not null").agg(F.sum("own").alias("own")).first().own
+    scale = sum(weights.values()) / scale if scale else 1.0
+    return both.select("source", "n", F.coalesce("given", scale * F.col("own")).alias("weight"))
 
 
 def mix(
