@@ -28,10 +28,12 @@ def stream_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     path = scratch_dir(spark, "events")
     dated = events.withColumn("ts", F.expr(SQL_WRONG_DATE.format(later="ts + interval 75 year")))
-    for i in range(FILES):
-        dated.filter(F.col("event_id") % FILES == i).coalesce(1).write.parquet(f"{path}/part={i}")
+    parts = dated.withColumn("part", (F.col("event_id") % FILES).cast("int"))
+    parts.hint("rebalance", F.col("part")).write.partitionBy("part").parquet(path)
     schema = StructType([*dated.schema.fields, StructField("part", IntegerType())])
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    # As many files a batch as there are files of a part on average.
+    n_files = len(spark.read.schema(schema).parquet(path).inputFiles())
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", -(-n_files // FILES)).parquet(path)
     arrival = F.expr("timestamp'2024-03-01 00:00:00' + make_interval(0, 0, 0, 0, part, 0, 0)")
     return event_articles(rows, arrival.alias("scraped_at"))
 
@@ -75,9 +77,12 @@ def stream_ingest(spark, sf_dir):
             },
         }
     )
+    streams = []
     for _ in range(2):
-        stream_into_store(articles, path, scratch_dir(spark, "checkpoint"), DOCS_AS_OF).awaitTermination()
-    rejects = spark.read.parquet(f"{path}/rejects").filter("title is null")
+        running = stream_into_store(articles, path, scratch_dir(spark, "checkpoint"), DOCS_AS_OF)
+        running.awaitTermination()
+        streams.append(str(running.id))
+    rejects = spark.read.parquet(f"{path}/rejects").filter(F.col("title").isNull() & (F.col("stream") == streams[0]))
     store = read_store(spark, path)
     names = store.sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
     date = F.col("date").cast("timestamp_ntz").alias("date")

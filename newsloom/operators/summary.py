@@ -49,8 +49,8 @@ def extractive_summary(
     The texts are shuffled once, by id; every step reads that exchange. The
     scores move keys and numbers only. A word is common when it makes up at
     least 1 in ``MAX_COMMON_WORDS`` of all (document, word) pairs: there cannot
-    be more than that many, whatever the input, and these go by broadcast. Any
-    other word is below that share, so no key of the shuffled join is hot.
+    be more than that many, whatever the input, and these go by broadcast, each as 24 bytes: its 64-bit hash, its
+    length and its weight, however long it is. Any other word is below that share, so no key of the shuffled join is hot.
     """
     texts = docs.select(
         F.col(id_col).alias("id"),
@@ -74,11 +74,14 @@ def extractive_summary(
         .select("id", "pos", F.size("words").alias("n_words"), "words")
         .select("id", "pos", "n_words", F.explode("words").alias("word"))
     )
-    common = F.broadcast(usage.filter("common").drop("common"))
-    rare = usage.filter("not common").drop("common")
+    key = {"hash": F.xxhash64("word"), "chars": F.length("word")}
+    words, usage = words.withColumns(key), usage.withColumns(key)
+    common = F.broadcast(usage.filter("common").select(*key, "weight"))
+    rare = usage.filter("not common").select("word", "weight")
+    known = words.join(common, [*key]).select("id", "pos", "n_words", "weight")
+    others = words.join(common, [*key], "left_anti").join(rare, "word").select("id", "pos", "n_words", "weight")
     scored = (
-        words.join(common, "word")
-        .unionByName(words.join(common, "word", "left_anti").join(rare, "word"))
+        known.unionByName(others)
         .groupBy("id", "pos", "n_words")
         .agg(F.sum("weight").alias("weight"))
         .select("id", "pos", "n_words", F.expr("weight div n_words").alias("score"))
@@ -109,33 +112,52 @@ def extractive_summary(
     )
 
 
-def map_texts(df: DataFrame, load_model: Callable[[], TextModel], text_col: str, out_col: str) -> DataFrame:
+def map_texts(
+    df: DataFrame,
+    load_model: Callable[[], TextModel],
+    text_col: str,
+    out_col: str,
+    failed_col: str | None = None,
+) -> DataFrame:
     """``df`` plus ``out_col``: the user's model applied to ``text_col``.
 
     ``load_model`` runs once per task; the model gets the texts of an Arrow
-    batch. Blank texts, and texts the model fails on, give ''.
+    batch. When it fails, or gives more or fewer answers than it got texts, it is asked for one text at a
+    time. Blank texts, and texts that it then fails on, give ''; ``failed_col`` tells the latter apart.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
+    added = [T.StructField(out_col, T.StringType())]
+    if failed_col is not None:
+        added.append(T.StructField(failed_col, T.BooleanType()))
+    schema = T.StructType([*df.schema.fields, *added])
 
     def run(batches):
         model = load_model()
 
-        def one(text: str) -> str:
+        def answers_of(texts: list[str]) -> list[str]:
+            answers = list(model(texts))
+            if len(answers) != len(texts) or not all(isinstance(answer, str) for answer in answers):
+                raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+            return answers
+
+        def one(text: str) -> str | None:
             try:
-                return model([text])[0]
+                return answers_of([text])[0]
             except Exception:
-                return ""
+                return None
 
         for batch in batches:
             texts = batch[text_col].fillna("")
             filled = texts.str.strip() != ""
             asked = texts[filled].tolist()
             try:
-                answers = list(model(asked)) if asked else []
+                answers = answers_of(asked) if asked else []
             except Exception:
                 answers = [one(text) for text in asked]
             batch[out_col] = ""
-            batch.loc[filled, out_col] = answers
+            batch.loc[filled, out_col] = [answer or "" for answer in answers]
+            if failed_col is not None:
+                batch[failed_col] = False
+                batch.loc[filled, failed_col] = [answer is None for answer in answers]
             yield batch
 
     return df.mapInPandas(run, schema)

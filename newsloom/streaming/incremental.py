@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -24,12 +25,15 @@ def stream_into_store(
     the landed files. Replaying a micro-batch adds nothing, so inserts happen once.
 
     Rows that cannot be stored go, with their reason, to ``path``/rejects, and each
-    batch's counters to ``path``/counters, one folder per batch."""
+    batch's counters to ``path``/counters, one folder per stream and batch. The stream is named by the id in its
+    checkpoint: a new checkpoint, whose batches start at 0 again, replaces nothing."""
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
+        noted = batch.sparkSession.read.text(f"{checkpoint}/metadata", wholetext=True).first().value
+        stream = json.loads(noted)["id"]
         result = ingest(path, batch, as_of, feeds)
         for name, rows in (("rejects", result.rejects), ("counters", result.counters)):
-            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/stream={stream}/batch_id={batch_id}")
 
     return (
         articles.writeStream.foreachBatch(one_batch)

@@ -136,3 +136,16 @@ def test_rejects_of_a_stream_are_kept(spark, tmp_path):
     assert (reject.title, reject.reason) == ("no url", "url missing or malformed")
     (counters,) = spark.read.parquet(f"{store}/counters").collect()
     assert (counters.processed, counters.inserted, counters.rejected) == (2, 1, 1)
+
+
+def test_rejects_survive_a_new_checkpoint(spark, tmp_path):
+    """Batches of a second stream start at 0 again and replace nothing."""
+    store, found = scratch_dir(spark, "store"), []
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.json").write_text('{"title":"no url of %s"}\n' % name)
+        raw = read_articles(spark, str(tmp_path / name), json_lines=True, stream=True)
+        stream_into_store(normalize_articles(raw), store, scratch_dir(spark, "checkpoint"), "2024-01-31").awaitTermination()
+        found.append(sorted(r.title for r in spark.read.parquet(f"{store}/rejects").collect()))
+    assert found == [["no url of a"], ["no url of a", "no url of b"]]
+    assert spark.read.parquet(f"{store}/counters").count() == 2

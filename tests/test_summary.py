@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from newsloom.operators import summary
+from newsloom.operators.summary import extractive_summary, map_texts
 
 
 def brute_force(texts, min_words, max_words):
@@ -62,3 +63,36 @@ def test_hook_failures_and_blanks(spark):
 def test_summary_text_falls_back(spark):
     rows = spark.createDataFrame([("c", "s"), (" ", "s"), (None, None)], "content string, summary string")
     assert [r[0] for r in rows.select(summary.summary_text(rows)).collect()] == ["c", "s", ""]
+
+
+def test_long_words_are_broadcast_as_hashes(spark):
+    """Texts that share data URIs of 100 kB: what is broadcast has a few bytes a word, and the result is the same."""
+    uris = [f"data:{i}," + "A" * 100_000 for i in range(3)]
+    docs = spark.createDataFrame(
+        [(i, f"Short words here. {uris[i % 3]} and {uris[(i + 1) % 3]} too. " + "Filler text follows. " * 12) for i in range(9)],
+        "id long, content string",
+    )
+    summary = extractive_summary(docs)
+    rows = summary.collect()
+    assert len(rows) == 9 and all(r.summary for r in rows)
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    sizes = [m for m in plan.split("\n") if "BroadcastExchange" in m]
+    assert sizes and all("string" not in line for line in sizes)
+
+
+@pytest.mark.parametrize(
+    "model, expected",
+    [
+        (lambda texts: texts[:-1] if len(texts) > 1 else [texts[0].upper()], ["A", "B", "", "C"]),
+        (lambda texts: [texts[0]] * 2, ["", "", "", ""]),
+        (lambda texts: [], ["", "", "", ""]),
+        (lambda texts: [None for _ in texts], ["", "", "", ""]),
+        (lambda texts: [t.upper() if t != "b" else 1 / 0 for t in texts], ["A", "", "", "C"]),
+    ],
+)
+def test_models_that_answer_wrongly(spark, model, expected):
+    """Too few or too many answers, none, no texts, or an error: the task goes on, and failures are told from blanks."""
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, " "), (3, "c")], "id long, text string").coalesce(1)
+    got = map_texts(rows, lambda: model, "text", "answer", "failed").orderBy("id").collect()
+    assert [r.answer for r in got] == expected
+    assert [r.failed for r in got] == [answer == "" and i != 2 for i, answer in enumerate(expected)]
