@@ -21,47 +21,72 @@ from newsloom.session import drop_scratch, recorded_scratch, written  # noqa: E4
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; all columns stay.
+
+    NULL or empty text has too few words and goes. Documents without language, or of one with few words, are judged by the
+    base rules alone. Repeated rows share their verdict. An empty table stays empty.
+    """
     return drop_low_quality(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; the length is that of what is left."""
+    """Repeated lines go; all documents and columns stay, and ``n_chars``, if there is one, is the length of what is left.
+
+    NULL text is one empty line and stays NULL; a text whose lines all go is empty. Repeated rows are one document and
+    keep the same lines. An empty table stays empty.
+    """
     kept = drop_repeated_lines(docs).select("row.*")
-    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest id; all columns stay.
+
+    Documents without words are like no other and stay. Rows with one id, and rows without id, are one document: they
+    stay or go together. An empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents in the order of the mixture, over the files written and within them."""
+    """The same documents in the order of the mixture, over the files written and within them.
+
+    NULL text has no bytes; documents without source are one source. Repeated rows share a place. An empty
+    table stays empty.
+    """
     order = ["slot", F.xxhash64("row.doc_id", "row.text")]
     return mix(docs).repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences, numbered in the order of the mixture. Packing
-    sorts the documents anew, so their slots are computed again: the same documents have the same ones."""
+    sorts the documents anew, so their slots are computed again: the same documents have the same ones.
+
+    NULL text is empty: a piece of its end alone. Repeated rows are packed each. An empty table gives no pieces.
+    """
     slotted = mix(docs).select("row.doc_id", "row.text", "slot")
     return pack(slotted, slot="slot")
 
 
-_scratch: dict[int, list[str]] = {}
+_scratch: dict[tuple[str, int], list[str]] = {}
 
 
 def _stage(place: int, function: Callable) -> Callable:
-    """``function`` as a stage. The tables that the stage before wrote for itself are dropped first: its
-    result has been written and is this stage's ``docs``."""
+    """``function`` as a stage. The tables that the stage before wrote for itself are dropped first, if its
+    result has been written, so that this stage's ``docs`` does not read them any more; else later."""
 
     @wraps(function)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_scratch(spark, _scratch.pop(place - 1, []))
+        old = _scratch.pop((sf_dir, place - 1), [])
+        files = docs.inputFiles() if old else []
+        read = [path for path in old if any(f"/{os.path.basename(path)}/" in file for file in files)]
+        if not read:
+            drop_scratch(spark, old)
         with recorded_scratch() as made:
             result = function(spark, docs, sf_dir)
-        _scratch[place] = made
+        _scratch[sf_dir, place] = made + (old if read else [])
         return result
 
     return stage
