@@ -18,19 +18,23 @@ from newsloom.session import written
 
 WIDTH = 5
 PERCENT = 80
-BLOCK_ENTRIES = 1_000_000  # of the matrix, in a block of documents
-SHARD_ENTRIES = 2_000_000  # of the blocks' columns, counted at a time
+BLOCK_ENTRIES = 500_000  # of the matrix, in a block of sets
+SHARD_ENTRIES = 1_500_000  # of the blocks' columns, counted at a time
 SHARDS_PER_TASK = 8
-COLUMN_BITS = 48
+SPARE_BITS = 12  # of a column, beyond those that number all entries
 NTH = 256  # of equal columns of one set
+MOST_BITS = 54  # a column and its NTH are a long
 PARTNERS = 128  # sets that are compared with one copy of a row's set
-GROWTH = 8  # a block of rows is so many times the one before
+GROWTH = 256  # a block of rows is so many times the one before
+PARITIES = 512  # bits of a set: whether it has an odd number of columns of each kind
 NO_ID = -(2**63)  # stands for a NULL id
 
 BLOCK = "block long, rows binary, sizes binary, columns binary"
 ASK = "shard int, block long, columns binary, counts binary"
 ANSWER = "block long, columns binary, counts binary"
-ENTRY = "col long, df long, row binary, n long"
+BITS = [f"p{i}" for i in range(PARITIES // 64)]
+ENTRY = "col long, df long, row binary, n long, place long, " + ", ".join(f"{name} long" for name in BITS)
+COLUMNS = [part.split()[0] for part in ENTRY.split(", ")]
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -49,7 +53,7 @@ def _sizes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         yield pa.record_batch(columns, names=["doc", "n_shingles", "row"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Rows of the matrix in blocks: each set's columns, ascending. A column is the upper bits of an n-gram's hash;
     two n-grams of a set with equal bits are two entries, so no overlap is ever counted too small."""
     part, hashes = TaskContext.get().partitionId(), WordHashes()
@@ -57,7 +61,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
     def block() -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.int64)
-        columns = np.concatenate(sets) >> np.uint64(64 - COLUMN_BITS)
+        columns = np.concatenate(sets) >> np.uint64(64 - bits)
         # Differences within a set: a byte or two less than the columns themselves.
         steps = np.diff(columns, prepend=np.uint64(0))
         starts = np.cumsum(sizes) - sizes
@@ -91,12 +95,12 @@ def _columns(sizes: bytes, columns: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sizes, running - np.repeat(before, sizes)
 
 
-def _asks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _asks(batches: Iterator[pa.RecordBatch], shards: int, bits: int) -> Iterator[pa.RecordBatch]:
     """A block's distinct columns with their counts, by shards that are ranges of columns."""
     for batch in batches:
         for block, sizes, columns in zip(*(c.to_pylist() for c in batch.columns)):
             distinct, counts = np.unique(_columns(sizes, columns)[1], return_counts=True)
-            of = ((distinct >> np.uint64(COLUMN_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            of = ((distinct >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(of, prepend=-1))
             rows = [
                 (int(of[a]), block, packed(np.diff(distinct[a:b], prepend=np.uint64(0))), packed(counts[a:b].astype(np.uint32)))
@@ -144,7 +148,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     sets that are similar enough share one of their first n - ceil(threshold * n) + 1. Of these, columns that
     occur once meet nobody and are left out."""
     for batch in batches:
-        for block in batch.to_pylist():
+        for block in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
             sizes, columns = _columns(block["sizes"], block["columns"])
             df = np.ones(len(columns), np.int64)
             for answer in block["answers"]:
@@ -161,7 +165,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             nth = np.arange(len(of)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(of))))
             order = np.lexsort((columns, df, of))
             prefix = sizes - _least(sizes, percent) + 1
-            kept = order[(place < prefix[of]) & (df[order] > 1)]
+            ordered = (place < prefix[of]) & (df[order] > 1)
+            kept = order[ordered]
+            kinds = np.bincount(of * PARITIES + (columns % np.uint64(PARITIES)).astype(np.int64), minlength=len(sizes) * PARITIES)
+            parities = np.packbits((kinds & 1).astype(np.uint8)).view(np.int64).reshape(len(sizes), -1)[of[kept]]
             rows = block["rows"]
             digests = [rows[16 * i : 16 * i + 16] for i in range(len(sizes))]
             yield pa.record_batch(
@@ -170,8 +177,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                     pa.array(df[kept]),
                     pa.array(digests, pa.binary()).take(pa.array(of[kept])),
                     pa.array(sizes[of[kept]]),
+                    pa.array(place[ordered]),
+                    *map(pa.array, np.ascontiguousarray(parities.T)),
                 ],
-                names=["col", "df", "row", "n"],
+                names=COLUMNS,
             )
 
 
@@ -181,15 +190,16 @@ def _least(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _entries(source: DataFrame, n_entries: int, width: int, percent: int) -> DataFrame:
-    """The entries (col, df, row, n) of the sets' prefixes. Blocks send their distinct columns to shards and
+    """The entries (col, df, row, n, place, parities) of the sets' prefixes. Blocks send their distinct columns to shards and
     get back those that are shared: a column that every set has is one row per block there."""
     spark = source.sparkSession
-    blocks = written(source.mapInArrow(lambda x: _blocks(x, width), BLOCK), "blocks")
+    bits = min(max(n_entries.bit_length() + SPARE_BITS, 32), MOST_BITS)
+    blocks = written(source.mapInArrow(lambda x: _blocks(x, width, bits), BLOCK), "blocks")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(-(-n_entries // SHARD_ENTRIES), least)
     answers = (
         blocks.select("block", "sizes", "columns")
-        .mapInArrow(lambda x: _asks(x, shards), ASK)
+        .mapInArrow(lambda x: _asks(x, shards, bits), ASK)
         .repartition(max(least, -(-shards // SHARDS_PER_TASK)), "shard")
         .sortWithinPartitions("shard")
         .mapInArrow(_answers, ANSWER)
@@ -253,15 +263,23 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _block_of_rows(entries: DataFrame, most: int) -> DataFrame:
     """Rows that are among the ``most`` first in their most common open column. The most common column of all
-    has some of them, so every block gets on."""
-    home = entries.groupBy("row").agg(F.max_by("col", F.struct("df", "col")).alias("col"))
-    nth = F.row_number().over(Window.partitionBy("col").orderBy("row"))
+    has some of them, so every block gets on. First are rows whose columns are common: of near copies those with
+    the fewest changes, to which most others are similar."""
+    home = entries.groupBy("row").agg(
+        F.max_by("col", F.struct("df", "col")).alias("col"), (F.sum("df") / F.max("n")).alias("weight")
+    )
+    nth = F.row_number().over(Window.partitionBy("col").orderBy(F.desc("weight"), "row"))
     return home.select("row", nth.alias("nth")).filter(F.col("nth") <= most).select("row")
 
 
 def _product(entries: DataFrame, block: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a of ``block``, b) of different parts whose overlap may reach the bound. It is added up over all columns
-    that both have; beyond its prefix a set can add what is left of it at most."""
+    """Pairs (a of ``block``, b) of different parts whose overlap may reach the bound.
+
+    In the order of columns, two sets share at most what lies before, and what lies after, each column that
+    they share; and every kind of columns of which one has an odd and the other an even number is a column that they do not
+    share. A product beyond these bounds is discarded at once. The others are added up over all columns
+    of the pair; beyond its prefix a set can add what is left of it at most.
+    """
     flagged = written(
         entries.join(block.withColumn("inside", F.lit(True)), "row", "left").withColumn(
             "inside", F.coalesce("inside", F.lit(False))
@@ -269,18 +287,31 @@ def _product(entries: DataFrame, block: DataFrame, percent: int) -> DataFrame:
         "flagged",
     )
     mine = flagged.filter("inside").select(
-        "col", F.col("row").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa")
+        "col",
+        F.col("row").alias("a"),
+        F.col("n").alias("na"),
+        F.col("part").alias("pa"),
+        F.col("place").alias("ia"),
+        *[F.col(name).alias(f"a_{name}") for name in BITS],
     )
     others = flagged.select(
-        "col", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("inside").alias("ib")
+        "col",
+        F.col("row").alias("b"),
+        F.col("n").alias("nb"),
+        F.col("part").alias("pb"),
+        F.col("place").alias("ib"),
+        F.col("inside").alias("also"),
+        *[F.col(name).alias(f"b_{name}") for name in BITS],
     )
-    fits = (F.col("pa") != F.col("pb")) & (~F.col("ib") | (F.col("a") < F.col("b")))
+    needed = F.expr(f"((na + nb) * {percent} + {99 + percent}) div {100 + percent}")
+    fits = (F.col("pa") != F.col("pb")) & (~F.col("also") | (F.col("a") < F.col("b")))
     fits &= 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    fits &= F.least("ia", "ib") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= needed
+    odd = sum(F.bit_count(F.col(f"a_{name}").bitwiseXOR(F.col(f"b_{name}"))) for name in BITS)
+    fits &= F.col("na") + F.col("nb") - odd >= 2 * needed
     rest = F.expr(f"(greatest(na, nb) * {percent} + 99) div 100 - 1")
-    needed = F.expr(f"((na + nb) * {percent} + {99 + percent}) div {100 + percent}")
     return (
-        mine.join(others, "col")
-        .filter(fits)
+        mine.join(others.withColumnRenamed("col", "col_"), (F.col("col") == F.col("col_")) & fits)
         .groupBy("a", "b", "na", "nb")
         .agg(F.count(F.lit(1)).alias("overlap"))
         .filter(F.col("overlap") + rest >= needed)
@@ -301,8 +332,8 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     that are left, adds up the overlaps of every pair that the sizes allow, discards pairs whose overlap cannot
     reach the bound, compares the others on their full sets, and joins what is linked to components. A pair
     inside a component needs no product any more, and a column whose rows are one component is closed. The first
-    block takes of every column the first of the rows for which it is the most common one, so a group of near copies
-    costs one product for each of them; later blocks are ``GROWTH`` times larger. A block's rows are done after it.
+    block takes of every column the first of the rows for which it is the most common one (``_block_of_rows``), so a group of
+    near copies costs one product for each of them; later blocks are ``GROWTH`` times larger. A block's rows are done after it.
 
     Sets, not pairs, are what moves: a pair is checked by streaming sets past a copy of the other one (``_similar``).
     NULL text is empty. Rows with one id, or without id, are one document: if their texts differ, all
@@ -330,7 +361,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     rows_a_block = 1
     while True:
         placed = entries.join(parts.withColumnRenamed("node", "row"), "row", "left").select(
-            "col", "df", "row", "n", F.coalesce("component", "row").alias("part")
+            *COLUMNS, F.coalesce("component", "row").alias("part")
         )
         spans = placed.groupBy("col").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y")
         placed = written(placed.join(written(spans.select("col"), "spans"), "col"), "open")
@@ -341,7 +372,7 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
         links = _similar(pairs, sets, percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
         known = parts.select(F.col("node").alias("src"), F.col("component").alias("dst"))
         parts = written(connected_components(known.unionByName(links)), "parts")
-        entries = placed.join(block, "row", "left_anti").select("col", "df", "row", "n")
+        entries = placed.join(block, "row", "left_anti").select(*COLUMNS)
         rows_a_block *= GROWTH
 
     placed = written(
