@@ -58,6 +58,47 @@ def test_empty_table(spark):
     assert docs.count() == 0
 
 
+def test_stages_chained_without_writing(spark, docs_of, rng):
+    """A stage whose input was not written leaves the tables alone that it still reads; two runs do not mix."""
+    texts = [" ".join(rng.choices(["ka", "lo", "mi", "ne", "su", "to", "ra"], k=80)) for _ in range(40)]
+    docs = docs_of(texts, lang=["en"] * 40, source=["s"] * 40)
+    ends = []
+    for write in (False, True):
+        found = docs
+        for name, stage in corpus_pipeline.STAGES:
+            found = stage(spark, found, "chained")
+            found = written(found, name) if write else found
+        ends.append(found)
+    lazy, eager = ends
+    assert Counter(map(tuple, lazy.collect())) == Counter(map(tuple, eager.collect())) and lazy.count() > 0
+
+
+def test_edges_of_every_stage(spark):
+    """NULLs, empty and very long texts, repeated rows and columns with the operators' own names."""
+    long = " ".join(f"w{i % 997}x{i}" for i in range(20_000))
+    shared = "\n".join(["a line of more than forty characters that many share"] * 2)
+    rows = [(1, None, "en"), (2, "", "en"), (3, long, "en"), (3, long, "en"), (None, shared, None), (None, None, None)]
+    rows += [(10 + i, f"{shared}\nown {i}", "en") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr(
+        "*", "'s' as source", "1 as slot", "'k' as key", "2 as row", "3 as n", "'b' as block"
+    )
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "edges").collect()
+        assert got == [] or list(got[0].asDict()) == docs.columns
+        want = Counter(map(tuple, docs.collect()))
+        if name == "source_mixing":
+            assert Counter(map(tuple, got)) == want
+        elif name == "line_dedup":
+            assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+            left = {r.doc_id: r.text for r in got}
+            assert left[17] == f"{shared}\nown 7" and left[10] == "own 0" and left[3] == long
+        else:
+            assert not Counter(map(tuple, got)) - want
+            assert (name == "quality_rules") == (not any(r.text == "" for r in got))
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "edges").collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r[0] for r in rows)
+
+
 def test_sequences_follow_the_mixture(spark, rng):
     """Every prefix of the packed sequences has the target shares, until the small source is used up."""
     words = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu") for b in ("ra", "ne", "lo", "si", "du")]
