@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
     main = (
         sizes.groupBy("band")
-        .agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("main"), F.count(F.lit(1)).alias("n_parts"))
+        .agg(F.max_by("part", F.struct("n", F.bitwise_not("part"))).alias("main"), F.count(F.lit(1)).alias("n_parts"))
         .filter("n_parts > 1")
         .drop("n_parts")
     )
