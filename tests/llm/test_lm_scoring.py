@@ -8,7 +8,33 @@ import numpy as np
 import pytest
 
 from newsloom.llm import lm_scoring as module
-from newsloom.llm.lm_scoring import CLASSES, END, next_level, score_texts, smoothed
+from newsloom.llm.lm_scoring import score_texts
+
+CLASSES = END = 256  # symbols of the dense form before its end
+
+
+def next_level(counts, sequences, least):
+    """Contexts one longer that occur ``least`` times, with the index of the context they extend."""
+    index = {sequence: i for i, sequence in enumerate(sequences)}
+    longer, parents = [], []
+    for i, symbol in zip(*np.nonzero(counts >= least)):
+        sequence = (*sequences[i], int(symbol))
+        if symbol != END and sequence[1:] in index:
+            longer.append(sequence)
+            parents.append(index[sequence[1:]])
+    return longer, parents
+
+
+def smoothed(counts, parents, parent_counts, parent_p):
+    """The distributions of the contexts of one length, as the docstring of ``score_texts`` has them."""
+    n = counts.sum(axis=1, keepdims=True)
+    different = (counts > 0).sum(axis=1, keepdims=True)
+    usual = parent_counts[parents] / np.maximum(parent_counts[parents].sum(axis=1, keepdims=True), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        terms = np.where(counts > 0, counts * np.log(counts / n / usual), 0.0)
+    diverges = terms.sum(axis=1, keepdims=True) > 0.5 * different * np.log(np.maximum(n, 2))
+    own = (counts + different * parent_p[parents]) / np.maximum(n + different, 1)
+    return np.where(diverges, own, parent_p[parents])
 
 
 def check_base(rows, got):
