@@ -124,6 +124,7 @@ def map_texts(
     ``load_model`` runs once per task; the model gets the texts of an Arrow
     batch. When it fails, or gives more or fewer answers than it got texts, it is asked for one text at a
     time. Blank texts, and texts that it then fails on, give ''; ``failed_col`` tells the latter apart.
+    Texts and answers stay strings of their own length: what a task holds is a batch, however long the longest is.
     """
     added = [T.StructField(out_col, T.StringType())]
     if failed_col is not None:
@@ -131,6 +132,8 @@ def map_texts(
     schema = T.StructType([*df.schema.fields, *added])
 
     def run(batches):
+        import pyarrow as pa
+
         model = load_model()
 
         def answers_of(texts: list[str]) -> list[str]:
@@ -145,22 +148,23 @@ def map_texts(
             except Exception:
                 return None
 
-        for batch in batches:
-            texts = batch[text_col].fillna("")
-            filled = texts.str.strip() != ""
-            asked = texts[filled].tolist()
+        def answered(batch):
+            texts = batch.column(text_col).to_pylist()
+            places = [i for i, text in enumerate(texts) if text and not text.isspace()]
+            asked = [texts[i] for i in places]
             try:
                 answers = answers_of(asked) if asked else []
             except Exception:
                 answers = [one(text) for text in asked]
-            batch[out_col] = ""
-            batch.loc[filled, out_col] = [answer or "" for answer in answers]
-            if failed_col is not None:
-                batch[failed_col] = False
-                batch.loc[filled, failed_col] = [answer is None for answer in answers]
-            yield batch
-
-    return df.mapInPandas(run, schema)
+            given, failed = [""] * batch.num_rows, [False] * batch.num_rows
+            for i, answer in zip(places, answers):
+                given[i], failed[i] = answer or "", answer is None
+            batch = batch.append_column(out_col, pa.array(given, batch.schema.field(text_col).type))
+            return batch if failed_col is None else batch.append_column(failed_col, pa.array(failed))
+
+        yield from map(answered, batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def with_extractive_summary(articles: DataFrame) -> DataFrame:

@@ -96,3 +96,23 @@ def test_models_that_answer_wrongly(spark, model, expected):
     got = map_texts(rows, lambda: model, "text", "answer", "failed").orderBy("id").collect()
     assert [r.answer for r in got] == expected
     assert [r.failed for r in got] == [answer == "" and i != 2 for i, answer in enumerate(expected)]
+
+
+def test_one_long_answer_does_not_widen_the_others(spark):
+    """A batch of short texts and a long one takes the memory of its texts, not of rows times the longest."""
+
+    def load():
+        import resource
+
+        peaks = []
+
+        def model(texts):
+            peaks.append(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+            return [str(peaks[-1] - peaks[0]), *texts[1:]]
+
+        return model
+
+    rows = spark.range(0, 20_000, 1, 1).selectExpr("id", "repeat('x', if(id = 5, 40000, 3)) as text")
+    got = {r.id: r.answer for r in map_texts(rows, load, "text", "answer").collect()}
+    assert len(got) == 20_000 and len(got[5]) == 40_000 and got[7] == "xxx"
+    assert max(int(answer) for answer in got.values() if answer.isdigit()) < 400  # MB; it was 1600
