@@ -8,7 +8,7 @@ from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.clock import instant
@@ -55,7 +55,8 @@ def ingest(
     feed. Rows that cannot be stored are returned as ``rejects``.
 
     The batch is written to the shared folder first. Which of its rows are new is decided on (id, URL, time,
-    place) and the buckets of the key index that hold its ids; texts are moved once, for the new rows. Sources, categories,
+    place) and the buckets of the key index that hold its ids; texts are moved once, for the new rows. A batch without new
+    rows adds to the log of sources only. Sources, categories,
     links, keys and counts are appended before the articles: an article row is what commits an insert. A run that
     broke off is settled by the next one (``operators.upkeep.recover``). The counters are observed on the writes.
     """
@@ -98,21 +99,41 @@ def ingest(
         .withColumn("clash", F.col("stored_url").isNotNull() | (nth_url > 1))
         .select("_row", "clash")
     )
+    marked = _marked(staged, winners)
+    # What the small tables need of the new rows; texts are read again where they are needed.
     new = written(
-        staged.join(written(winners, "winners"), "_row")
-        .drop("reason", "_row")
-        .observe(added, F.count(one).alias("found"), F.count_if("clash").alias("clashes")),
+        marked.select("id", "url", "source", "date", "categories", "clash").observe(
+            added, F.count(one).alias("found"), F.count_if("clash").alias("clashes")
+        ),
         "new",
     )
-    fresh = new.filter("not clash").withColumns(
-        {
-            "source_id": surrogate_key(F.col("source")),
-            "date_day": partition_day(F.col("date")),
-            "created_at": now,
-        }
+    clashes = added.get["clashes"]
+    inserted = added.get["found"] - clashes
+    rejected = seen.get["rejected"] + clashes
+    counters = spark.createDataFrame(
+        [(seen.get["processed"], inserted, rejected, seen.get["processed"] - inserted - rejected)],
+        "processed long, inserted long, rejected long, duplicates long",
     )
+    rejects = staged.filter("reason is not null").drop("_row")
+    if clashes:
+        taken = marked.filter("clash").drop("clash", "reason", "_row")
+        rejects = rejects.unionByName(taken.withColumn("reason", F.lit("id taken by another url")))
+    if not inserted:
+        _append_sources(path, staged, store.sources, feeds, as_of, known_sources_only)
+        return IngestResult(counters, rejects)
+
+    def stored(rows: DataFrame) -> DataFrame:
+        return rows.filter("not clash").withColumns(
+            {
+                "source_id": surrogate_key(F.col("source")),
+                "date_day": partition_day(F.col("date")),
+                "created_at": now,
+            }
+        )
+
+    fresh, articles = stored(new), stored(marked.drop("reason", "_row"))
     if summarize is not None:
-        fresh = written(summarize(fresh), "summarized")
+        fresh = articles = written(summarize(articles), "summarized")
     pairs = fresh.select(
         F.col("id").alias("article_id"),
         F.explode("categories").alias("category"),
@@ -128,20 +149,30 @@ def ingest(
         lambda: append("article_counts", counts_of(fresh, run).unionByName(link_counts_of(pairs, run)), path),
         lambda: append("article_keys", keys_of(fresh, run), path),
     )
-    append("articles", fresh, path, run)
+    append("articles", articles, path, run)
     journal.finish(spark, path, run)
+    return IngestResult(counters, rejects)
 
-    rejects = staged.filter("reason is not null").drop("_row").unionByName(
-        new.filter("clash").drop("clash").withColumn("reason", F.lit("id taken by another url"))
+
+def _marked(staged: DataFrame, winners: DataFrame) -> DataFrame:
+    """The rows of ``staged`` that ``winners`` names by ``_row``, with their ``clash``.
+
+    The numbers go as bitmaps of 32768 rows, a bit for each row of the batch, so that they are broadcast up to a batch of
+    many millions and no text is shuffled; beyond that Spark joins them by bitmap."""
+    bits = winners.groupBy(F.bitmap_bucket_number("_row").alias("_bitmap")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(_row))").alias("_new"),
+        F.expr("bitmap_construct_agg(bitmap_bit_position(_row)) filter (where clash)").alias("_clash"),
     )
-    clashes = added.get["clashes"]
-    inserted = added.get["found"] - clashes
-    rejected = seen.get["rejected"] + clashes
-    counters = spark.createDataFrame(
-        [(seen.get["processed"], inserted, rejected, seen.get["processed"] - inserted - rejected)],
-        "processed long, inserted long, rejected long, duplicates long",
+
+    def is_set(bitmap: str) -> Column:
+        byte = f"cast(conv(hex(substring({bitmap}, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)"
+        return F.expr(f"coalesce((shiftright({byte}, cast(_bit % 8 as int)) & 1) = 1, false)")
+
+    numbered = staged.withColumns(
+        {"_bitmap": F.bitmap_bucket_number("_row"), "_bit": F.bitmap_bit_position("_row")}
     )
-    return IngestResult(counters, rejects)
+    found = numbered.join(written(bits, "winners"), "_bitmap").filter(is_set("_new"))
+    return found.withColumn("clash", is_set("_clash")).select(*staged.columns, "clash")
 
 
 def _together(spark: SparkSession, *writes: Callable[[], None]) -> None:

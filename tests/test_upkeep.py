@@ -200,3 +200,22 @@ def test_counters_are_observed_on_the_writes(spark):
     assert counters(result) == {"processed": 3, "inserted": 1, "rejected": 1, "duplicates": 1}
     empty = ingest(path, staged.filter(F.lit(False)), DAY)
     assert counters(empty) == {"processed": 0, "inserted": 0, "rejected": 0, "duplicates": 0}
+
+
+def test_new_rows_are_marked_by_bitmaps(spark):
+    """The rows asked for and no other, over several bitmaps a partition and ids of high bits; texts are not shuffled."""
+    from pyspark.sql import functions as F
+
+    from newsloom.plans.ingest import _marked
+    from newsloom.session import written
+
+    rows = spark.range(0, 200_000, 1, 3).selectExpr("id", "'text ' || id as content")
+    staged = written(rows.withColumn("_row", F.monotonically_increasing_id()), "batch")
+    winners = staged.filter("id % 3 = 0 or id < 10").selectExpr("_row", "id % 9 = 0 as clash")
+    marked = _marked(staged, winners)
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: (r.content, r.clash) for r in marked.collect()}
+    assert got == {i: (f"text {i}", i % 9 == 0) for i in range(200_000) if i % 3 == 0 or i < 10}
+    final = marked._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in final and "Exchange hashpartitioning" not in final, plan
+    assert _marked(staged, winners.filter("false")).count() == 0
