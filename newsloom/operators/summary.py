@@ -32,6 +32,14 @@ def _sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, "([.!?]) ", "$1\n"), "\n")
 
 
+def _least_use() -> Column:
+    """How many documents use a common word at least: the least power of two that few enough words reach, or the share
+    when that is less."""
+    share = F.ceil(F.sum("n_docs") / MAX_COMMON_WORDS)
+    reached = [F.when(F.count_if(F.col("n_docs") >= 2**k) <= MAX_COMMON_WORDS, 2**k) for k in range(24)]
+    return F.least(share, *reached)
+
+
 def extractive_summary(
     docs: DataFrame,
     id_col: str = "id",
@@ -47,10 +55,11 @@ def extractive_summary(
     kept whole; a sentence over ``max_words`` is cut when it is shown.
 
     The texts are shuffled once, by id; every step reads that exchange. The
-    scores move keys and numbers only. A word is common when it makes up at
-    least 1 in ``MAX_COMMON_WORDS`` of all (document, word) pairs: there cannot
-    be more than that many, whatever the input, and these go by broadcast, each as 24 bytes: its 64-bit hash, its
-    length and its weight, however long it is. Any other word is below that share, so no key of the shuffled join is hot.
+    scores move keys and numbers only. At most ``MAX_COMMON_WORDS`` words are common, those used most, and at least those that
+    make up 1 in ``MAX_COMMON_WORDS`` of all (document, word) pairs: there cannot be more than that many, whatever the input.
+    These go by broadcast, each as 24 bytes: its 64-bit hash, its length and its weight, however long it is. Any other word
+    is below that share, so no key of the shuffled join is hot. Every word is looked up once: a sentence's common words are
+    added up where the text is, and only its sum and its other words move.
     """
     texts = docs.select(
         F.col(id_col).alias("id"),
@@ -61,27 +70,35 @@ def extractive_summary(
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("n_docs"))
     )
-    pairs = counts.agg(F.sum("n_docs").alias("pairs")).scalar()
     usage = counts.select(
         "word",
+        F.xxhash64("word").alias("hash"),
         F.expr(f"{WEIGHT_SCALE} div n_docs").alias("weight"),
-        (F.col("n_docs") * MAX_COMMON_WORDS >= pairs).alias("common"),
+        (F.col("n_docs") >= counts.agg(_least_use()).scalar()).alias("common"),
     )
-    # The word count is taken before the words are exploded, once per sentence.
+    # The word count is taken before the words are exploded, once per sentence. There is a word in every sentence:
+    # "outer" only keeps Spark from splitting each one twice, to filter empty lists.
     words = (
         texts.select("id", F.posexplode(_sentences(F.lower("text"))).alias("pos", "sentence"))
         .select("id", "pos", F.split("sentence", " ").alias("words"))
         .select("id", "pos", F.size("words").alias("n_words"), "words")
-        .select("id", "pos", "n_words", F.explode("words").alias("word"))
+        .select("id", "pos", "n_words", F.explode_outer("words").alias("word"))
+    )
+    common = F.broadcast(usage.filter("common").select("hash", F.octet_length("word").alias("bytes"), "weight"))
+    rare = usage.filter("not common").select("hash", "word", F.col("weight").alias("each"))
+    # Added up where the texts are: a row for a sentence's common words (without word), and one for each other word in it.
+    is_common = (F.xxhash64("word") == F.col("hash")) & (F.octet_length("word") - F.col("bytes") == 0)
+    parts = (
+        words.join(common, is_common, "left")
+        .groupBy("id", "pos", "n_words", F.when(F.col("weight").isNull(), F.col("word")).alias("word"))
+        .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
     )
-    key = {"hash": F.xxhash64("word"), "chars": F.length("word")}
-    words, usage = words.withColumns(key), usage.withColumns(key)
-    common = F.broadcast(usage.filter("common").select(*key, "weight"))
-    rare = usage.filter("not common").select("word", "weight")
-    known = words.join(common, [*key]).select("id", "pos", "n_words", "weight")
-    others = words.join(common, [*key], "left_anti").join(rare, "word").select("id", "pos", "n_words", "weight")
+    # Rows without word match nothing; they are dealt out by their text.
     scored = (
-        known.unionByName(others)
+        parts.withColumn("hash", F.when(F.col("word").isNull(), F.xxhash64("id")).otherwise(F.xxhash64("word")))
+        .join(rare, ["hash", "word"], "left")
+        .select("id", "pos", "n_words", F.coalesce("weight", F.col("n") * F.col("each")).alias("weight"))
+        .repartition("id")
         .groupBy("id", "pos", "n_words")
         .agg(F.sum("weight").alias("weight"))
         .select("id", "pos", "n_words", F.expr("weight div n_words").alias("score"))

@@ -46,6 +46,26 @@ def test_equals_brute_force(spark, monkeypatch, most):
     assert got == brute_force(texts, 10, 20)
 
 
+def test_words_are_exploded_and_split_once(spark):
+    """One pass over the words of the sentences, and no filter that splits each sentence another time."""
+    docs = spark.createDataFrame([(1, "One two. Three four.")], "id long, content string")
+    plan = extractive_summary(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1  # it was 2
+    assert "size(split(" not in plan.replace("AS n_words", "")
+
+
+def test_seldom_words_are_common_while_there_is_room(spark, monkeypatch):
+    """Words below the share are looked up by broadcast too, as long as no more than MAX_COMMON_WORDS are; the rest is not lost."""
+    monkeypatch.setattr(summary, "MAX_COMMON_WORDS", 30)
+    texts = {i: f"the a{i % 20} b{i} here. the c{i} c{i} too!" for i in range(100)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, content string")
+    found = summary.extractive_summary(docs, min_words=1, max_words=4)
+    assert {r.id: r.summary for r in found.collect()} == brute_force(texts, 1, 4)
+    # 20 words in 5 documents and 2 in 100: by the share, 500 of 30, only 2 were common.
+    uses = [("a", 100), ("b", 100)] + [(f"c{i}", 5) for i in range(20)] + [(f"d{i}", 1) for i in range(200)]
+    assert spark.createDataFrame(uses, "word string, n_docs long").agg(summary._least_use()).first()[0] == 2
+
+
 def test_hook_failures_and_blanks(spark):
     def load():
         def model(texts):
