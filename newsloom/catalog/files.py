@@ -7,7 +7,7 @@ from newsloom.catalog.registry import query
 from newsloom.functions import parse_date
 from newsloom.operators.normalize import normalize_articles
 from newsloom.schemas import RAW_JSON
-from newsloom.session import scratch_dir
+from newsloom.session import scratch_dir, written
 from newsloom.sources import feeds, files
 
 SQL_RAW = """
@@ -82,7 +82,8 @@ def write_by_source(spark, sf_dir):
     """The second write replaces French documents' sources only; nothing doubles."""
     path = landed(spark, sf_dir)
     raw = raw_docs(spark, sf_dir)
-    french = raw.filter(F.array_contains("categories", "fr")).select("source").distinct()
+    # Written, so that Spark knows its size: planned unknown, the join would shuffle every text.
+    french = written(raw.filter(F.array_contains("categories", "fr")).select("source").distinct(), "french")
     files.write_by_source(raw.join(french, "source", "left_semi"), path)
     return edge(files.read_articles(spark, path, json_lines=True))
 

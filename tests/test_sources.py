@@ -1,6 +1,7 @@
 """Landed files: JSON arrays of differing keys, feed documents."""
 
 import json
+import pathlib
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -51,6 +52,49 @@ def test_write_by_source_replaces_only_what_it_holds(spark):
     assert {(r.title, r.source) for r in rows} == {("1", "été-blog"), ("3", "b")}
 
 
+def test_written_json_takes_a_fraction_of_its_text(spark, tmp_path):
+    """What is landed and normalised is compressed, and read back whole, lines in their order."""
+    text = "words of a text that are not all the same, such as "
+    rows = spark.range(0, 3000, 1, 1).selectExpr(
+        "concat('T', id) as title", f"concat(repeat('{text}', 5), id) as content", "concat('s', id % 3) as source"
+    )
+    plain = 3000 * 5 * len(text)
+    landed, normal = str(tmp_path / "landed"), str(tmp_path / "normal")
+    write_by_source(rows, landed)
+    write_articles(rows, normal)
+    for path in (landed, normal):
+        files = [file for file in pathlib.Path(path).rglob("part-*")]
+        assert 0 < sum(file.stat().st_size for file in files) < plain / 2  # it was more than all of it
+        back = read_articles(spark, path, json_lines=True, with_place=True)
+        assert sorted(tuple(r) for r in back.select("title", "content", "source").collect()) == sorted(
+            tuple(r) for r in rows.collect()
+        )
+    placed = read_articles(spark, normal, json_lines=True, with_place=True).orderBy("seq").collect()
+    assert [r.title for r in placed] == [f"T{i}" for i in range(3000)]
+
+
+def test_second_write_shuffles_texts_once(spark, sf_dir, monkeypatch):
+    """The query finds the sources to replace by broadcast; their texts go through the writer's exchange only."""
+    from newsloom.catalog import files as catalog
+
+    written_plans = []
+    write = catalog.files.write_by_source
+
+    def recorded(articles, path):
+        written_plans.append(articles._jdf.queryExecution().executedPlan().toString())
+        write(articles, path)
+
+    monkeypatch.setattr(catalog.files, "write_by_source", recorded)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # less than the texts here, more than the sources
+    try:
+        catalog.write_by_source(spark, sf_dir)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(written_plans) == 2 and "BroadcastHashJoin" in written_plans[1]
+    assert "hashpartitioning(source" not in written_plans[1]  # it was a sort-merge join
+
+
 def test_feed_list(spark, tmp_path):
     feeds = [{"name": f"f{i}", "url": f"https://f/{i}"} for i in range(5)]
     (tmp_path / "feeds.json").write_text(json.dumps(feeds, indent=1))
