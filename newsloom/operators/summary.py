@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions.text import WHITE_SPACE
-
 TextModel = Callable[[Sequence[str]], Sequence[str]]
 
 # A word's weight is this divided by the number of documents that use it.
 WEIGHT_SCALE = 1_000_000
+# White space (as in newsloom.functions.text) that is not a single blank: most of a text's is, and stays as it is.
+UNEVEN_SPACE = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
 # At most so many words are looked up by broadcast.
 MAX_COMMON_WORDS = 1_000_000
 
@@ -63,7 +63,7 @@ def extractive_summary(
     """
     texts = docs.select(
         F.col(id_col).alias("id"),
-        F.btrim(F.regexp_replace(F.coalesce(text_col, F.lit("")), WHITE_SPACE, " ")).alias("text"),
+        F.btrim(F.regexp_replace(F.coalesce(text_col, F.lit("")), UNEVEN_SPACE, " ")).alias("text"),
     ).filter("id is not null").repartition("id")
     counts = (
         texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))

@@ -5,7 +5,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from newsloom.functions.text import WHITE_SPACE
 from newsloom.operators import summary
 from newsloom.operators.summary import extractive_summary, map_texts
 
@@ -66,6 +68,17 @@ def test_seldom_words_are_common_while_there_is_room(spark, monkeypatch):
     assert spark.createDataFrame(uses, "word string, n_docs long").agg(summary._least_use()).first()[0] == 2
 
 
+def test_single_blanks_are_left_alone(spark):
+    """The pattern changes texts as the whole of WHITE_SPACE does, but finds nothing in an even text."""
+    rng = random.Random(5)
+    signs = "  ab." + "\t\n\x0b\x1c\x1f\x85\xa0\u2003\u200b" + "é\U0001f600"
+    texts = [("".join(rng.choice(signs) for _ in range(rng.randrange(12))),) for _ in range(5000)]
+    changed = [F.regexp_replace("t", pattern, " ") for pattern in (WHITE_SPACE, summary.UNEVEN_SPACE)]
+    rows = spark.createDataFrame([*texts, ("a b. c",)], "t string").select("t", *[c.alias(f"c{i}") for i, c in enumerate(changed)])
+    assert rows.filter("c0 <> c1").count() == 0
+    assert rows.filter(F.expr("t = 'a b. c'") & F.col("t").rlike(summary.UNEVEN_SPACE)).count() == 0
+
+
 def test_hook_failures_and_blanks(spark):
     def load():
         def model(texts):
