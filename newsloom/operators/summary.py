@@ -129,6 +129,34 @@ def extractive_summary(
     )
 
 
+def answers_of(model: TextModel, texts: Sequence[str | None]) -> tuple[list[str], list[bool]]:
+    """The answers to ``texts``, and for each whether the model failed on it. When it fails on all, or gives more or fewer
+    answers than it got texts, it is asked for one text at a time. Blank texts, and texts that it then fails on, give ''."""
+
+    def of(asked: list[str]) -> list[str]:
+        answers = list(model(asked))
+        if len(answers) != len(asked) or not all(isinstance(answer, str) for answer in answers):
+            raise ValueError(f"{len(answers)} answers to {len(asked)} texts")
+        return answers
+
+    def one(text: str) -> str | None:
+        try:
+            return of([text])[0]
+        except Exception:
+            return None
+
+    places = [i for i, text in enumerate(texts) if text and not text.isspace()]
+    asked = [texts[i] for i in places]
+    try:
+        answers = of(asked) if asked else []
+    except Exception:
+        answers = [one(text) for text in asked]
+    given, failed = [""] * len(texts), [False] * len(texts)
+    for i, answer in zip(places, answers):
+        given[i], failed[i] = answer or "", answer is None
+    return given, failed
+
+
 def map_texts(
     df: DataFrame,
     load_model: Callable[[], TextModel],
@@ -153,29 +181,8 @@ def map_texts(
 
         model = load_model()
 
-        def answers_of(texts: list[str]) -> list[str]:
-            answers = list(model(texts))
-            if len(answers) != len(texts) or not all(isinstance(answer, str) for answer in answers):
-                raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
-            return answers
-
-        def one(text: str) -> str | None:
-            try:
-                return answers_of([text])[0]
-            except Exception:
-                return None
-
         def answered(batch):
-            texts = batch.column(text_col).to_pylist()
-            places = [i for i, text in enumerate(texts) if text and not text.isspace()]
-            asked = [texts[i] for i in places]
-            try:
-                answers = answers_of(asked) if asked else []
-            except Exception:
-                answers = [one(text) for text in asked]
-            given, failed = [""] * batch.num_rows, [False] * batch.num_rows
-            for i, answer in zip(places, answers):
-                given[i], failed[i] = answer or "", answer is None
+            given, failed = answers_of(model, batch.column(text_col).to_pylist())
             batch = batch.append_column(out_col, pa.array(given, batch.schema.field(text_col).type))
             return batch if failed_col is None else batch.append_column(failed_col, pa.array(failed))
 

@@ -12,7 +12,7 @@ from newsloom.functions import parse_date
 from newsloom.operators.normalize import entry_to_raw, keep_recent, normalize_articles
 from newsloom.operators.summary import TextModel
 from newsloom.operators.tables import read_store
-from newsloom.plans.digest import FAN_IN, digest_requests, full_article_list, generate_digest
+from newsloom.plans.digest import FAN_IN, digest_pieces, digest_requests, full_article_list
 from newsloom.plans.ingest import IngestResult, ingest
 from newsloom.plans.retrieval import window_articles
 from newsloom.session import written
@@ -56,6 +56,6 @@ def publish_week(
     these. The store is queried once."""
     page = written(window_articles(read_store(spark, store), as_of, days), "week")
     requests = digest_requests(page, as_of, days)
-    write_digest(generate_digest(requests, load_model, as_of, days, fan_in=fan_in), f"{out}/digest_hebdo", as_of)
+    write_digest(digest_pieces(requests, load_model, as_of, days, fan_in=fan_in), f"{out}/digest_hebdo", as_of)
     write_full_list(full_article_list(page), f"{out}/articles_complets", as_of)
     return page

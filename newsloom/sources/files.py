@@ -170,9 +170,12 @@ def _dated(path: str, as_of: datetime | str) -> str:
 
 
 def write_digest(digest: DataFrame, path: str, as_of: datetime | str) -> str:
-    """Write the one-row ``digest`` text under the day's folder."""
+    """Write the ``digest`` text under the day's folder as one file: of one row, or of pieces of whole lines by ``number``."""
     target = _dated(path, as_of)
-    digest.select("digest").coalesce(1).write.mode("overwrite").text(target)
+    rows = digest.coalesce(1)
+    if "number" in digest.columns:
+        rows = rows.sortWithinPartitions("number")
+    rows.select("digest").write.mode("overwrite").text(target)
     return target
 
 

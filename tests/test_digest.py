@@ -3,7 +3,7 @@
 from datetime import datetime
 
 from newsloom.plans import digest, report
-from newsloom.session import scratch_dir
+from newsloom.session import scratch_dir, written
 from newsloom.sources import latest_digest, write_digest, write_full_list
 
 AS_OF = "2024-01-31 09:00:00"
@@ -79,6 +79,33 @@ def test_generated_digest_and_short_answer(spark):
     assert bad.digest == "# Erreur de génération du résumé\n\nAucune réponse de qualité générée. Réponse reçue: no"
 
 
+def test_answers_move_in_pieces(spark, monkeypatch):
+    """No step but the model has a whole answer, and the digest is the same, one by one, joined, and as a file."""
+    tables = []
+    monkeypatch.setattr(digest, "written", lambda df, *more: tables.append(written(df, *more)) or tables[-1])
+    monkeypatch.setattr(digest, "PIECE", 100, raising=False)
+    texts = [f"T{i}\n\n" + f"line {i} é\n" * (i % 9) * 5 + ("" if i % 4 else "\n\n") for i in range(40)] + ["x" * 150, " ", ""]
+    requests = spark.createDataFrame(list(enumerate(texts, 1)), "position long, request string").repartition(3)
+    answers = [text if text.strip() else "" for text in texts]
+
+    def joined(texts):
+        return "<" + "\n".join(texts) + "|24/01/2024 au 31/01/2024>"
+
+    head = "# Veille IA: Résumé hebdomadaire du 24/01/2024 au 31/01/2024\n\n"
+    for fan_in, want in ((None, joined(answers)), (7, joined([joined(answers[i : i + 7]) for i in range(0, 43, 7)]))):
+        found = digest.generate_digest(requests, lambda: list, AS_OF, template="<{content}|{period}>", fan_in=fan_in)
+        assert [tuple(r) for r in found.collect()] == [("24/01/2024 au 31/01/2024", head + want)]
+        pieces = digest.digest_pieces(requests, lambda: list, AS_OF, template="<{content}|{period}>", fan_in=fan_in)
+        path = scratch_dir(spark, "digests")
+        write_digest(pieces, path, AS_OF)
+        assert latest_digest(spark, path).first().content == head + want
+    twice = digest.generate_digest(requests, lambda: list, AS_OF, template="{content}{period}{content}").first().digest
+    assert twice == head + "24/01/2024 au 31/01/2024".join(["\n".join(answers)] * 2)
+    assert digest.generate_digest(requests.limit(0), lambda: list, AS_OF).count() == 0
+    lengths = [max(len(r.text) for r in t.select(t.columns[-1]).toDF("text").collect()) for t in tables if t.count()]
+    assert lengths and max(lengths) <= 300
+
+
 def test_full_list(spark):
     target = write_full_list(digest.full_article_list(page(spark)), scratch_dir(spark, "list"), AS_OF)
     parts = spark.read.text(target, wholetext=True).select("value", "_metadata.file_name").orderBy("file_name")

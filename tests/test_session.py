@@ -1,5 +1,6 @@
 """Where written intermediate tables go."""
 
+import pyarrow as pa
 import pytest
 
 from newsloom import session
@@ -39,3 +40,16 @@ def test_recorded_scratch_can_be_dropped(spark):
     import os
 
     assert kept.count() == 3 and os.path.exists(outer[0]) and not os.path.exists(inner[0])
+
+
+def test_written_bounds_the_batches_of_python_tasks(spark):
+    rows = spark.range(0, 64, 1, 1).selectExpr("repeat('x', 100000) as text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get(session.BATCH_BYTES)
+    counts = [r.n for r in session.written(rows.mapInArrow(sizes, "n long"), "sizes", 2**20).collect()]
+    assert sum(counts) == 64 and max(counts) < 20
+    assert spark.conf.get(session.BATCH_BYTES) == before
