@@ -8,109 +8,107 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from newsloom.llm.columns import whole
-from newsloom.llm.hashing import GOLDEN, WordHashes, mix, packed, texts, unpacked, windows
+from newsloom.llm.hashing import GOLDEN, WordHashes, mix, packed, unpacked, windows
 
 WIDTH = 13
 DEPTH = 2  # rows of the sketch
 CELLS_PER_WINDOW = 3
-LEAST_CELLS, MOST_CELLS = 2**22, 2**29  # of a row; a worker holds DEPTH bits a cell
-BLOCK = 2**22  # cells merged at once
+LEAST_CELLS, MOST_CELLS = 2**22, 2**29  # of a row, or of each part of it
+BLOCK = 2**24  # cells merged at once
 BYTES_PER_WORD = 6
-FLUSH = 1_000_000  # windows gathered in a task before they are sorted
+FLUSH = 1_000_000  # words in a bin of texts
 ASKED = 1_000_000  # windows in a shard of the exact pass
 NO_ID = -(2**63)  # stands for a NULL id
 SLOT = 2**32  # places of a second text under the same id begin here
 
-BLOCKS = "row int, block int, once binary, twice binary"
-PLANES = "row int, block int, bits binary"
-ASKS = "shard int, hashes binary, docs binary, places binary"
-REMOVED = "bucket int, docs binary, places binary"
+BLOCKS = "row int, block int, bin int, cells binary"
+PLANES = "bin int, row int, block int, bits binary"
+ASKS = "shard int, bin int, hashes binary, docs binary, places binary"
+REMOVED = "bin int, docs binary, places binary"
 
 
 def _differences(sorted_cells: np.ndarray) -> bytes:
     return packed(np.diff(sorted_cells, prepend=0).astype(np.uint32))
 
 
-def _cells(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
+def _cells(hashes: np.ndarray, row: int, cells: int, n_parts: int) -> np.ndarray:
+    """A part of the row by hash, and a cell in it."""
     with np.errstate(over="ignore"):
-        return mix(hashes + np.uint64(row + 1) * GOLDEN) % np.uint64(cells)
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch], width: int, part: tuple[int, int]):
-    """Per flush: (ids of its documents, and of each window the document's index, place and hash).
-    Of the windows, one of ``part[1]`` parts by hash."""
-    hashes = WordHashes()
-    nth, n_parts = part
-    docs, indices, places, found, size = [], [], [], [], 0
-    for rows in texts(batches):
-        for doc, slot, text in rows:
-            all_of = windows(hashes.of(text.split()), width)
-            at = np.arange(len(all_of), dtype=np.int64)
-            if n_parts > 1:
-                mine = (all_of >> np.uint64(20)) % np.uint64(n_parts) == nth
-                all_of, at = all_of[mine], at[mine]
-            if len(all_of):
-                indices.append(np.full(len(all_of), len(docs), np.int32))
-                places.append(at + slot * SLOT)
-                found.append(all_of)
-                docs.append(doc)
-                size += len(all_of)
-        if size >= FLUSH:
-            yield np.array(docs, np.int64), *map(np.concatenate, (indices, places, found))
-            docs, indices, places, found, size = [], [], [], [], 0
-    if size:
-        yield np.array(docs, np.int64), *map(np.concatenate, (indices, places, found))
-
-
-def _sketch(batches, width: int, part: tuple[int, int], cells: int) -> Iterator[pa.RecordBatch]:
-    """The cells that a task's windows hit once, and those hit more often, by blocks."""
-    for _, _, _, found in _window_rows(batches, width, part):
-        rows = []
-        for row in range(DEPTH):
-            hit = np.sort(_cells(found, row, cells))
-            new = np.r_[True, hit[1:] != hit[:-1]]
-            often = np.unique(hit[~new])
-            once = hit[new]
-            bounds = np.arange(0, cells + BLOCK, BLOCK).astype(np.uint64)
-            cut_once, cut_often = np.searchsorted(once, bounds), np.searchsorted(often, bounds)
-            for block in range(len(bounds) - 1):
-                a, b = cut_once[block], cut_once[block + 1]
-                if a < b:
-                    start = bounds[block]
-                    twice = often[cut_often[block] : cut_often[block + 1]] - start
-                    rows.append((row, block, _differences(once[a:b] - start), _differences(twice)))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["row", "block", "once", "twice"])
+        cell = mix(hashes + np.uint64(row + 1) * GOLDEN) % np.uint64(cells)
+    return (hashes >> np.uint64(20)) % np.uint64(n_parts) * np.uint64(cells) + cell
+
+
+def _blocks(cells: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted cells by block: (blocks, the cells of each within it)."""
+    block = cells // np.uint64(BLOCK)
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(cells) else np.zeros(0, np.int64)
+    return block[starts], [part % np.uint64(BLOCK) for part in np.split(cells, starts[1:])] if len(cells) else []
+
+
+def _table(schema: str, columns) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [field.split() for field in schema.split(", ")]
+    columns = list(columns) or [()] * len(fields)
+    return pa.table({name: pa.array(column, kinds[kind]) for (name, kind), column in zip(fields, columns)})
+
+
+def _bodies(texts: pa.Table, text: str) -> list[bytes]:
+    column = texts.column("row").combine_chunks().field(text).cast(pa.binary())
+    return [body or b"" for body in column.to_pylist()]
+
+
+def _window_rows(texts: pa.Table, text: str, width: int, hashes: WordHashes) -> tuple[np.ndarray, ...]:
+    """Of a bin's texts: the document, place and hash of each window."""
+    docs, places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for doc, slot, body in zip(texts.column("doc").to_pylist(), texts.column("slot").to_pylist(), _bodies(texts, text)):
+        all_of = windows(hashes.of(body.split()), width)
+        docs.append(np.full(len(all_of), doc, np.int64))
+        places.append(np.arange(len(all_of), dtype=np.int64) + slot * SLOT)
+        found.append(all_of)
+    return tuple(map(np.concatenate, (docs, places, found)))
+
+
+def _sketch(texts: pa.Table, text: str, width: int, hashes: WordHashes, cells: int, n_parts: int) -> pa.Table:
+    """The cells that a bin's windows hit, by blocks."""
+    _, _, found = _window_rows(texts, text, width, hashes)
+    bin_, rows = texts.column("bin")[0].as_py(), []
+    for row in range(DEPTH):
+        # Faster than np.unique, which hashes.
+        hit = np.sort(_cells(found, row, cells, n_parts))
+        for block, hit in zip(*_blocks(hit[np.r_[True, hit[1:] != hit[:-1]]] if len(hit) else hit)):
+            rows.append((row, int(block), bin_, _differences(hit)))
+    return _table(BLOCKS, zip(*rows))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches of a partition, sorted by row and block, to one bit a cell: hit twice or more."""
+    """Of a partition sorted by row and block: for each bin one bit for each of its cells there, hit by another bin too."""
 
-    def plane(key: tuple[int, int], counts: np.ndarray) -> pa.RecordBatch:
-        bits = zlib.compress(np.packbits(counts > 1).tobytes(), 1)
-        return pa.record_batch(
-            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([bits], pa.binary())],
-            names=["row", "block", "bits"],
-        )
+    def answered(row: int, block: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BLOCK, np.uint8)
+        for _, cells in parts:
+            hit = np.cumsum(unpacked(cells, np.uint32))
+            counts[hit] = np.minimum(counts[hit] + 1, 2)
+        rows = []
+        for bin_, cells in parts:
+            bits = np.packbits(counts[np.cumsum(unpacked(cells, np.uint32))] > 1)
+            rows.append((bin_, row, block, zlib.compress(bits.tobytes(), 1)))
+        yield from _table(PLANES, zip(*rows)).to_batches()
 
-    key, counts = None, np.zeros(0, np.uint8)
+    key, parts = None, []
     for batch in batches:
-        for row, block, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
-            if (row, block) != key:
-                if key is not None:
-                    yield plane(key, counts)
-                key, counts = (row, block), np.zeros(BLOCK, np.uint8)
-            cells = np.cumsum(unpacked(once, np.uint32))
-            counts[cells] = np.minimum(counts[cells] + 1, 2)
-            counts[np.cumsum(unpacked(twice, np.uint32))] = 2
-    if key is not None:
-        yield plane(key, counts)
+        for row, block, *part in zip(*(c.to_pylist() for c in batch.columns)):
+            if (row, block) != key and parts:
+                yield from answered(*key, parts)
+                parts = []
+            key = row, block
+            parts.append(tuple(part))
+    if parts:
+        yield from answered(*key, parts)
 
 
 def _lowest(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,165 +119,112 @@ def _lowest(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.repeat(docs[order][starts], np.diff(np.r_[starts, len(order)]))
 
 
-def _by_document(docs: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else []
-    for a, b in zip(starts, [*starts[1:], len(docs)]):
-        yield int(docs[a]), places[a:b].astype("<i8").tobytes()
-
-
 def _asks(
-    batches, width: int, part: tuple[int, int], cells: int, planes: Broadcast, shards: int
-) -> Iterator[pa.RecordBatch]:
-    """Of the windows estimated repeated: those that a smaller document of the same flush starts (without
+    texts: pa.Table, planes: pa.Table, text: str, width: int, hashes: WordHashes, cells: int, n_parts: int, shards: int
+) -> pa.Table:
+    """Of a bin's windows estimated repeated: those that a smaller document of the bin starts (without
     hashes, to a shard beyond the others), and of the rest one of each hash and document, by shards."""
-    bits = []
+    docs, places, found = _window_rows(texts, text, width, hashes)
+    bits = {(row, block): data for _, row, block, data in zip(*(column.to_pylist() for column in planes.columns))}
+    likely = np.ones(len(found), bool)
     for row in range(DEPTH):
-        plane = np.zeros(ceil(cells / BLOCK) * BLOCK // 8, np.uint8)
-        for (of, block), data in planes.value.items():
-            if of == row:
-                plane[block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)] = np.frombuffer(zlib.decompress(data), np.uint8)
-        bits.append(plane)
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    names = ["shard", "hashes", "docs", "places"]
-    for ids, index, places, found in _window_rows(batches, width, part):
-        for row in range(DEPTH):
-            cell = _cells(found, row, cells)
-            set_bit = bits[row][cell >> np.uint64(3)] >> (7 - (cell & np.uint64(7)).astype(np.uint8)) & 1
-            likely = set_bit.astype(bool)
-            index, places, found = index[likely], places[likely], found[likely]
-        if not len(found):
-            continue
-        docs = ids[index]
+        hit, at, n = np.unique(_cells(found, row, cells, n_parts), return_inverse=True, return_counts=True)
+        often = [n > 1]
+        elsewhere = [
+            np.unpackbits(np.frombuffer(zlib.decompress(bits[row, int(block)]), np.uint8), count=len(of)).astype(bool)
+            for block, of in zip(*_blocks(hit))
+        ]
+        if elsewhere:
+            often.append(np.concatenate(elsewhere))
+        likely &= np.logical_or.reduce(often)[at]
+    docs, places, found = docs[likely], places[likely], found[likely]
+    rows = []
+    if len(found):
+        bin_ = texts.column("bin")[0].as_py()
         order, low = _lowest(found, docs)
         docs, places, found = docs[order], places[order], found[order]
         later = docs > low
-        rows = []
         if later.any():
-            rows.append((shards + int(found[0] % np.uint64(shards)), None, packed(docs[later]), packed(places[later])))
+            rows.append((shards + int(found[0] % np.uint64(shards)), bin_, None, packed(docs[later]), packed(places[later])))
         docs, places, found = docs[~later], places[~later], found[~later]
         shard = (found >> np.uint64(40)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-        for s in range(shards):
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[s] : cuts[s + 1]]
-            if len(mine):
-                rows.append((s, found[mine].tobytes(), packed(docs[mine]), packed(places[mine])))
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+            rows.append((s, bin_, found[mine].tobytes(), packed(docs[mine]), packed(places[mine])))
+    return _table(ASKS, zip(*rows))
 
 
-def _answers(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition sorted by shard: the windows that start in a smaller document too, one
-    row per shard and bucket of documents."""
-
-    def answered(parts: list[tuple]) -> pa.RecordBatch:
-        docs = np.concatenate([unpacked(d, np.int64) for _, d, _ in parts])
-        places = np.concatenate([unpacked(p, np.int64) for _, _, p in parts])
-        if parts[0][0] is not None:  # else decided before
-            order, low = _lowest(np.concatenate([np.frombuffer(h, np.uint64) for h, _, _ in parts]), docs)
-            docs, places = docs[order], places[order]
+    row per shard and bin."""
+
+    def answered(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = [unpacked(d, np.int64) for _, _, d, _ in parts]
+        bins = np.repeat([of for of, *_ in parts], [len(d) for d in found])
+        docs = np.concatenate(found)
+        places = np.concatenate([unpacked(p, np.int64) for *_, p in parts])
+        if parts[0][1] is not None:  # else decided before
+            order, low = _lowest(np.concatenate([np.frombuffer(h, np.uint64) for _, h, _, _ in parts]), docs)
+            bins, docs, places = bins[order], docs[order], places[order]
             later = docs > low
-            docs, places = docs[later], places[later]
-        bucket = mix(docs.view(np.uint64)) % np.uint64(buckets)
-        rows = []
-        for b in np.unique(bucket):
-            mine = np.flatnonzero(bucket == b)
-            mine = mine[np.lexsort((places[mine], docs[mine]))]
-            rows.append((int(b), packed(docs[mine]), packed(places[mine])))
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        columns = list(zip(*rows)) or [()] * 3
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=["bucket", "docs", "places"])
+            bins, docs, places = bins[later], docs[later], places[later]
+        order = np.lexsort((places, docs, bins))
+        bins, docs, places = bins[order], docs[order], places[order]
+        starts = np.flatnonzero(np.r_[True, bins[1:] != bins[:-1]]) if len(bins) else []
+        rows = [
+            (int(bins[a]), packed(docs[a:b]), packed(places[a:b])) for a, b in zip(starts, [*starts[1:], len(bins)])
+        ]
+        yield from _table(REMOVED, zip(*rows)).to_batches()
 
     shard, parts = None, []
     for batch in batches:
         for of, *part in zip(*(c.to_pylist() for c in batch.columns)):
             if of != shard and parts:
-                yield answered(parts)
+                yield from answered(parts)
                 parts = []
             shard = of
             parts.append(tuple(part))
     if parts:
-        yield answered(parts)
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by bucket: one row per document with all its places."""
+        yield from answered(parts)
 
-    def rows_of(parts: list[tuple]) -> pa.RecordBatch:
-        docs, places = (np.concatenate([unpacked(p[i], np.int64) for p in parts]) for i in (0, 1))
-        columns = list(zip(*_by_document(docs, places))) or [(), ()]
-        return pa.record_batch(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["doc", "places"]
-        )
 
-    last, parts = None, []
-    for batch in batches:
-        for bucket, *part in zip(*(c.to_pylist() for c in batch.columns)):
-            if bucket != last and parts:
-                yield rows_of(parts)
-                parts = []
-            last = bucket
-            parts.append(tuple(part))
-    if parts:
-        yield rows_of(parts)
-
-
-KEPT = StructType(
-    [StructField("text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())]
-)
-
-
-def _keeper(width: int):
-    @F.arrow_udf(KEPT)
-    def kept(text: pa.Array, slot: pa.Array, places: pa.Array) -> pa.Array:
-        out = []
-        for body, of, parts in zip(text.to_pylist(), slot.to_pylist(), places.to_pylist()):
-            found = body.split()
-            n_words, n_removed = len(found), 0
-            if parts:
-                at = np.concatenate([np.frombuffer(p, "<i8") for p in parts])
-                at = at[at // SLOT == of] % SLOT
-                edges = np.zeros(n_words + 1, np.int64)
-                np.add.at(edges, at, 1)
-                np.add.at(edges, at + width, -1)
-                stays = np.cumsum(edges[:-1]) == 0
-                n_removed = n_words - int(stays.sum())
-                found = [word for word, stay in zip(found, stays) if stay]
-            out.append({"text": b" ".join(found).decode(), "n_words": n_words, "n_removed": n_removed})
-        return pa.array(out, pa.struct([("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())]))
-
-    return kept
-
-
-def _removed_places(source: DataFrame, width: int, most_cells: int) -> DataFrame:
-    """(doc, places): windows of a document that start in a smaller one too."""
-    spark = source.sparkSession
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    estimate = size // BYTES_PER_WORD
-    n_parts = max(1, ceil(CELLS_PER_WINDOW * estimate / most_cells))
-    cells = min(most_cells, max(LEAST_CELLS, CELLS_PER_WINDOW * estimate // n_parts))
-    shards = max(ceil(estimate / n_parts / ASKED), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    out = []
-    for nth in range(n_parts):
-        part = (nth, n_parts)
-        sketched = source.mapInArrow(lambda x, part=part: _sketch(x, width, part, cells), BLOCKS)
-        merged = (
-            sketched.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged, PLANES)
-        )
-        # At most DEPTH * most_cells bits, deflated.
-        planes = spark.sparkContext.broadcast({(r.row, r.block): bytes(r.bits) for r in merged.collect()})
-        out.append(
-            source.mapInArrow(lambda x, part=part, planes=planes: _asks(x, width, part, cells, planes, shards), ASKS)
-            .repartition(shards, "shard").sortWithinPartitions("shard")
-            .mapInArrow(lambda x: _answers(x, shards), REMOVED)
-            .repartition(shards, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(_gathered, "doc long, places binary")
-        )
-    removed = out[0]
-    for more in out[1:]:
-        removed = removed.unionAll(more)
-    return removed
+def _kept(texts: pa.Table, removed: pa.Table, text: str, width: int) -> pa.Table:
+    """The rows of a bin without the words of the windows removed."""
+    docs, places = (
+        np.concatenate([np.zeros(0, np.int64), *(unpacked(part, np.int64) for part in removed.column(name).to_pylist())])
+        for name in ("docs", "places")
+    )
+    order = np.argsort(docs, kind="stable")
+    docs, places = docs[order], places[order]
+    own = np.array(texts.column("doc").to_pylist(), np.int64)
+    bounds = zip(np.searchsorted(docs, own), np.searchsorted(docs, own, "right"))
+    bodies, n_words, n_removed = [], [], []
+    for body, slot, (a, b) in zip(_bodies(texts, text), texts.column("slot").to_pylist(), bounds):
+        found = body.split()
+        n_words.append(len(found))
+        n_removed.append(0)
+        if a < b:
+            at = places[a:b]
+            at = at[at // SLOT == slot] % SLOT
+            edges = np.zeros(len(found) + 1, np.int64)
+            np.add.at(edges, at, 1)
+            np.add.at(edges, at + width, -1)
+            stays = np.cumsum(edges[:-1]) == 0
+            n_removed[-1] = len(found) - int(stays.sum())
+            found = [word for word, stay in zip(found, stays) if stay]
+        bodies.append(b" ".join(found).decode())
+    rows = texts.column("row").combine_chunks()
+    fields = list(rows.type)
+    columns = [pa.array(bodies, field.type) if field.name == text else rows.field(i) for i, field in enumerate(fields)]
+    return pa.table(
+        {
+            "row": pa.StructArray.from_arrays(columns, fields=fields),
+            "n_words": pa.array(n_words, pa.int64()),
+            "n_removed": pa.array(n_removed, pa.int64()),
+        }
+    )
 
 
 def drop_repeated_passages(docs: DataFrame, width: int = WIDTH, most_cells: int = MOST_CELLS) -> DataFrame:
@@ -289,23 +234,24 @@ def drop_repeated_passages(docs: DataFrame, width: int = WIDTH, most_cells: int
     A window is ``width`` consecutive words of one document. A word goes when it
     lies in a window whose words also start in a document with a smaller id, all judged on the input.
 
-    Every task counts its windows' hashes in a count-min sketch of two rows that
-    saturate at two; the sketches are merged block by block. Windows with a cell hit once only are unique.
-    The others, all repeated ones among them, are grouped exactly: within a task first, so
-    that a window found in many documents leaves it once, then by shards of the
-    hash. Rows of the sketch have three cells a window, up to ``most_cells``; a larger input
-    is done in several parts by hash, each with a sketch of that size.
+    The texts are shuffled once, into bins by document; every step reads that exchange. Each bin sends the cells that
+    its windows hit in a count-min sketch of two rows that saturate at two, block by block, and gets a bit for each back: hit
+    by another bin too. Windows with a cell hit once only are unique. The others, all repeated ones among them, are grouped
+    exactly: within a bin first, so that a window found in many documents leaves it once, then by shards of the hash. What
+    is removed goes back to the bins. Rows of the sketch have three cells a window, in parts by hash of up to
+    ``most_cells``; no task holds more than a block of it, and the driver nothing.
 
     NULL or empty text has no words. Rows with one id are one document to the others; their
     texts are cut each by its own places. Rows without id count as the smallest
     document. An empty table gives an empty result.
     """
     body = whole()
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        columns.alias("row"),
         F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc"),
         F.xxhash64(body).alias("text_key"),
-        body.cast("binary").alias("body"),
+        F.octet_length(body).alias("size"),
     )
     # Ids with several texts, seldom any: each text has a slot of its own.
     several = (
@@ -319,11 +265,30 @@ def drop_repeated_passages(docs: DataFrame, width: int = WIDTH, most_cells: int
             "slot", F.row_number().over(Window.partitionBy("doc").orderBy("text_key")).cast("long")
         )
         keyed = keyed.join(slots, ["doc", "text_key"], "left").withColumn("slot", F.coalesce("slot", F.lit(0)))
-    removed = _removed_places(keyed.select("doc", "slot", F.col("body").alias("text")), width, most_cells)
-    places = removed.groupBy("doc").agg(F.collect_list("places").alias("places"))
-    kept = keyed.join(places, "doc", "left").withColumn(
-        "kept", _keeper(width)(F.col("body"), F.col("slot"), F.col("places"))
-    )
-    return kept.select(
-        F.col("row").withField("text", F.col("kept.text")).alias("row"), "kept.n_words", "kept.n_removed"
+    estimate = (keyed.agg(F.sum("size")).first()[0] or 0) // BYTES_PER_WORD
+    n_parts = max(1, ceil(CELLS_PER_WINDOW * estimate / most_cells))
+    cells = min(most_cells, max(LEAST_CELLS, CELLS_PER_WINDOW * estimate // n_parts))
+    shards = max(ceil(estimate / ASKED), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_bins = max(1, ceil(estimate / FLUSH))
+    # Nothing is removed of rows without id, so they may be in any bin.
+    home = F.when(F.col("doc") == NO_ID, F.xxhash64("text_key")).otherwise(F.xxhash64("doc"))
+    texts = keyed.select(F.pmod(home, F.lit(n_bins)).cast("int").alias("bin"), "doc", "slot", "row").repartition(n_bins, "bin")
+    text, hashes = next(name for name in docs.columns if name.lower() == "text"), WordHashes()
+    planes = (
+        texts.groupBy("bin")
+        .applyInArrow(lambda table: _sketch(table, text, width, hashes, cells, n_parts), BLOCKS)
+        .repartition("row", "block").sortWithinPartitions("row", "block")
+        .mapInArrow(_merged, PLANES)
+        .repartition(n_bins, "bin")
+    )
+    removed = (
+        texts.groupBy("bin").cogroup(planes.groupBy("bin"))
+        .applyInArrow(lambda table, bits: _asks(table, bits, text, width, hashes, cells, n_parts, shards), ASKS)
+        .repartition(shards, "shard").sortWithinPartitions("shard")
+        .mapInArrow(_answers, REMOVED)
+        .repartition(n_bins, "bin")
+    )
+    kept = StructType(
+        [StructField("row", docs.schema), StructField("n_words", LongType()), StructField("n_removed", LongType())]
     )
+    return texts.groupBy("bin").cogroup(removed.groupBy("bin")).applyInArrow(lambda table, gone: _kept(table, gone, text, width), kept)

@@ -62,3 +62,29 @@ def test_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert drop_repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_large_input_is_read_as_often_as_a_small_one(documents, monkeypatch):
+    """However many parts the sketch has, the texts go through one exchange, and nothing is broadcast."""
+    monkeypatch.setattr(module, "LEAST_CELLS", 1000)
+    sent = []
+    monkeypatch.setattr(type(documents.sparkSession.sparkContext), "broadcast", lambda self, value: sent.append(value))
+    plans = [
+        drop_repeated_passages(documents, most_cells=most)._jdf.queryExecution().executedPlan().toString()
+        for most in (2**29, 20_000)
+    ]
+    scans = [plan.count("FileScan") for plan in plans]
+    assert scans[0] == scans[1] <= 3 and not sent
+
+
+def test_columns_of_any_type_stay(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = spark.createDataFrame([(1, passage), (2, passage + " x"), (None, None)], "doc_id long, Text string").selectExpr(
+        "doc_id", "map('a', array(doc_id)) as m", "Text", "timestamp_ntz'2024-01-31 09:00:00' as t", "cast(1.5 as decimal(9,2)) as d",
+        "named_struct('text', 'inner', 'n', null) as s", "date'2024-01-31' as day", "cast('b' as binary) as b",
+    )
+    got = drop_repeated_passages(rows).orderBy("row.doc_id")
+    found = [(r.doc_id, r.Text, r.m, r.t, r.d, r.s, r.day, r.b) for r in got.select("row.*").collect()]
+    want = [(r.doc_id, r.m, r.t, r.d, r.s, r.day, r.b) for r in rows.orderBy("doc_id").collect()]
+    assert [(f[0], *f[2:]) for f in found] == want
+    assert [f[1] for f in found] == ["", passage, "x"]
